@@ -1 +1,144 @@
-"""Queries."""
+"""Source and sink queries. What must lie in files is first written by Spark from the
+shared tables into the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.windows import latest_by_key
+from ..session import scratch_path
+from ..sources import io
+from .base import query
+from .payloads import unit_payloads
+
+
+@query(
+    "S1_read_envelope_json",
+    "SELECT l_orderkey AS fixture_id, short AS status, 'Team '||home_id AS home, CASE WHEN n<>1 THEN 3 END AS events FROM pay",
+    ("pay",),
+)
+def _(t):
+    path = scratch_path(t.spark, "envelopes")
+    doc = F.struct(*[F.col(x) for x in ("fixture", "teams", "events")])
+    # One envelope per line; a broken document stands beside them and must be skipped.
+    envelopes = unit_payloads(t).select(F.to_json(F.struct(F.array(doc).alias("response"))).alias("value"))
+    envelopes.write.text(f"{path}/good")
+    t.region.limit(1).select(F.lit('{"response": [').alias("value")).write.text(f"{path}/bad")
+    units = io.read_envelope_json(t.spark, [f"{path}/good", f"{path}/bad"], lines=True)
+    return units.select(
+        F.col("fixture.id").alias("fixture_id"), F.col("fixture.status.short").alias("status"), F.col("teams.home.name").alias("home"),
+        F.when(F.col("events").isNotNull(), F.size("events")).alias("events"),
+    )
+
+
+@query(
+    "S2_read_glob_union",
+    """SELECT l_orderkey AS unit, l_suppkey AS entity, CASE WHEN l_linestatus='F' THEN l_quantity END AS minutes, CASE WHEN l_linestatus='F' THEN 'starts' ELSE 'bench' END AS src FROM lineitem""",
+)
+def _(t):
+    path = scratch_path(t.spark, "globs")
+    a = t.lineitem.where(F.col("l_linestatus") == "F").select(F.col("l_orderkey").alias("unit"), F.col("l_suppkey").alias("entity"), F.col("l_quantity").alias("minutes"), "l_tax")
+    b = t.lineitem.where(F.col("l_linestatus") == "O").select(F.col("l_orderkey").alias("unit"), F.col("l_suppkey").alias("entity"))
+    io.write_table(a, f"{path}/starts", "csv")
+    io.write_table(b, f"{path}/bench", "csv")
+    out = io.read_glob_union(
+        t.spark,
+        [(f"{path}/starts/*.csv.gz", "unit bigint, entity bigint, minutes double, l_tax double"), (f"{path}/bench/*.csv.gz", "unit bigint, entity bigint")],
+        ["unit", "entity", "minutes"],
+    )
+    src = F.when(F.col("source_file").contains("/starts/"), "starts").otherwise("bench")
+    return out.select("unit", "entity", "minutes", src.alias("src"))
+
+
+@query(
+    "S3_conform_columns",
+    "SELECT o_orderkey AS unit, o_totalprice AS amount, CASE WHEN o_orderstatus='P' THEN 'none' ELSE o_orderstatus END AS status, CAST(0 AS DOUBLE) AS minutes FROM orders",
+)
+def _(t):
+    raw = t.orders.select(
+        F.col("o_orderkey").cast("string").alias("fixture"), F.col("o_totalprice").cast("string").alias("price"), F.nullif("o_orderstatus", F.lit("P")).alias("state")
+    )
+    return io.conform_columns(
+        raw,
+        {
+            "unit": (["unit", "fixture"], "bigint", None), "amount": (["amount", "price"], "double", 0.0),
+            "status": (["status", "state"], "string", "none"), "minutes": (["minutes", "min"], "double", 0.0),
+        },
+    )
+
+
+@query("S4_require_columns", "SELECT o_orderkey, o_custkey FROM orders")
+def _(t):
+    return io.require_columns(t.orders, ["o_orderkey", "o_custkey"], "orders").select("o_orderkey", "o_custkey")
+
+
+@query(
+    "S5_source_inventory",
+    """SELECT l_returnflag AS flag, CASE l_returnflag WHEN 'A' THEN 'players' WHEN 'N' THEN 'lineups' ELSE 'other' END AS kind, count(*) AS "rows", count(DISTINCT l_suppkey) AS entities, count(DISTINCT l_orderkey) AS units, sum(l_quantity) AS exposure
+FROM lineitem GROUP BY ALL""",
+)
+def _(t):
+    path = scratch_path(t.spark, "inventory")
+    io.write_table(t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag"), path, partition_by=["l_returnflag"])
+    rows = t.spark.read.parquet(path).select("*", F.regexp_extract(F.col("_metadata.file_path"), "l_returnflag=([A-Z])", 1).alias("flag"))
+    rules = [(F.col("flag") == "A", "players"), (F.col("flag") == "N", "lineups")]
+    return io.source_inventory(rows, "flag", "l_suppkey", "l_orderkey", "l_quantity", rules)
+
+
+@query("S6_write_table", "SELECT n_nationkey, n_name, n_regionkey, 'csv' AS fmt FROM nation UNION ALL SELECT c_custkey, c_name, c_nationkey, 'json' FROM customer")
+def _(t):
+    path = scratch_path(t.spark, "tables")
+    io.write_table(t.nation, f"{path}/csv", "csv")
+    io.write_table(t.customer.select("c_custkey", "c_name", "c_nationkey"), f"{path}/json", "json")
+    a = t.spark.read.schema("n_nationkey bigint, n_name string, n_regionkey int").option("header", True).csv(f"{path}/csv")
+    b = t.spark.read.schema("c_custkey bigint, c_name string, c_nationkey int").json(f"{path}/json")
+    return a.withColumn("fmt", F.lit("csv")).union(b.withColumn("fmt", F.lit("json")))
+
+
+@query(
+    "S7_content_digest",
+    """SELECT lang, sha256(string_agg(d, '' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS "rows" FROM (
+  SELECT lang, substr(h,1,3) AS p, sha256(string_agg(h,'' ORDER BY h)) AS d, count(*) AS n FROM (
+    SELECT lang, sha256('{"doc_id":'||doc_id||',"n_chars":'||n_chars||',"source":"'||source||'"}') AS h FROM documents) GROUP BY ALL) GROUP BY lang""",
+)
+def _(t):
+    return io.content_digest(t.documents, ["lang"], ["source", "doc_id", "n_chars"])
+
+
+@query("S8_file_manifest")
+def _(t):
+    files = io.file_manifest(t.spark, [f"{t.folder}/{n}.parquet" for n in ("nation", "region", "orders", "lineitem")])
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "bytes", F.length("sha256").alias("digest_length"))
+
+
+@query(
+    "S9_inline_hourly",
+    """SELECT s_suppkey, h AS hour, CASE WHEN s_suppkey%5<>0 THEN s_acctbal+h END AS temperature, CASE WHEN s_suppkey%7<>0 THEN CAST(h%2 AS DOUBLE) END AS rain
+FROM supplier, (SELECT unnest(range(0,24)) AS h)""",
+)
+def _(t):
+    hours = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: h.cast("bigint"))
+    temp = F.when(F.col("s_suppkey") % 5 != 0, F.transform("hours", lambda h: F.col("s_acctbal") + h)).otherwise(F.array(F.lit(1.0)))
+    rain = F.when(F.col("s_suppkey") % 7 != 0, F.transform("hours", lambda h: (h % 2).cast("double")))
+    rows = t.supplier.withColumn("hours", hours).select("s_suppkey", "hours", temp.alias("temperature"), rain.alias("rain"))
+    return io.inline_hourly(rows, ["s_suppkey"], "hours", ["temperature", "rain"]).withColumnRenamed("time", "hour")
+
+
+CTE_LEDGER = """SELECT l_orderkey AS unit, l_shipdate AS updated, l_quantity AS minutes, l_linestatus AS status, l_linenumber AS line FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_quantity DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM lineitem WHERE l_returnflag<>'N') WHERE rn=1"""
+
+
+@query("S10_upsert_ledger", CTE_LEDGER)
+def _(t):
+    path = scratch_path(t.spark, "lake")
+    cols = ["l_orderkey", "l_shipdate", "l_quantity", "l_linestatus", "l_linenumber", "l_returnflag", "l_partkey", "l_suppkey", "l_extendedprice"]
+    order = [F.col(x).desc() for x in ("l_shipdate", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey", "l_extendedprice")]
+    rows = t.lineitem.select(*cols)
+    retry = F.col("l_returnflag") == "N"
+    first = rows.where(F.col("l_linestatus") == "F")
+    ledger = latest_by_key(first.where(~retry), ["l_orderkey"], order)
+    io.append_batch(ledger, path)
+    out = io.upsert_ledger(t.spark.read.parquet(path), rows.where(F.col("l_linestatus") == "O"), ["l_orderkey"], order, retry)
+    return out.select(
+        F.col("l_orderkey").alias("unit"), F.col("l_shipdate").alias("updated"), F.col("l_quantity").alias("minutes"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("line")
+    )

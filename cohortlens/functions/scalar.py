@@ -22,15 +22,31 @@ def c(col: Col) -> Column:
 _NUMERIC = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
+_NUMBER_TYPES = ("double", "float", "bigint", "int", "smallint", "tinyint")
+
+
+def _is_number(col: Column) -> Column:
+    """Known when the plan is analysed, so the branch not taken is folded away."""
+    return F.typeof(col).isin(*_NUMBER_TYPES)
+
+
 def to_number(col: Col) -> Column:
-    """Text to double; anything that is not a number becomes null."""
-    text = c(col).cast("string")
-    return F.when(text.rlike(_NUMERIC), F.trim(text).try_cast("double"))
+    """Text to double; anything that is not a number becomes null. Numbers pass."""
+    v = c(col)
+    text = v.cast("string")
+    return F.when(_is_number(v), v.try_cast("double")).otherwise(
+        F.when(text.rlike(_NUMERIC), F.trim(text).try_cast("double"))
+    )
 
 
 def to_number0(col: Col) -> Column:
     """As :func:`to_number`, ``%`` removed, and 0 instead of null."""
-    return F.coalesce(to_number(F.regexp_replace(c(col).cast("string"), "%", "")), F.lit(0.0))
+    v = c(col)
+    plain = F.replace(v.cast("string"), F.lit("%"), F.lit(""))
+    value = F.when(_is_number(v), v.try_cast("double")).otherwise(
+        F.when(plain.rlike(_NUMERIC), F.trim(plain).try_cast("double"))
+    )
+    return F.coalesce(value, F.lit(0.0))
 
 
 def to_bool(col: Col) -> Column:
@@ -108,15 +124,15 @@ def stats_map(array: Col, key: str = "type", value: str = "value") -> Column:
         c(array),
         lambda s: F.struct(
             normalise_key(s[key]).alias("key"),
-            to_number(F.regexp_replace(s[value].cast("string"), "%", "")).alias("value"),
+            to_number(F.replace(s[value].cast("string"), F.lit("%"), F.lit(""))).alias("value"),
         ),
     )
-    named = F.filter(keyed, lambda s: s["key"].isNotNull())
-    last = F.filter(
-        F.transform(named, lambda s, i: F.struct(s["key"].alias("key"), s["value"].alias("value"), i.alias("i"))),
-        lambda s: F.size(F.filter(F.slice(named, s["i"] + 2, F.size(named)), lambda later: later["key"] == s["key"])) == 0,
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    return F.aggregate(
+        F.filter(keyed, lambda s: s["key"].isNotNull()),
+        empty,
+        lambda m, s: F.map_concat(F.map_filter(m, lambda k, _: k != s["key"]), F.create_map(s["key"], s["value"])),
     )
-    return F.map_from_entries(F.transform(last, lambda s: F.struct(s["key"], s["value"])))
 
 
 def pick(mapping: Col, *names: str) -> Column:
