@@ -9,7 +9,18 @@ from ..sources import schema as S
 from .base import CTE, Tables
 
 
+_BUILT: dict = {}
+
+
 def unit_payloads(t: Tables):
+    """The payload frame; its many expressions are built once per session and folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _BUILT:
+        _BUILT[key] = _build(t)
+    return _BUILT[key]
+
+
+def _build(t: Tables):
     c, lit = F.col, F.lit
     struct = lambda **kw: F.struct(*[v.alias(k) for k, v in kw.items()])
     home_id = c("l_suppkey") % 25

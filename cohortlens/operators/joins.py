@@ -14,21 +14,19 @@ from ..functions.scalar import normalise_text
 from .ordered import join_on
 
 
+def _unique(df: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
+    """``df`` with one row per key, or a failing job when a key repeats. One aggregation
+    both checks and places the rows for the join."""
+    rest = [x for x in df.columns if x not in keys]
+    one = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(F.lit(0).alias("__z"), *rest)).alias("__r"))
+    row = F.when(F.col("__n") > 1, F.raise_error(F.lit(f"repeated key on the {side} side"))).otherwise(F.col("__r"))
+    return one.select(*keys, row.alias("__r")).select(*keys, *[F.col(f"__r.{x}").alias(x) for x in rest])
+
+
 def validated_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", one_to_one: bool = False) -> DataFrame:
-    """Join that fails when a key is repeated on the right (m:1) or on either side
-    (1:1). The check rides along: key counts are joined and asserted row by row."""
-    unique = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    checked = right.join(unique, list(keys)).withColumn(
-        "__ok", F.when(F.col("__n") > 1, F.raise_error(F.lit("repeated key on the right side"))).otherwise(F.lit(True))
-    )
-    out = left
-    if one_to_one:
-        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m"))
-        out = left.join(counts, list(keys)).where(
-            F.when(F.col("__m") > 1, F.raise_error(F.lit("repeated key on the left side")).cast("boolean")).otherwise(True)
-        ).drop("__m")
-    joined = out.join(checked.drop("__n"), list(keys), how)
-    return joined.where(F.col("__ok").isNull() | F.col("__ok")).drop("__ok")
+    """Join that fails when a key is repeated on the right (m:1) or on either side (1:1)."""
+    lhs = _unique(left, keys, "left") if one_to_one else left
+    return lhs.join(_unique(right, keys, "right"), list(keys), how)
 
 
 def side_rows(units: DataFrame, columns: Sequence[str], home: str = "home_id", away: str = "away_id", side: str = "side") -> DataFrame:
