@@ -1 +1,271 @@
-"""Queries."""
+"""Forecast and back-test queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import aggregates as A
+from ..operators import ordered
+from ..operators.windows import sequence_flag
+from ..plans import forecast as M
+from .base import CTE, CTE_DEPS, query
+
+
+def r6(*names):
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def matches(t):
+    """Finished orders as matches between nations; a competition is a league."""
+    return t.units().where(F.col("status") != "NS").select(F.col("league").alias("comp"), "unit", "ts", "home", "away", "home_goals", "away_goals")
+
+
+def form_features(t):
+    """Side features of every second match, from its order lines: odd lines belong to
+    the home side, even ones to the away side."""
+    m = matches(t).where(F.col("unit") % 2 == 0)
+    li = t.lineitem.select(
+        F.col("l_orderkey").alias("unit"), (F.col("l_linenumber") % 2 == 1).alias("odd"), F.col("l_quantity").alias("minutes"), F.round(F.col("l_discount") * 100).alias("rating"),
+        F.col("l_linenumber").cast("double").alias("shots"), F.lit(10.0).alias("passes"), F.col("l_linenumber").cast("double").alias("passes_accurate"), F.lit(1.0).alias("duels"), F.lit(0.0).alias("duels_won"),
+    )
+    rows = li.join(m, "unit").withColumn("side", F.when(F.col("odd"), F.col("home")).otherwise(F.col("away")))
+    return A.side_unit_features(rows, ["unit", "side"])
+
+
+CTE["mt"] = "SELECT league AS comp, unit, ts, home, away, home_goals, away_goals, CASE WHEN home_goals>away_goals THEN 'H' WHEN home_goals=away_goals THEN 'D' ELSE 'A' END AS actual FROM u WHERE status<>'NS'"
+CTE_DEPS["mt"] = ("u",)
+CTE["msd"] = """
+SELECT *, coalesce(sum(f) OVER w,0) AS gf, coalesce(sum(g) OVER w,0) AS ga, count(*) OVER w AS games FROM (
+  SELECT comp, unit, ts, 'home' AS venue, home AS side, home_goals AS f, away_goals AS g FROM mt UNION ALL SELECT comp, unit, ts, 'away', away, away_goals, home_goals FROM mt) WINDOW w AS (PARTITION BY comp, side ORDER BY ts, unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+CTE_DEPS["msd"] = ("mt",)
+CTE["pri"] = """
+SELECT m.*, h.gf AS home_gf, h.ga AS home_ga, h.games AS home_games, a.gf AS away_gf, a.ga AS away_ga, a.games AS away_games FROM (
+  SELECT *, count(*) OVER w AS prior_matches, coalesce(sum(home_goals+away_goals) OVER w,0) AS prior_goals, coalesce(sum(CAST(actual='H' AS INTEGER)) OVER w,0) AS prior_h, coalesce(sum(CAST(actual='D' AS INTEGER)) OVER w,0) AS prior_d, coalesce(sum(CAST(actual='A' AS INTEGER)) OVER w,0) AS prior_a
+  FROM mt WINDOW w AS (PARTITION BY comp ORDER BY ts, unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) m
+JOIN (SELECT * FROM msd WHERE venue='home') h ON m.unit=h.unit JOIN (SELECT * FROM msd WHERE venue='away') a ON m.unit=a.unit"""
+CTE_DEPS["pri"] = ("mt", "msd")
+
+
+@query(
+    "W13_expanding_prior",
+    "SELECT comp, unit, prior_matches, CAST(prior_goals AS BIGINT) AS prior_goals, CAST(prior_h AS BIGINT) AS prior_h, CAST(prior_d AS BIGINT) AS prior_d, CAST(prior_a AS BIGINT) AS prior_a, CAST(home_gf AS BIGINT) AS home_gf, CAST(home_ga AS BIGINT) AS home_ga, home_games, CAST(away_gf AS BIGINT) AS away_gf, CAST(away_ga AS BIGINT) AS away_ga, away_games FROM pri",
+    ("pri",),
+)
+def _(t):
+    cols = ["prior_matches", "prior_goals", "prior_h", "prior_d", "prior_a", "home_gf", "home_ga", "home_games", "away_gf", "away_ga", "away_games"]
+    return M.expanding_prior(matches(t)).select("comp", "unit", *cols)
+
+
+@query(
+    "W14_last_k_mean",
+    """SELECT user_id, event_id, round(coalesce(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING),6.5e0),6) AS last5 FROM events""",
+)
+def _(t):
+    ev = t.events.select("user_id", "event_id", "ts", "value")
+    out = ordered.last_k(ev, ["user_id"], [F.col("ts"), F.col("event_id")], 5, {"last5": F.avg("value")})
+    return out.select("user_id", "event_id", F.round(F.coalesce("last5", F.lit(6.5)), 6).alias("last5"))
+
+
+CTE["fkt"] = "SELECT unnest(range(0,11)) AS k, unnest([1e0,1e0,2e0,6e0,24e0,120e0,720e0,5040e0,40320e0,362880e0,3628800e0]) AS fk"
+CTE["rt"] = """
+SELECT *, CASE WHEN gr>0 THEN least(greatest((home_gf+4e0*gr)/(home_games+4e0)*((away_ga+4e0*gr)/(away_games+4e0))/gr,0.2e0),4.5e0) ELSE 0.2e0 END AS lh, CASE WHEN gr>0 THEN least(greatest((away_gf+4e0*gr)/(away_games+4e0)*((home_ga+4e0*gr)/(home_games+4e0))/gr,0.2e0),4.5e0) ELSE 0.2e0 END AS la
+FROM (SELECT *, CASE WHEN prior_matches>0 THEN prior_goals*1e0/(2*prior_matches) ELSE 1.35e0 END AS gr FROM pri)"""
+CTE_DEPS["rt"] = ("pri",)
+
+
+@query("M4_base_rate_forecast", "SELECT comp, unit, round((1e0+prior_h)/(prior_matches+3),6) AS base_home, round((1e0+prior_d)/(prior_matches+3),6) AS base_draw, round((1e0+prior_a)/(prior_matches+3),6) AS base_away FROM pri", ("pri",))
+def _(t):
+    return M.base_rate(M.expanding_prior(matches(t))).select("comp", "unit", *r6("base_home", "base_draw", "base_away"))
+
+
+@query("M5_shrunk_rates", "SELECT comp, unit, round(gr,6) AS global_rate, round(lh,6) AS lambda_home, round(la,6) AS lambda_away FROM rt", ("rt",))
+def _(t):
+    return M.shrunk_rates(M.expanding_prior(matches(t))).select("comp", "unit", *r6("global_rate", "lambda_home", "lambda_away"))
+
+
+# Rates of the shared-table binding for the matrix queries: straight from the goals.
+def given_rates(t):
+    u = t.units().where(F.col("status") == "FT")
+    return u.select("unit", (0.3 + F.col("home_goals") * 0.7).alias("lh"), (0.4 + F.col("away_goals") * 0.5).alias("la"), ((F.col("unit") % 9 - 4) / 20.0).alias("rho"), "home_goals", "away_goals")
+
+
+CTE["gv"] = "SELECT unit, 0.3e0+home_goals*0.7e0 AS lh, 0.4e0+away_goals*0.5e0 AS la, (unit%9-4)/20e0 AS rho, home_goals, away_goals FROM ft"
+CTE_DEPS["gv"] = ("ft",)
+CTE["cell"] = """
+SELECT unit, i, j, v/sum(v) OVER (PARTITION BY unit) AS p FROM (SELECT unit, a.k AS i, b.k AS j, exp(a.k*ln(lh)-lh)/a.fk*exp(b.k*ln(la)-la)/b.fk*CASE WHEN a.k=0 AND b.k=0 THEN greatest(0.05e0,1-lh*la*rho) WHEN a.k=0 AND b.k=1 THEN greatest(0.05e0,1+lh*rho) WHEN a.k=1 AND b.k=0 THEN greatest(0.05e0,1+la*rho) WHEN a.k=1 AND b.k=1 THEN greatest(0.05e0,1-rho) ELSE 1e0 END AS v FROM gv, fkt a, fkt b)"""
+CTE_DEPS["cell"] = ("gv", "fkt")
+
+
+@query("M1_poisson_matrix", "SELECT unit, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(p,6) AS p FROM cell", ("cell",))
+def _(t):
+    return M.poisson_matrix(given_rates(t), ["unit"], "lh", "la", "rho").select("unit", "i", "j", *r6("p"))
+
+
+CTE["opr"] = "SELECT unit, sum(CASE WHEN i>j THEN p ELSE 0e0 END) AS p_home, sum(CASE WHEN i=j THEN p ELSE 0e0 END) AS p_draw, sum(CASE WHEN i<j THEN p ELSE 0e0 END) AS p_away FROM cell GROUP BY unit"
+CTE_DEPS["opr"] = ("cell",)
+
+
+@query("M2_outcome_probs", "SELECT unit, round(p_home,6) AS p_home, round(p_draw,6) AS p_draw, round(p_away,6) AS p_away FROM opr", ("opr",))
+def _(t):
+    return M.outcome_probs(given_rates(t), "lh", "la", "rho").select("unit", *r6("p_home", "p_draw", "p_away"))
+
+
+_SCORE = """round((ph-CAST(actual='H' AS INTEGER))**2+(pd-CAST(actual='D' AS INTEGER))**2+(pa-CAST(actual='A' AS INTEGER))**2,6) AS brier, round(-ln(greatest(1e-12,CASE actual WHEN 'H' THEN ph WHEN 'D' THEN pd ELSE pa END)),6) AS log_loss,
+  round(((ph-CAST(actual='H' AS INTEGER))**2+(ph+pd-CAST(actual<>'A' AS INTEGER))**2)/2e0,6) AS rps, CASE WHEN round(ph,12)>=round(pd,12) AND round(ph,12)>=round(pa,12) THEN 'H' WHEN round(pd,12)>=round(pa,12) THEN 'D' ELSE 'A' END=actual AS accuracy"""
+
+
+@query(
+    "M3_proper_scores",
+    f"SELECT unit, {_SCORE} FROM (SELECT opr.unit, p_home AS ph, p_draw AS pd, p_away AS pa, CASE WHEN away_goals>home_goals THEN 'A' WHEN home_goals=away_goals THEN 'D' ELSE 'H' END AS actual FROM opr JOIN gv ON opr.unit=gv.unit)",
+    ("opr", "gv"),
+)
+def _(t):
+    from ..functions.scalar import outcome_label
+
+    rows = M.outcome_probs(given_rates(t), "lh", "la", "rho").withColumn("actual", outcome_label("home_goals", "away_goals"))
+    return M.proper_scores(rows).select("unit", *r6("brier", "log_loss", "rps"), "accuracy")
+
+
+CTE["fc"] = "SELECT * FROM rt WHERE prior_matches>=12"
+CTE_DEPS["fc"] = ("rt",)
+CTE["pm"] = """
+SELECT fc.comp, fc.unit, fc.ts, fc.actual, lh, la, home_goals, away_goals, base.*, s.* EXCLUDE (unit) FROM fc JOIN (SELECT unit AS bu, (1e0+prior_h)/(prior_matches+3) AS bh, (1e0+prior_d)/(prior_matches+3) AS bd, (1e0+prior_a)/(prior_matches+3) AS ba FROM fc) base ON fc.unit=bu
+JOIN (SELECT unit, sum(CASE WHEN i>j THEN v ELSE 0e0 END) AS sh, sum(CASE WHEN i=j THEN v ELSE 0e0 END) AS sd, sum(CASE WHEN i<j THEN v ELSE 0e0 END) AS sa, max(CASE WHEN i=0 AND j=0 THEN v END) AS v00, max(CASE WHEN i=0 AND j=1 THEN v END) AS v01, max(CASE WHEN i=1 AND j=0 THEN v END) AS v10, max(CASE WHEN i=1 AND j=1 THEN v END) AS v11, max(CASE WHEN i=gh AND j=ga THEN v END) AS vg FROM (
+  SELECT unit, home_goals AS gh, away_goals AS ga, a.k AS i, b.k AS j, exp(a.k*ln(lh)-lh)/a.fk*(exp(b.k*ln(la)-la)/b.fk) AS v FROM fc, fkt a, fkt b) GROUP BY unit) s ON fc.unit=s.unit"""
+CTE_DEPS["pm"] = ("fc", "fkt")
+CTE["ll"] = """
+SELECT comp, unit, ts, k, ln(greatest(1e-12, vg*CASE WHEN home_goals=0 AND away_goals=0 THEN t00 WHEN home_goals=0 AND away_goals=1 THEN t01 WHEN home_goals=1 AND away_goals=0 THEN t10 WHEN home_goals=1 AND away_goals=1 THEN t11 ELSE 1e0 END/(sh+sd+sa+v00*(t00-1)+v01*(t01-1)+v10*(t10-1)+v11*(t11-1)))) AS l FROM (
+  SELECT *, greatest(0.05e0,1-lh*la*r) AS t00, greatest(0.05e0,1+lh*r) AS t01, greatest(0.05e0,1+la*r) AS t10, greatest(0.05e0,1-r) AS t11 FROM (SELECT pm.*, k, k*0.005e0-0.2e0 AS r FROM pm, (SELECT unnest(range(0,81)) AS k)))"""
+CTE_DEPS["ll"] = ("pm",)
+CTE["rho"] = """
+SELECT comp, unit, CASE WHEN max(seen)>=10 THEN round(arg_max(k, (s, -k))*0.005e0-0.2e0,6) ELSE 0e0 END AS rho FROM (
+  SELECT comp, unit, k, round(coalesce(sum(l) OVER w,0e0),9) AS s, count(*) OVER w AS seen FROM ll WINDOW w AS (PARTITION BY comp, k ORDER BY ts, unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) GROUP BY comp, unit"""
+CTE_DEPS["rho"] = ("ll",)
+
+
+@query("M6_rho_grid_fit", "SELECT comp, unit, rho FROM rho", ("rho",))
+def _(t):
+    from ..session import cut_lineage
+
+    state = cut_lineage(M.shrunk_rates(M.expanding_prior(matches(t))).where(F.col("prior_matches") >= M.WARM_UP))
+    return M.rho_grid_fit(state).select("comp", "unit", "rho")
+
+
+@query("M7_elo_ratings")
+def _(t):
+    return M.elo_ratings(matches(t)).select("comp", "unit", *r6("elo_home", "elo_away"))
+
+
+@query("M8_form_logit")
+def _(t):
+    from ..session import cut_lineage
+
+    m = cut_lineage(matches(t))
+    rows = M.base_rate(M.expanding_prior(m))
+    rows = rows.join(M.elo_ratings(m), ["comp", "unit"]).join(M.last_form(m, form_features(t)), ["comp", "unit"])
+    return M.form_logit(rows).select("comp", "unit", *r6("edge", "form_home", "form_draw", "form_away"))
+
+
+CTE["dc"] = """
+SELECT pm.*, rho.rho, greatest(0.05e0,1-lh*la*rho) AS t00, greatest(0.05e0,1+lh*rho) AS t01, greatest(0.05e0,1+la*rho) AS t10, greatest(0.05e0,1-rho) AS t11 FROM pm JOIN rho ON pm.unit=rho.unit"""
+CTE_DEPS["dc"] = ("pm", "rho")
+CTE["bt"] = f"""
+SELECT comp, unit, model, actual, ph, pd, pa, {_SCORE} FROM (
+ SELECT comp, unit, actual, 'naive_base_rate' AS model, bh AS ph, bd AS pd, ba AS pa FROM dc UNION ALL
+ SELECT comp, unit, actual, 'poisson_shrunk', sh/(sh+sd+sa), sd/(sh+sd+sa), sa/(sh+sd+sa) FROM dc UNION ALL
+ SELECT comp, unit, actual, 'dixon_coles_shrunk', (sh+v10*(t10-1))/z, (sd+v00*(t00-1)+v11*(t11-1))/z, (sa+v01*(t01-1))/z FROM (SELECT *, sh+sd+sa+v00*(t00-1)+v01*(t01-1)+v10*(t10-1)+v11*(t11-1) AS z FROM dc))"""
+CTE_DEPS["bt"] = ("dc",)
+
+
+@query("M9_rolling_backtest", "SELECT comp, unit, model, brier, log_loss, rps, accuracy FROM bt", ("bt",))
+def _(t):
+    return M.rolling_backtest(matches(t)).select("comp", "unit", "model", *r6("brier", "log_loss", "rps"), "accuracy")
+
+
+@query("M9_four_models")
+def _(t):
+    out = M.rolling_backtest(matches(t), form_features(t))
+    return A.model_scores(out, "naive_base_rate").select("model", "matches", *r6("brier_score", "log_loss", "ranked_probability_score", "top1_accuracy", "log_loss_skill_vs_naive"))
+
+
+EDGES = [0.0, 0.35, 0.45, 0.55, 0.65, 0.75, 1.0]
+LABELS = ["b1", "b2", "b3", "b4", "b5", "b6"]
+
+
+@query(
+    "A30_calibration_bins",
+    """SELECT model, bin, count(*) AS n, round(avg(c),6) AS mean_confidence, round(avg(CASE WHEN accuracy THEN 1e0 ELSE 0e0 END),6) AS observed_accuracy FROM (
+ SELECT *, CASE WHEN c<=0.35 THEN 'b1' WHEN c<=0.45 THEN 'b2' WHEN c<=0.55 THEN 'b3' WHEN c<=0.65 THEN 'b4' WHEN c<=0.75 THEN 'b5' ELSE 'b6' END AS bin FROM (SELECT *, greatest(ph,pd,pa) AS c FROM bt)) GROUP BY ALL""",
+    ("bt",),
+)
+def _(t):
+    return A.calibration_bins(M.rolling_backtest(matches(t)), EDGES, LABELS).select("model", "bin", "n", *r6("mean_confidence", "observed_accuracy"))
+
+
+@query(
+    "A31_model_scores",
+    """SELECT model, count(*) AS matches, round(avg(brier),4) AS brier_score, round(avg(log_loss),4) AS log_loss, round(avg(rps),4) AS ranked_probability_score, round(avg(CASE WHEN accuracy THEN 1e0 ELSE 0e0 END),6) AS top1_accuracy,
+  round(1-avg(log_loss)/(SELECT avg(log_loss) FROM bt WHERE model='naive_base_rate'),4) AS log_loss_skill_vs_naive FROM bt GROUP BY model""",
+    ("bt",),
+)
+def _(t):
+    out = A.model_scores(M.rolling_backtest(matches(t)), "naive_base_rate")
+    four = [F.round(x, 4).alias(x) for x in ("brier_score", "log_loss", "ranked_probability_score", "log_loss_skill_vs_naive")]
+    return out.select("model", "matches", *four, *r6("top1_accuracy"))
+
+
+CTE["str"] = """
+SELECT side, strength, attack, defence, (strength-avg(strength) OVER ())/greatest(stddev_pop(strength) OVER (),1e-9) AS z FROM (
+ SELECT side, sum(w*strength)/sum(w) AS strength, sum(w*attack)/sum(w) AS attack, sum(w*defence)/sum(w) AS defence FROM (
+  SELECT *, sqrt(greatest(minutes,90e0)) AS w, row_number() OVER (PARTITION BY side ORDER BY strength DESC, entity) AS rn FROM (SELECT *, round(0.42e0*attack+0.25e0*control+0.33e0*defence,12) AS strength FROM sq WHERE minutes>=60)) WHERE rn<=18 GROUP BY side)"""
+CTE_DEPS["str"] = ("sq",)
+CTE["ho"] = """
+SELECT u.unit, 1.3e0*exp(0.22e0*(h.z-a.z)+0.18e0*(h.attack-a.defence)) AS lh, 1.3e0*exp(-0.22e0*(h.z-a.z)+0.18e0*(a.attack-h.defence)) AS la, CASE WHEN home_goals>away_goals THEN 'H' WHEN home_goals=away_goals THEN 'D' ELSE 'A' END AS actual FROM u JOIN str h ON u.home=h.side JOIN str a ON u.away=a.side WHERE status='FT' AND season>=2000"""
+CTE_DEPS["ho"] = ("u", "str")
+
+
+@query(
+    "M10_frozen_holdout",
+    f"""SELECT unit, round(lh,6) AS lambda_home, round(la,6) AS lambda_away, {_SCORE} FROM (SELECT unit, lh, la, actual, h/(h+d+a) AS ph, d/(h+d+a) AS pd, a/(h+d+a) AS pa FROM (
+ SELECT unit, lh, la, actual, sum(CASE WHEN i>j THEN v ELSE 0e0 END) AS h, sum(CASE WHEN i=j THEN v ELSE 0e0 END) AS d, sum(CASE WHEN i<j THEN v ELSE 0e0 END) AS a FROM (SELECT ho.*, x.k AS i, y.k AS j, exp(x.k*ln(lh)-lh)/x.fk*(exp(y.k*ln(la)-la)/y.fk) AS v FROM ho, fkt x, fkt y) GROUP BY ALL))""",
+    ("ho", "fkt"),
+)
+def _(t):
+    from ..plans.ranking import squad_strength
+    from ..session import cut_lineage
+
+    totals = t.entity_units().groupBy("entity", "side").agg(*[F.sum(x).alias(x) for x in ("minutes", "goals", "shots", "passes", "duels_won", "saves")])
+    p90 = lambda x: F.col(x) * 90.0 / F.col("minutes")
+    raws = {"attack": 5.0 * p90("goals") + 0.7 * p90("shots"), "control": 0.015 * p90("passes") + 0.35 * p90("duels_won"), "defence": 0.45 * p90("saves") + 0.35 * p90("duels_won")}
+    strengths = cut_lineage(squad_strength(totals, "side", "entity", raws, 18, 60.0).select("side", "z", "attack", "defence"))
+    hold = t.units().where((F.col("status") == "FT") & (F.col("season") >= 2000))
+    return M.frozen_holdout(hold, strengths).select("unit", *r6("lambda_home", "lambda_away", "brier", "log_loss", "rps"), "accuracy")
+
+
+@query("M11_decay_weights", "SELECT unit, round(power(0.5e0, (epoch(TIMESTAMP '2001-08-01')-epoch(ts))/86400e0/365e0),9) AS weight FROM u", ("u",))
+def _(t):
+    w = M.decay_weight(F.col("ts"), F.lit("2001-08-01").cast("timestamp_ntz"), 365.0)
+    return t.units().select("unit", F.round(w, 9).alias("weight"))
+
+
+def flagged(t):
+    m = t.units().where(F.col("status") != "NS").select("unit", "league", "ts", "home", "away", "home_goals", "away_goals")
+    return sequence_flag(m, ["league"], [F.col("ts"), F.col("unit")], 72)
+
+
+@query("M12_poisson_glm")
+def _(t):
+    m = flagged(t)
+    return M.glm_rates(M.poisson_glm(m, 0.1, None), m).select("unit", *[F.round(x, 4).alias(x) for x in ("lambda_home", "lambda_away")])
+
+
+@query("M13_grid_tune")
+def _(t):
+    return M.grid_tune(flagged(t), 200).select("alpha", "half_life", "matches", F.round("log_loss", 4).alias("log_loss"))
+
+
+@query("M14_bootstrap_rates")
+def _(t):
+    out = M.bootstrap_rates(flagged(t), (3, 7), {3: 1.4, 7: 1.2}, 200, 11)
+    q = ordered.quantiles(out, ["side"], ["rate"], {"low": 0.025, "mid": 0.5, "high": 0.975})
+    return q.select("side", *r6("rate_low", "rate_mid", "rate_high"))

@@ -1 +1,77 @@
-"""Queries."""
+"""Streaming queries: the events table is laid out by day in the shared folder and
+replayed from there."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..session import scratch_path
+from ..streaming import streams as T
+from .base import query
+from .forecast_q import matches
+
+
+def replay(t, max_files=None):
+    """Events as a file stream, one folder per day."""
+    path = scratch_path(t.spark, "replay")
+    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("v", F.floor(F.col("value")))
+    rows = rows.withColumn("day", F.to_date("ts"))
+    rows.repartition("day").write.partitionBy("day").parquet(path)
+    schema = rows.drop("day").schema
+    return T.stream_batches(t.spark, f"{path}/day=*", schema, max_files=max_files)
+
+
+def to_table(t, stream, mode="append"):
+    """Drain a stream into a table of the shared folder and read it back."""
+    path = scratch_path(t.spark, "sink")
+    T.drain(stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", scratch_path(t.spark, "ckpt")))
+    return t.spark.read.schema(stream.schema).parquet(path)
+
+
+@query("T1_stream_batches", "SELECT event_type, count(*) AS n, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS v FROM events GROUP BY event_type")
+def _(t):
+    out = to_table(t, replay(t, max_files=8).select("event_type", "v"))
+    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"))
+
+
+@query(
+    "T2_stream_upsert",
+    """SELECT user_id, event_type, event_id, n AS attempts FROM (SELECT e.*, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events e WHERE event_id%5<>0) JOIN (
+  SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) USING (user_id, event_type) WHERE rn=1""",
+)
+def _(t):
+    path = scratch_path(t.spark, "upsert")
+    keys, order = ["user_id", "event_type"], [F.col("ts").desc(), F.col("event_id").desc()]
+    stream = replay(t, max_files=8).select("user_id", "event_type", "event_id", "ts")
+    T.drain(T.stream_upsert(stream, keys, order, F.col("event_id") % 5 == 0, path, scratch_path(t.spark, "ckpt")))
+    return T.upsert_view(t.spark, path, keys, order).select("user_id", "event_type", "event_id", "attempts")
+
+
+@query("T3_stream_elo")
+def _(t):
+    path = scratch_path(t.spark, "matches")
+    m = matches(t).select(
+        F.col("comp").cast("string").alias("comp"), "unit", F.col("ts").cast("timestamp").alias("ts"), F.col("home").cast("long").alias("home"), F.col("away").cast("long").alias("away"), "home_goals", "away_goals"
+    )
+    m.withColumn("y", F.year("ts")).repartition("y").write.partitionBy("y").parquet(path)
+    # One micro-batch: files of different years carry no order of their own.
+    stream = T.stream_batches(t.spark, f"{path}/y=*", m.schema)
+    return to_table(t, T.stream_elo(stream)).select("comp", "unit", F.round("elo_home", 6).alias("elo_home"), F.round("elo_away", 6).alias("elo_away"))
+
+
+@query(
+    "T4_stream_entity_totals",
+    """SELECT strftime(s,'%Y-%m-%d') AS day, user_id, n, v FROM (SELECT date_trunc('day', ts) AS s, user_id, count(*) AS n, CAST(sum(floor(value)) AS DOUBLE) AS v FROM events GROUP BY ALL)
+WHERE s + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+)
+def _(t):
+    totals = T.stream_entity_totals(replay(t).withColumn("v", F.col("v").cast("double")), "ts", "user_id", ["v"], "1 hour", "1 day")
+    return to_table(t, totals).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "user_id", "n", "v")
+
+
+@query("T5_late_requery", "SELECT user_id, count(*) AS n, CAST(sum(CAST(floor(value) AS BIGINT)) AS DOUBLE) AS v FROM events GROUP BY user_id")
+def _(t):
+    path = scratch_path(t.spark, "requery")
+    stream = replay(t, max_files=8).withColumn("v", F.col("v").cast("double")).select("user_id", "ts", "v")
+    T.drain(T.late_requery(stream, "ts", ["user_id"], ["v"], 3600, path, scratch_path(t.spark, "ckpt")))
+    return T.requery_view(t.spark, path, ["user_id"], ["v"]).select("user_id", "n", "v")

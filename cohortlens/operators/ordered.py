@@ -137,22 +137,24 @@ def row_index(
 
 
 def last_k(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, aggs: Mapping[str, Column]
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, aggs: Mapping[str, Column], current: bool = False
 ) -> DataFrame:
-    """Aggregates over the ``k`` rows before the current one. Beyond the group limit the
-    rows are cut into blocks by position and each block gets the last ``k`` rows of the
-    block before it, so every frame is complete inside its block."""
+    """Aggregates over the ``k`` rows before the current one, or over the last ``k``
+    with it (``current``). Beyond the group limit the rows are cut into blocks by
+    position and each block gets the last ``k`` rows of the block before it, so every
+    frame is complete inside its block."""
     keys = list(keys)
+    frame = (-k + 1, 0) if current else (-k, -1)
     limit = group_limit(df.sparkSession)
-    if largest_group(df, keys) <= limit:
-        w = _window(keys, order).rowsBetween(-k, -1)
+    if fits(df, keys):
+        w = _window(keys, order).rowsBetween(*frame)
         return df.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
     size = max(limit, k + 1)
-    placed = prefix(df, keys, order, index="__i").withColumn("__b", F.floor(F.col("__i") / size))
+    placed = prefix(df, keys, order, index="__i", small=False).withColumn("__b", F.floor(F.col("__i") / size))
     halo = F.col("__i") % size >= size - k
     copies = F.when(halo, F.array(F.col("__b"), F.col("__b") + 1)).otherwise(F.array(F.col("__b")))
     spread = placed.withColumn("__block", F.explode(copies))
-    w = Window.partitionBy(*keys, "__block").orderBy("__i").rowsBetween(-k, -1)
+    w = Window.partitionBy(*keys, "__block").orderBy("__i").rowsBetween(*frame)
     out = spread.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
     return out.where(F.col("__b") == F.col("__block")).drop("__i", "__b", "__block")
 
