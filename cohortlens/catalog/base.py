@@ -21,7 +21,13 @@ REGISTRY: dict[str, "Entry"] = {}
 class Entry:
     name: str
     build: Callable[["Tables"], DataFrame]
-    sql: str | None
+    body: str | None
+    ctes: tuple[str, ...] = ()
+
+    @property
+    def sql(self) -> str | None:
+        """The SQL twin with its CTEs; complete once all modules are loaded."""
+        return with_ctes(self.body, self.ctes) if self.body else None
 
 
 def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()):
@@ -30,7 +36,7 @@ def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()):
     def wrap(fn: Callable[["Tables"], DataFrame]):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Entry(name, fn, with_ctes(sql, ctes) if sql else None)
+        REGISTRY[name] = Entry(name, fn, sql, ctes)
         return fn
 
     return wrap

@@ -13,19 +13,27 @@ from .base import CTE, CTE_DEPS, query
 from .payloads import unit_payloads
 from .windows_q import COHORTS, slim
 
-# Text encodings of a number, chosen per row by the line number.
-_ENC = F.when(F.col("l_linenumber") == 1, F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("%"))).when(
-    F.col("l_linenumber") == 2, F.concat(F.lit(" "), F.col("l_quantity").cast("int").cast("string"), F.lit(" "))
-).when(F.col("l_linenumber") == 3, "").when(F.col("l_linenumber") == 4, "1d").when(F.col("l_linenumber") == 5, "n/a").when(
-    F.col("l_linenumber") == 6, F.lit(None)
-).otherwise("-2.5e1")
+def encoded():
+    """A quantity as text, in an encoding chosen by the line number."""
+    n, qty = F.col("l_linenumber"), F.col("l_quantity").cast("int").cast("string")
+    return (
+        F.when(n == 1, F.concat(qty, F.lit("%")))
+        .when(n == 2, F.concat(F.lit(" "), qty, F.lit(" ")))
+        .when(n == 3, "")
+        .when(n == 4, "1d")
+        .when(n == 5, "n/a")
+        .when(n == 6, F.lit(None))
+        .otherwise("-2.5e1")
+    )
+
+
 CTE["enc"] = """
 SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, CASE l_linenumber WHEN 1 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || '%' WHEN 2 THEN ' ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ' '
   WHEN 3 THEN '' WHEN 4 THEN '1d' WHEN 5 THEN 'n/a' WHEN 6 THEN NULL ELSE '-2.5e1' END AS txt FROM lineitem"""
 
 
 def enc(t):
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", _ENC.alias("txt"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", encoded().alias("txt"))
 
 
 def r6(*names):

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bucketise, clip, finite_or_zero, per_exposure, safe_ratio
@@ -37,13 +37,17 @@ def entity_features(
     cards: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Counter sums per entity, per-90 rates, guarded ratios, and the mean rating over
-    rated rows. The rating mean is by ``rating_key`` alone; with it among ``keys`` and
-    one key row per entity both come out of the same shuffle."""
-    sums = rows.groupBy(*keys).agg(*[zsum(x).alias(x) for x in [exposure, *counters]])
-    out = sums
+    rated rows, which is by ``rating_key`` alone."""
+    aggs = [zsum(x).alias(x) for x in [exposure, *counters]]
     if rating:
-        rated = rows.where(F.col(rating) > 0).groupBy(rating_key).agg(F.avg(rating).alias(f"{rating}_mean"))
-        out = join_on(out, rated, [rating_key], "left")
+        rated = F.when(F.col(rating) > 0, F.col(rating))
+        aggs += [F.sum(rated).alias("__rs"), F.count(rated).alias("__rn")]
+    out = rows.groupBy(*keys).agg(*aggs)
+    if rating:
+        # The rows are read once: an entity has few key rows left after the aggregation.
+        w = Window.partitionBy(rating_key)
+        mean = F.sum("__rs").over(w) / F.nullif(F.sum("__rn").over(w), F.lit(0))
+        out = out.withColumn(f"{rating}_mean", mean).drop("__rs", "__rn")
     cols = [per_exposure(r, exposure).alias(f"{r}_p90") for r in rates]
     if cards:
         weighted = F.col(cards[0]) + 2 * F.col(cards[1])

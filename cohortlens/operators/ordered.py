@@ -37,7 +37,8 @@ def join_on(
     if not keys:
         return left.join(F.broadcast(right), F.lit(True), how)
     if not nulls:
-        return left.join(right, list(keys), how)
+        rest = [x for x in right.columns if x not in keys]
+        return left.join(right, list(keys), how).select(*left.columns, *rest)
     renamed = right
     for k in keys:
         renamed = renamed.withColumnRenamed(k, f"__r_{k}")
