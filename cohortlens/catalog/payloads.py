@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..sources import schema as S
 from .base import CTE, Tables
 
@@ -125,7 +126,7 @@ def _build(t: Tables):
         events=F.when(n != 1, events),
         statistics=F.array(block(home_id, lit(0)), block(away_id, lit(2))),
     )
-    return t.lineitem.select(*[blocks[name].cast(kind).alias(name) for name, kind in S.UNIT_FIELDS.items()])
+    return spread(t.lineitem).select(*[blocks[name].cast(kind).alias(name) for name, kind in S.UNIT_FIELDS.items()])
 
 
 CTE["pay"] = """

@@ -15,7 +15,7 @@ from ..functions.scalar import clip, outcome_label
 from ..operators import ordered
 from ..operators.ordered import join_on
 from ..operators.sets import two_side_rows
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 MAX_GOALS = 10
 EPS = 1e-12
@@ -181,30 +181,41 @@ def shrunk_rates(df: DataFrame) -> DataFrame:
 def rho_grid_fit(df: DataFrame, minimum: int = 10) -> DataFrame:
     """Low-score correction per match: the grid value with the largest log-likelihood
     over all earlier forecast matches (0 before ``minimum`` of them; the lowest value on
-    ties). ``df`` holds the forecast matches with their rates. The likelihood of a match
-    is computed once per grid value and summed by one ordered pass that carries all grid
-    values as columns."""
+    ties). ``df`` holds the forecast matches with their rates. Each match is scored once
+    per grid value; a running sum per (competition, grid value) then replaces the repeated
+    sums over the history, and the grid values run side by side."""
     step = 2 * RHO_LIMIT / (RHO_GRID - 1)
+    small = ordered.fits(df, ["comp"])
     gh, ga = F.least(F.col("home_goals"), F.lit(MAX_GOALS)), F.least(F.col("away_goals"), F.lit(MAX_GOALS))
-    base = df.withColumn("__h", pmf(F.col("lambda_home"))).withColumn("__a", pmf(F.col("lambda_away")))
+    rates = ["lambda_home", "lambda_away"]
+    base = spread(df.select("comp", *ORDER, "home_goals", "away_goals", *rates))
+    base = base.withColumn("__h", pmf(F.col("lambda_home"))).withColumn("__a", pmf(F.col("lambda_away")))
     base = base.withColumn("__s", _totals(F.col("__h"), F.col("__a")))
-    h, a = F.col("__h"), F.col("__a")
-
-    def log_lik(k: Column) -> Column:
-        rho = k * F.lit(step) - F.lit(RHO_LIMIT)
-        t00, t01, t10, t11 = _tau(F.col("lambda_home"), F.col("lambda_away"), rho)
-        factor = (
-            F.when((gh == 0) & (ga == 0), t00).when((gh == 0) & (ga == 1), t01).when((gh == 1) & (ga == 0), t10).when((gh == 1) & (ga == 1), t11).otherwise(1.0)
-        )
-        p = h[gh] * a[ga] * factor / _mass(F.col("__s"), h, a, F.col("lambda_home"), F.col("lambda_away"), rho)
-        return F.log(F.greatest(F.lit(EPS), p))
-
-    grid = base.withColumn("__ll", F.transform(F.sequence(F.lit(0), F.lit(RHO_GRID - 1)), log_lik)).drop("__h", "__a", "__s")
-    sums = {f"__l{k}": F.col("__ll")[k] for k in range(RHO_GRID)}
-    run = ordered.prefix(grid, ["comp"], _order(), sums=sums, index="__seen")
-    best = F.array_max(F.array(*[F.struct(F.round(f"__l{k}", 9).alias("ll"), F.lit(-k).alias("k")) for k in range(RHO_GRID)]))
-    rho = F.when(F.col("__seen") >= minimum, -best["k"] * F.lit(step) - F.lit(RHO_LIMIT)).otherwise(0.0)
-    return run.select(*df.columns, F.round(rho, 6).alias("rho"))
+    h, a, s = F.col("__h"), F.col("__a"), F.col("__s")
+    cells = [(0, 0), (0, 1), (1, 0), (1, 1)]
+    parts = base.select(
+        "comp",
+        *ORDER,
+        *rates,
+        (s["home"] + s["draw"] + s["away"]).alias("__z"),
+        (h[gh] * a[ga]).alias("__p"),
+        F.when((gh < 2) & (ga < 2), gh * 2 + ga).otherwise(4).alias("__cell"),
+        *[(h[i] * a[j]).alias(f"__c{n}") for n, (i, j) in enumerate(cells)],
+        F.explode(F.sequence(F.lit(0), F.lit(RHO_GRID - 1))).alias("__k"),
+    )
+    taus = _tau(F.col("lambda_home"), F.col("lambda_away"), F.col("__k") * F.lit(step) - F.lit(RHO_LIMIT))
+    tried = parts.select("*", *[x.alias(f"__t{n}") for n, x in enumerate(taus)])
+    factor, mass = F.lit(1.0), F.col("__z")
+    for n in range(len(cells)):
+        factor = F.when(F.col("__cell") == n, F.col(f"__t{n}")).otherwise(factor)
+        mass = mass + F.col(f"__c{n}") * (F.col(f"__t{n}") - 1)
+    ll = tried.select("comp", *ORDER, "__k", F.log(F.greatest(F.lit(EPS), F.col("__p") * factor / mass)).alias("__ll"))
+    run = ordered.prefix(ll, ["comp", "__k"], _order(), sums={"__sum": "__ll"}, index="__seen", small=small)
+    best = run.groupBy("comp", "unit").agg(
+        F.max(F.struct(F.round("__sum", 9).alias("ll"), (-F.col("__k")).alias("k"))).alias("__b"), F.max("__seen").alias("__seen")
+    )
+    rho = F.when(F.col("__seen") >= minimum, -F.col("__b.k") * F.lit(step) - F.lit(RHO_LIMIT)).otherwise(0.0)
+    return join_on(df, best.select("comp", "unit", F.round(rho, 6).alias("rho")), ["comp", "unit"])
 
 
 # Elo start, scale and step.
@@ -300,8 +311,8 @@ def rolling_backtest(matches: DataFrame, features: DataFrame | None = None, warm
     only. Without ``features`` the fourth model is left out."""
     matches = cut_lineage(matches)
     state = cut_lineage(shrunk_rates(base_rate(expanding_prior(matches))).where(F.col("prior_matches") >= warm_up))
-    rows = outcome_probs(state, "lambda_home", "lambda_away", prefix="poi")
-    rows = outcome_probs(rho_grid_fit(rows), "lambda_home", "lambda_away", "rho", prefix="dc")
+    rows = outcome_probs(rho_grid_fit(state), "lambda_home", "lambda_away", prefix="poi")
+    rows = outcome_probs(rows, "lambda_home", "lambda_away", "rho", prefix="dc")
     models = dict(MODELS)
     if features is None:
         models.pop("transparent_form")

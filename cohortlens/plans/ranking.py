@@ -61,7 +61,7 @@ def top_members(ranked: DataFrame, n: int, cohort: str = "cohort", entity: str =
 def long_metrics(rows: DataFrame, metrics: DataFrame, keep: Sequence[str], cohort: str = "cohort") -> DataFrame:
     """(cohort, metric) rows of a wide frame; ``metrics`` decides which are kept. Columns
     the frame lacks count as 0."""
-    names = [r["metric"] for r in metrics.select("metric").distinct().collect()]  # the metric list, not data
+    names = {r["metric"] for r in metrics.select("metric").collect()}  # the metric list, not data
     present = [n for n in sorted(names) if n in rows.columns]
     return (
         rows.select(*keep, *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in present])

@@ -23,6 +23,9 @@ def strict(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Lets small inputs be read by all cores; large ones are cut at maxPartitionBytes
+        # whatever this is.
+        "spark.sql.files.openCostInBytes": str(1 << 20),
     }
     for key, value in wanted.items():
         spark.conf.set(key, value)
@@ -55,6 +58,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before work that is heavy per row, when the input has fewer
+    partitions than the cluster has cores (few row groups, one small file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= 2 * cores else df
+
+
 def group_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_LIMIT_KEY, str(GROUP_LIMIT_DEFAULT)))
 
