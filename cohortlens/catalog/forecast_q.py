@@ -21,9 +21,9 @@ def matches(t):
 
 
 def form_features(t):
-    """Side features of every second match, from its order lines: odd lines belong to
-    the home side, even ones to the away side."""
-    m = matches(t).where(F.col("unit") % 2 == 0)
+    """Side features of matches decided in regular time, from their order lines: odd
+    lines belong to the home side, even ones to the away side."""
+    m = matches(t).join(t.units().where(F.col("status") == "FT").select("unit"), "unit", "left_semi")
     li = t.lineitem.select(
         F.col("l_orderkey").alias("unit"), (F.col("l_linenumber") % 2 == 1).alias("odd"), F.col("l_quantity").alias("minutes"), F.round(F.col("l_discount") * 100).alias("rating"),
         F.col("l_linenumber").cast("double").alias("shots"), F.lit(10.0).alias("passes"), F.col("l_linenumber").cast("double").alias("passes_accurate"), F.lit(1.0).alias("duels"), F.lit(0.0).alias("duels_won"),

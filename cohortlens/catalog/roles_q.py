@@ -83,16 +83,16 @@ def _(t):
 
 
 def _appearances(t):
-    """Starts of finished orders lose their precise role, so that some are recovered."""
+    """Short starts carry no precise role, so that some are recovered."""
     rows = lineups(t).select("unit", "entity", "minutes")
-    starts = R.infer_roles(lineups(t)).where(F.col("unit") % 3 != 0).select("unit", "entity", "role")
+    starts = R.infer_roles(lineups(t)).where(F.col("minutes") > 30).select("unit", "entity", "role")
     return rows, starts
 
 
 @query(
     "K3_attribute_to_role",
     """SELECT l.unit, l.entity, primary_role, CASE WHEN primary_role IS NULL THEN 'excluded' WHEN r.role IS NULL THEN 'recovered' WHEN r.role=primary_role THEN 'consistent' ELSE 'reassigned' END AS source
-FROM lup l LEFT JOIN (SELECT unit, entity, role FROM inf WHERE unit%3<>0) r ON l.unit=r.unit AND l.entity=r.entity LEFT JOIN (SELECT * FROM prim WHERE NOT ambiguous) p ON l.entity=p.entity""",
+FROM lup l LEFT JOIN (SELECT unit, entity, role FROM inf WHERE minutes>30) r ON l.unit=r.unit AND l.entity=r.entity LEFT JOIN (SELECT * FROM prim WHERE NOT ambiguous) p ON l.entity=p.entity""",
     ("lup", "inf", "prim"),
 )
 def _(t):
@@ -101,7 +101,7 @@ def _(t):
     return R.attribute_to_role(rows, starts, primary).select("unit", "entity", "primary_role", "source")
 
 
-@query("K35_attribute_starters_only", "SELECT CASE WHEN unit%3<>0 THEN role END AS role, count(*) AS n FROM inf GROUP BY 1", ("inf",))
+@query("K35_attribute_starters_only", "SELECT CASE WHEN minutes>30 THEN role END AS role, count(*) AS n FROM inf GROUP BY 1", ("inf",))
 def _(t):
     return R.attribute_starters_only(*_appearances(t))[1]
 

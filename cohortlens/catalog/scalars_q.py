@@ -199,7 +199,7 @@ def spatial(t):
         F.struct(F.when(kind == "Shot", F.floor(F.col("value")) / 1000.0).alias("xg")).alias("shot"),
         (F.col("event_id") % 5 == 0).alias("under_pressure"),
     )
-    frames = ev.where(F.col("event_id") % 3 == 0).select(
+    frames = ev.where(F.col("event_type").isin("view", "purchase")).select(
         F.to_date("ts").alias("match_id"), F.col("event_id").alias("event_uuid"),
         F.transform(F.sequence(F.lit(1), (F.col("user_id") % 8 + 1).cast("int")), lambda k: F.struct((k % 2 == 0).alias("teammate"))).alias("freeze_frame"),
     )
@@ -211,8 +211,8 @@ SELECT CAST(ts AS DATE) AS match_id, event_id, 'T'||(user_id%2) AS team,
   CASE event_type WHEN 'view' THEN 'Pass' WHEN 'click' THEN 'Carry' WHEN 'purchase' THEN 'Shot' WHEN 'error' THEN 'Pressure' ELSE 'Dribble' END AS type, event_id%5=0 AS under_pressure,
   CASE WHEN event_id%11<>0 THEN CAST(event_id%100 AS DOUBLE) END AS x, CASE WHEN event_id%11<>0 THEN CAST(event_id%60 AS DOUBLE) END AS y,
   CASE WHEN event_type IN ('view','click') THEN CAST(event_id%100 + user_id%30 AS DOUBLE) END AS end_x, CASE WHEN event_id%4=0 THEN 'Incomplete' END AS outcome,
-  CASE WHEN event_type='purchase' THEN floor(value)/1000e0 END AS xg, CAST(CASE WHEN event_id%3=0 THEN user_id%8+1 ELSE 0 END AS INTEGER) AS visible,
-  CAST(CASE WHEN event_id%3=0 THEN (user_id%8+1)//2 ELSE 0 END AS INTEGER) AS visible_teammates FROM events"""
+  CASE WHEN event_type='purchase' THEN floor(value)/1000e0 END AS xg, CAST(CASE WHEN event_type IN ('view','purchase') THEN user_id%8+1 ELSE 0 END AS INTEGER) AS visible,
+  CAST(CASE WHEN event_type IN ('view','purchase') THEN (user_id%8+1)//2 ELSE 0 END AS INTEGER) AS visible_teammates FROM events"""
 
 
 @query(
@@ -338,15 +338,13 @@ def _(t):
 
 @query(
     "F18_normalise_text",
-    r"""SELECT doc_id, CASE WHEN s='' THEN 'unknown' ELSE s END AS slug FROM (
-  SELECT doc_id, trim(regexp_replace(strip_accents(lower(split_part(text, chr(10), 1))), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents WHERE lang='fr')""",
+    r"""SELECT doc_id, lang, length(s) AS slug_length, md5(CASE WHEN s='' THEN 'unknown' ELSE s END) AS slug_md5 FROM (
+  SELECT doc_id, lang, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\x00-\x7f]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)""",
 )
 def _(t):
-    first = F.split_part("text", F.lit("\n"), F.lit(1))
-    return t.documents.where(F.col("lang") == "fr").select("doc_id", X.slug(first).alias("slug"))
-
-
-CTE["gr"] = "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber=7 THEN NULL WHEN l_linenumber=6 THEN l_linenumber||':x' WHEN l_linenumber=5 THEN 'none' ELSE l_linenumber||':'||(l_partkey%5) END AS g FROM lineitem"
+    s = t.documents.select("doc_id", "lang", X.slug("text").alias("slug"))
+    size = F.when(F.col("slug") == "unknown", 0).otherwise(F.length("slug"))
+    return s.select("doc_id", "lang", size.alias("slug_length"), F.md5("slug").alias("slug_md5"))
 
 
 @query(

@@ -36,14 +36,14 @@ def _(t):
 
 @query(
     "T2_stream_upsert",
-    """SELECT user_id, event_type, event_id, n AS attempts FROM (SELECT e.*, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events e WHERE event_id%5<>0) JOIN (
+    """SELECT user_id, event_type, event_id, n AS attempts FROM (SELECT e.*, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events e WHERE value>=10) JOIN (
   SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) USING (user_id, event_type) WHERE rn=1""",
 )
 def _(t):
     path = scratch_path(t.spark, "upsert")
     keys, order = ["user_id", "event_type"], [F.col("ts").desc(), F.col("event_id").desc()]
-    stream = replay(t, max_files=8).select("user_id", "event_type", "event_id", "ts")
-    T.drain(T.stream_upsert(stream, keys, order, F.col("event_id") % 5 == 0, path, scratch_path(t.spark, "ckpt")))
+    stream = replay(t, max_files=8).select("user_id", "event_type", "event_id", "ts", "value")
+    T.drain(T.stream_upsert(stream, keys, order, F.col("value") < 10, path, scratch_path(t.spark, "ckpt")))
     return T.upsert_view(t.spark, path, keys, order).select("user_id", "event_type", "event_id", "attempts")
 
 
