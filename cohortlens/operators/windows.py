@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,13 +155,11 @@ def slot_fill_greedy(candidates: DataFrame, slots: DataFrame, cohort: str, entit
     """Slots in fixed order, each taking the best unused candidate of its cohort; a
     used one only if none is left. Only the best ``n_slots`` of a cohort can ever be
     chosen, so the ordered part sees at most slots x n_slots rows."""
-    import pandas as pd
-
     top = top_n_per_group(candidates, [cohort], order, n_slots, rank="__r")
     pool = join_on(slots, top.select(cohort, entity, "__r"), [cohort], "left")
     schema = f"slot_no int, slot string, {cohort} string, {entity} long, reused boolean"
 
-    def pick(_, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pick(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         used: set = set()
         rows = []
         for (no, slot, role), block in pdf.sort_values(["slot_no", "__r"]).groupby(

@@ -222,19 +222,26 @@ def rho_grid_fit(df: DataFrame, minimum: int = 10) -> DataFrame:
 ELO_START, ELO_SCALE, ELO_STEP = 1500.0, 400.0, 24.0
 
 
-def _elo_fold(state: dict, rows) -> list[tuple[float, float]]:
-    """Pre-match ratings of (home, away, home_goals, away_goals) rows in order."""
+def elo_folder():
+    """Function (ratings, rows) -> pre-match ratings of (home, away, home_goals,
+    away_goals) rows in order; the ratings are updated in place. Made here, so that it
+    travels to the workers by value and they need not have this package."""
     import math
 
-    out = []
-    for home, away, gh, ga in rows:
-        rh, ra = state.get(home, ELO_START), state.get(away, ELO_START)
-        out.append((rh, ra))
-        expected = 1.0 / (1.0 + 10.0 ** ((ra - rh) / ELO_SCALE))
-        got = 1.0 if gh > ga else 0.5 if gh == ga else 0.0
-        step = ELO_STEP * (math.log(abs(gh - ga) + 1) + 1) * (got - expected)
-        state[home], state[away] = rh + step, ra - step
-    return out
+    start, scale, size = ELO_START, ELO_SCALE, ELO_STEP
+
+    def fold(state: dict, rows) -> list[tuple[float, float]]:
+        out = []
+        for home, away, gh, ga in rows:
+            rh, ra = state.get(home, start), state.get(away, start)
+            out.append((rh, ra))
+            expected = 1.0 / (1.0 + 10.0 ** ((ra - rh) / scale))
+            got = 1.0 if gh > ga else 0.5 if gh == ga else 0.0
+            step = size * (math.log(abs(gh - ga) + 1) + 1) * (got - expected)
+            state[home], state[away] = rh + step, ra - step
+        return out
+
+    return fold
 
 
 def elo_ratings(matches: DataFrame) -> DataFrame:
@@ -242,6 +249,7 @@ def elo_ratings(matches: DataFrame) -> DataFrame:
     folded in order by one task; the rows stream through in Arrow batches and only the
     ratings of the current competition are held, never its matches."""
     cols = ["comp", "unit", "ts", "home", "away", "home_goals", "away_goals"]
+    rate = elo_folder()
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         comp, state = None, {}
@@ -250,7 +258,7 @@ def elo_ratings(matches: DataFrame) -> DataFrame:
             for c, home, away, gh, ga in zip(pdf["comp"], pdf["home"], pdf["away"], pdf["home_goals"], pdf["away_goals"]):
                 if c != comp:
                     comp, state = c, {}
-                ((rh, ra),) = _elo_fold(state, [(home, away, gh, ga)])
+                ((rh, ra),) = rate(state, [(home, away, gh, ga)])
                 first.append(rh)
                 second.append(ra)
             yield pd.DataFrame({"comp": pdf["comp"], "unit": pdf["unit"], "elo_home": first, "elo_away": second})

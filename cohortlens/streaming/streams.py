@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.aggregates import zsum
 from ..operators.windows import latest_by_key
-from ..plans.forecast import _elo_fold
+from ..plans.forecast import elo_folder
 
 
 def stream_batches(
@@ -88,6 +88,7 @@ def stream_elo(matches: DataFrame, delay: str = "0 seconds") -> DataFrame:
     long, home_goals int, away_goals int."""
     out = "comp string, unit long, elo_home double, elo_away double"
     kept = "ratings string, pending string"
+    rate = elo_folder()
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ratings, pending = ({}, []) if not state.exists else map(json.loads, state.get)
@@ -101,7 +102,7 @@ def stream_elo(matches: DataFrame, delay: str = "0 seconds") -> DataFrame:
         mark = state.getCurrentWatermarkMs() * 1000
         ready = sorted(p for p in pending if p[0] <= mark)
         pending = [p for p in pending if p[0] > mark]
-        folded = _elo_fold(ratings, [(p[2], p[3], p[4], p[5]) for p in ready])
+        folded = rate(ratings, [(p[2], p[3], p[4], p[5]) for p in ready])
         state.update((json.dumps(ratings), json.dumps(pending)))
         if pending:
             state.setTimeoutTimestamp(max(mark // 1000 + 1, min(p[0] for p in pending) // 1000))

@@ -45,9 +45,7 @@ def test_prefix_with_null_key(spark, rows):
 
 @pytest.mark.parametrize("current", [False, True])
 def test_last_k(spark, rows, current):
-    agg = {"m": F.round(F.avg("v"), 9)}
     both(spark, lambda: ordered.last_k(rows, ["k"], [F.col("t"), F.col("id")], 5, {"m": F.avg("v")}, current).withColumn("m", F.round("m", 9)))
-    assert agg
 
 
 def test_quantiles(spark, rows):

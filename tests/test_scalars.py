@@ -28,7 +28,7 @@ def test_numbers(spark, text, plain, zero):
 
 def test_slug_folds_accents(spark):
     row = one(spark, X.slug(F.lit("México  City")), X.slug(F.lit("--")), X.normalise_text(F.lit("Ñandú (Śląsk)")))
-    assert row == ("mexico-city", "unknown", "nandu slask") or row[2] == "nandu sl sk" or row[:2] == ("mexico-city", "unknown")
+    assert row == ("mexico-city", "unknown", "nandu slask")
 
 
 def test_clip_keeps_null(spark):
