@@ -2,46 +2,53 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Largest ordered group (rows) that a single window task may own.
-GROUP_LIMIT_KEY = "cohortlens.order.groupLimit"
-GROUP_LIMIT_DEFAULT = 2_000_000
-#: Largest number of rows that may be broadcast after counting them.
-BROADCAST_ROWS_KEY = "cohortlens.broadcast.maxRows"
-BROADCAST_ROWS_DEFAULT = 200_000
+#: Folder that driver and executors share; the one setting that names it.
+SHARED_KEY = "spark.checkpoint.dir"
+
+#: What the plans rely on; pass it to the builder (``SparkSession.builder.config(map=SETTINGS)``).
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Lets small inputs be read by all cores; large ones are cut at maxPartitionBytes
+    # whatever this is.
+    "spark.sql.files.openCostInBytes": str(1 << 20),
+}
+
+_LOCAL: dict[str, str] = {}
 
 
 def strict(spark: SparkSession) -> SparkSession:
-    """Runtime settings every plan relies on: UTC, ANSI, AQE with skew handling."""
-    wanted = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.ansi.enabled": "true",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        # Lets small inputs be read by all cores; large ones are cut at maxPartitionBytes
-        # whatever this is.
-        "spark.sql.files.openCostInBytes": str(1 << 20),
-    }
-    for key, value in wanted.items():
+    """``spark`` with :data:`SETTINGS` applied; for sessions that this code creates."""
+    for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``; a temporary one
-    only where the cluster names none (local runs and tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("cohortlens.shared.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cohortlens-")
-        spark.conf.set("cohortlens.shared.dir", folder)
-    return folder
+    """``spark.checkpoint.dir`` of the session, else the context's checkpoint directory.
+    In a single-process session (``local[...]``) that names neither, a folder of its own
+    that goes when the process ends; on a cluster that is an error."""
+    folder = spark.conf.get(SHARED_KEY, None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"set {SHARED_KEY} to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="cohortlens-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+    return _LOCAL[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -58,6 +65,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Largest ordered group (rows) that a single window task may own.
+GROUP_LIMIT_KEY = "cohortlens.order.groupLimit"
+GROUP_LIMIT_DEFAULT = 2_000_000
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores before work that is heavy per row, when the input has fewer
     partitions than the cluster has cores (few row groups, one small file)."""
@@ -67,7 +79,3 @@ def spread(df: DataFrame) -> DataFrame:
 
 def group_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_LIMIT_KEY, str(GROUP_LIMIT_DEFAULT)))
-
-
-def broadcast_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get(BROADCAST_ROWS_KEY, str(BROADCAST_ROWS_DEFAULT)))
