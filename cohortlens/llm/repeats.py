@@ -9,10 +9,13 @@ left undecided:
    of one is decided (no repeat). Neighbouring suffixes share their anchor; a row is a
    *run* of such suffixes, about ``(width - gram) / 2`` of them, not a single one.
 2. Digit two is the whole run. Runs with an equal run repeat in full.
-3. Digit three is each window of a run that differs from the others of its anchor group
-   (and of one run for each set of equal ones), at full depth.
+3. Digit three is what all windows of a *block* of eight share, and after it the whole
+   block, for runs that differ from the others of their anchor group (and for one run
+   of each set of equal ones).
+4. The last digit is a single window at full depth, for blocks that agree in the shared
+   part and differ beyond it: a few at the edges of a repeated passage.
 
-Rows are kept whole whatever a group's size: groups are counted with partial
+The steps of a pass are the same for runs, blocks and windows (:func:`_refine`). Rows are kept whole whatever a group's size: groups are counted with partial
 aggregation and joined back from written tables, where a hot group can be split.
 """
 
@@ -56,10 +59,10 @@ def _lowest(packed: np.ndarray, span: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int, gram: int):
-    """Runs of windows that share an anchor: first window, last window, gram hash."""
+    """Runs of windows that share an anchor: first window, last window, gram hash, anchor."""
     empty = np.zeros(0, np.int64)
     if len(data) < width:
-        return empty, empty, empty.astype(np.uint64)
+        return empty, empty, empty.astype(np.uint64), empty
     h = _rolled(data, gram)
     packed = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     least = _lowest(packed, width - gram + 1)
@@ -69,17 +72,32 @@ def runs_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int,
     mark[ends[long] - width + 1] -= 1
     at = np.flatnonzero(np.cumsum(mark[:-1], dtype=np.int8))
     if not len(at):
-        return empty, empty, empty.astype(np.uint64)
+        return empty, empty, empty.astype(np.uint64), empty
     p = (least[at] & _PLACE).astype(np.int64)
     cut = np.flatnonzero((np.diff(p) != 0) | (np.diff(at) != 1)) + 1
     first = np.concatenate(([0], cut))
     last = np.concatenate((cut - 1, [len(at) - 1]))
-    return at[first], at[last], h[p[first]]
+    return at[first], at[last], h[p[first]], p[first]
 
 
-def _emit_runs(width: int, gram: int):
-    schema = pa.schema([("g", pa.int64()), ("r", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("a", pa.int32()), ("n", pa.int16())])
+#: A set of ``n`` neighbouring windows of a document from byte ``a``; ``g`` is its digit so
+#: far, ``r`` a digest of all it covers, ``p`` how far behind ``a`` its anchor stands.
+_ROW = "g long, r long, doc long, th long, a int, n short, p short"
+_FIELDS = ("g", "r", "doc", "th", "a", "n", "p")
+_SCHEMA = pa.schema([("g", pa.int64()), ("r", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("a", pa.int32()), ("n", pa.int16()), ("p", pa.int16())])
+#: Windows in a block.
+BLOCK = 8
+
+
+def _signed(x) -> pa.Array:
+    return pa.array(np.asarray(x, np.uint64).view(np.int64))
+
+
+def _digest(body, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(body, seed=seed % _WORD)
 
+
+def _emit_runs(width: int, gram: int):
     def chunks(offsets):
         """Byte ranges to look at: groups of rows, or overlapping parts of a long row."""
         for i, j in pieces(offsets, _PIECE):
@@ -96,43 +114,94 @@ def _emit_runs(width: int, gram: int):
             data, offsets = blobs(b.column("text"))
             doc, th = b.column("doc"), b.column("th")
             for i, lo, hi, starts, ends in chunks(offsets):
-                first, last, g = runs_of(data[lo:hi], starts, ends, width, gram)
+                first, last, g, p = runs_of(data[lo:hi], starts, ends, width, gram)
                 if not len(first):
                     continue
                 view = memoryview(data[lo:hi])
                 stops = (last + width).tolist()
                 r = [xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip(first.tolist(), stops)]
-                row = np.searchsorted(starts, first, "right") - 1
-                rows = pa.array(row + i)
-                a = first + lo - offsets[row + i]
-                yield pa.record_batch(
-                    [pa.array(g.view(np.int64)), pa.array(np.array(r, np.uint64).view(np.int64)), doc.take(rows), th.take(rows), pa.array(a.astype(np.int32)), pa.array((last - first + 1).astype(np.int16))],
-                    schema=schema,
-                )
+                row = np.searchsorted(starts, first, "right") - 1 + i
+                rows = pa.array(row)
+                ints = (first + lo - offsets[row]).astype(np.int32), (last - first + 1).astype(np.int16), (p - first).astype(np.int16)
+                yield pa.record_batch([_signed(g), _signed(r), doc.take(rows), th.take(rows), *map(pa.array, ints)], schema=_SCHEMA)
 
     return run
 
 
-def _emit_windows(width: int):
-    schema = pa.schema([("g", pa.int64()), ("h", pa.int64()), ("at", pa.int64())])
+def _split(width: int, parts):
+    """Rows of a finer pass. ``parts(x)`` yields, for one of a document's sets of windows,
+    the first and last window of each part (from the set's first), the byte range that
+    its digit covers, and a salt for that digit."""
 
     def run(batches):
         for b in batches:
             data, offsets = blobs(b.column("text"))
-            for k, todo in enumerate(b.column("todo")):
-                base, g, h, at = int(offsets[k]), [], [], []
-                view = memoryview(data[base : int(offsets[k + 1])])
-                for x in todo.as_py():
-                    for o in range(x["n"]):
-                        s = x["a"] + o
-                        h.append(xxhash.xxh3_64_intdigest(view[s : s + width]))
-                        at.append((x["eid"] << 8) | o)
-                    g += [x["g"]] * x["n"]
-                yield pa.record_batch([pa.array(g, pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(at, pa.int64())], schema=schema)
+            out: list[list] = [[] for _ in _FIELDS]
+            for k, todo in enumerate(b.column("todo").to_pylist()):
+                view = memoryview(data[int(offsets[k]) : int(offsets[k + 1])])
+                doc, th = b.column("doc")[k].as_py(), b.column("th")[k].as_py()
+                for x in todo:
+                    a = x["a"]
+                    for i, j, lo, hi, salt in parts(x):
+                        fields = (
+                            _digest(view[a + lo : a + hi], x["g"] + salt * _BASE),
+                            _digest(view[a + i : a + j + width], 1 + (x["p"] - i) * 512 + j - i),
+                            doc, th, a + i, j - i + 1, x["p"] - i,
+                        )
+                        for col, value in zip(out, fields):
+                            col.append(value)
+                if len(out[0]) > 50_000:
+                    yield flush(out)
+                    out = [[] for _ in _FIELDS]
+            yield flush(out)
+
+    def flush(out):
+        cols = [_signed(out[0]), _signed(out[1]), *(pa.array(v, f.type) for v, f in zip(out[2:], list(_SCHEMA)[2:]))]
+        return pa.record_batch(cols, schema=_SCHEMA)
 
     return run
 
 
+def _blocks(width: int):
+    """Blocks are counted from the anchor, so that equal windows of two runs stand in
+    equal blocks. The digit is what all windows of a block have in common."""
+
+    def parts(x):
+        n, p = x["n"], x["p"]
+        for q in range((p - n + 1) // BLOCK, p // BLOCK + 1):
+            i, j = max(0, p - q * BLOCK - BLOCK + 1), min(n - 1, p - q * BLOCK)
+            yield i, j, p - q * BLOCK, p - q * BLOCK - BLOCK + 1 + width, q
+
+    return parts
+
+
+def _windows(width: int):
+    return lambda x: ((i, i, i, i + width, 0) for i in range(x["n"]))
+
+
+def _refine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One pass over written rows: those that repeat in full, and those to split. A
+    digit that stands alone is decided and gone."""
+    digit = settle(
+        rows.groupBy("g").agg(F.count(F.lit(1)).alias("n1"), F.min("r").alias("lo"), F.max("r").alias("hi"))
+        .where("n1 > 1").select("g", (F.col("lo") == F.col("hi")).alias("one"))
+    )
+    left = settle(rows.join(digit, "g"))
+    mixed = left.where(~F.col("one"))
+    kinds = settle(mixed.groupBy("g", "r").agg(F.count(F.lit(1)).alias("n2"), F.min(F.struct("doc", "th", "a")).alias("head")))
+    mixed = settle(mixed.join(kinds, ["g", "r"]))
+    whole = left.where("one").select(*_FIELDS).unionByName(mixed.where("n2 > 1").select(*_FIELDS))
+    is_head = (F.col("head.doc").eqNullSafe(F.col("doc"))) & (F.col("head.th") == F.col("th")) & (F.col("head.a") == F.col("a"))
+    return whole, mixed.where((F.col("n2") == 1) | is_head).select(*_FIELDS)
+
+
+def _held(base: DataFrame, rows: DataFrame, alias: str) -> DataFrame:
+    """``base`` with the rows of each document as a list (bounded by its own length)."""
+    lists = rows.groupBy(F.col("doc").alias("d2"), F.col("th").alias("t2")).agg(F.collect_list("x").alias(alias))
+    joined = base.join(lists, F.col("doc").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")))
+    return joined.select("doc", "th", "text", alias)
+
+
 def _union(spans):
     """Sorted maximal spans of (lo, hi) pairs; touching ones merge."""
     out: list[list[int]] = []
@@ -144,84 +213,54 @@ def _union(spans):
     return out
 
 
-def repeated_windows(docs: DataFrame, width: int = 200, gram: int = 64, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Where a ``width``-byte string starts that also starts anywhere else: ``doc``,
-    ``th`` (see :func:`common.keyed`) and ``spans``, an array of (lo, hi) byte ranges,
-    covered windows of one run together. ``gram`` is a power of two below ``width``,
-    and ``width - gram`` is at most 254. A row without repeats is absent."""
-    if gram & (gram - 1) or not 0 < gram < width or width - gram > 254:
-        raise ValueError("gram: a power of two below width, and width - gram at most 254")
-    base = keyed(docs, text, key)
-    runs = settle(base.mapInArrow(_emit_runs(width, gram), "g long, r long, doc long, th long, a int, n short"))
-
-    # Pass 1: anchor groups of at least two runs; `one` tells that all their runs are equal.
-    first = settle(
-        runs.groupBy("g").agg(F.count(F.lit(1)).alias("n1"), F.min("r").alias("lo"), F.max("r").alias("hi"))
-        .where("n1 > 1").select("g", (F.col("lo") == F.col("hi")).alias("one"))
-    )
-    left = settle(runs.join(first, "g"))
-    whole = left.where("one")
-
-    # Pass 2: equal runs inside the groups that hold more than one kind of run.
-    mixed = left.where(~F.col("one")).drop("one")
-    kinds = settle(mixed.groupBy("g", "r").agg(F.count(F.lit(1)).alias("n2"), F.min(F.struct("doc", "th", "a")).alias("head")))
-    mixed = settle(mixed.join(kinds, ["g", "r"]))
-    whole = whole.drop("one").unionByName(mixed.where("n2 > 1").drop("n2", "head"))
-
-    # Pass 3: the windows of single runs and of one run per kind, at full depth.
-    is_head = (F.col("head.doc").eqNullSafe(F.col("doc"))) & (F.col("head.th") == F.col("th")) & (F.col("head.a") == F.col("a"))
-    todo = settle(
-        mixed.where((F.col("n2") == 1) | is_head)
-        .select("g", "doc", "th", "a", "n").withColumn("eid", F.monotonically_increasing_id())
-    )
-    lists = todo.groupBy("doc", "th").agg(F.collect_list(F.struct("g", "eid", "a", "n")).alias("todo"))
-    held = base.join(lists.withColumnsRenamed({"doc": "d2", "th": "t2"}), F.col("doc").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")))
-    windows = settle(held.select("text", "todo").mapInArrow(_emit_windows(width), "g long, h long, at long"))
-    twice = settle(windows.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n3")).where("n3 > 1").select("g", "h"))
-    found = windows.join(twice, ["g", "h"]).select(F.shiftright("at", 8).alias("eid"), (F.col("at").bitwiseAND(255)).cast("int").alias("o"))
-    part = (
-        found.groupBy("eid").agg(F.collect_set("o").alias("os")).join(todo, "eid")
-        .select("doc", "th", F.explode("os").alias("o"), "a")
-        .select("doc", "th", (F.col("a") + F.col("o")).alias("lo"), (F.col("a") + F.col("o") + F.lit(width)).alias("hi"))
-    )
-    full = whole.select("doc", "th", F.col("a").alias("lo"), (F.col("a") + F.col("n") - 1 + F.lit(width)).cast("int").alias("hi"))
-    # A document's spans are bounded by its own length.
-    return full.unionByName(part).groupBy("doc", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-
-
 def _cut(batches):
     for b in batches:
         data, offsets = blobs(b.column("text"))
-        cols: dict[str, list] = {"n_bytes": [], "removed": [], "kept_sha256": []}
-        for k, spans in enumerate(b.column("spans")):
+        removed, kept = [], []
+        for k, spans in enumerate(b.column("spans").to_pylist()):
             view = memoryview(data[int(offsets[k]) : int(offsets[k + 1])])
-            merged = _union([(x["lo"], x["hi"]) for x in spans.as_py() or ()])
+            merged = _union([(x["lo"], x["hi"]) for x in spans])
             digest, at = hashlib.sha256(), 0
             for lo, hi in merged:
                 digest.update(view[at:lo])
                 at = hi
             digest.update(view[at:])
-            cols["n_bytes"].append(len(view))
-            cols["removed"].append([{"lo": lo, "hi": hi} for lo, hi in merged])
-            cols["kept_sha256"].append(digest.hexdigest())
-        yield pa.record_batch(
-            [b.column("doc"), pa.array(cols["n_bytes"], pa.int64()), pa.array(cols["removed"], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array(cols["kept_sha256"], pa.string())],
-            names=["doc_id", "n_bytes", "removed", "kept_sha256"],
-        )
+            removed.append([{"lo": lo, "hi": hi} for lo, hi in merged])
+            kept.append(digest.hexdigest())
+        spans = pa.array(removed, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
+        yield pa.record_batch([b.column("doc"), b.column("th"), spans, pa.array(kept, pa.string())], names=["d2", "t2", "removed", "left_sha256"])
 
 
 def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 64, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_bytes``, ``removed`` (maximal byte
-    runs that are covered by a repeated ``width``-byte string, judged on the input),
-    ``kept_sha256`` of what is left.
+    runs that are covered by a ``width``-byte string which also starts anywhere else,
+    judged on the input), ``kept_sha256`` of what is left. ``gram`` is a power of two
+    below ``width``, and ``width - gram`` is at most 254.
 
     A null or empty text has no bytes and no runs; texts shorter than ``width`` lose
     nothing. Every row counts as a document: a row that stands twice repeats itself and
     loses its text in both places. Null ids stay null. Other columns are not read."""
-    spans = settle(repeated_windows(docs, width, gram, text, key))
+    if gram & (gram - 1) or not 0 < gram < width or width - gram > 254:
+        raise ValueError("gram: a power of two below width, and width - gram at most 254")
     base = keyed(docs, text, key)
-    right = spans.withColumnsRenamed({"doc": "d2", "th": "t2"})
-    joined = base.join(right, F.col("doc").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")), "left")
-    return joined.select("doc", "text", "spans").mapInArrow(
-        _cut, "doc_id long, n_bytes long, removed array<struct<lo: int, hi: int>>, kept_sha256 string"
+    whole, todo = _refine(settle(base.mapInArrow(_emit_runs(width, gram), _ROW)))
+
+    # The texts that hold any repeated run or one to look into; all later passes read these.
+    item = F.struct("g", "a", "n", "p")
+    seen = whole.select("doc", "th", F.lit(None).cast("struct<g: long, a: int, n: short, p: short>").alias("x")).distinct()
+    held = settle(_held(base, seen.unionByName(todo.select("doc", "th", item.alias("x"))), "todo").dropDuplicates(["doc", "th"]))
+    whole2, todo2 = _refine(settle(held.mapInArrow(_split(width, _blocks(width)), _ROW)))
+    fine = _held(held.drop("todo"), todo2.select("doc", "th", item.alias("x")), "todo")
+    whole3, _ = _refine(settle(fine.mapInArrow(_split(width, _windows(width)), _ROW)))
+
+    found = whole.unionByName(whole2).unionByName(whole3)
+    span = F.struct(F.col("a").alias("lo"), (F.col("a") + F.col("n") - 1 + F.lit(width)).cast("int").alias("hi"))
+    cut = _held(held.drop("todo"), found.select("doc", "th", span.alias("x")), "spans").mapInArrow(
+        _cut, "d2 long, t2 long, removed array<struct<lo: int, hi: int>>, left_sha256 string"
+    )
+    facts = base.select("doc", "th", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("own_sha256"))
+    joined = facts.join(settle(cut), F.col("doc").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")), "left")
+    none = F.array().cast("array<struct<lo: int, hi: int>>")
+    return joined.select(
+        F.col("doc").alias("doc_id"), "n_bytes", F.coalesce("removed", none).alias("removed"), F.coalesce("left_sha256", "own_sha256").alias("kept_sha256")
     )
