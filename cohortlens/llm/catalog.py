@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import repeats
+from . import jaccard, repeats
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -41,3 +41,10 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"),
         "kept_sha256",
     )
+
+
+@_query
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of `documents` over links of Jaccard >= 0.9 on 3-word shingles."""
+    out = jaccard.jaccard_classes(_table(spark, folder, "documents"), k=3, p=90, q=100)
+    return out.select("doc_id", "n_shingles", "component_id")
