@@ -7,12 +7,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage as settle
 
-__all__ = ["settle", "keyed", "blobs", "pieces", "text_rows"]
+__all__ = ["settle", "release", "keyed", "zipped", "unzipped", "blobs", "pieces", "text_rows"]
+
+
+def release(*stages: DataFrame) -> None:
+    """Delete written stages that nothing needs any more: all that was made of them is
+    itself written, so a lost executor never reads them again."""
+    for stage in stages:
+        context = stage.sparkSession.sparkContext
+        for name in stage.inputFiles():
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, False)
 
 
 def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -23,6 +34,38 @@ def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     return docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("th"), body.alias("text"))
 
 
+def zipped(base: DataFrame) -> DataFrame:
+    """:func:`keyed` rows with the text compressed, ``z``: what is shuffled or kept for
+    later passes is then under half as large."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            data, offsets = blobs(b.column("text"))
+            body = memoryview(data)
+            z = [pack(body[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.record_batch([b.column("doc"), b.column("th"), pa.array(z, pa.binary())], names=["doc", "th", "z"])
+
+    return base.select("doc", "th", "text").mapInArrow(run, "doc long, th long, z binary")
+
+
+def unzipped(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row ranges of a column of :func:`zipped` texts, about ``size`` bytes each: first
+    row, row after the last, their bytes, and offsets."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    texts: list[bytes] = []
+    first, held = 0, 0
+    n = len(column)
+    for i in range(n):
+        texts.append(unpack(column[i].as_buffer()))
+        held += len(texts[-1])
+        if held >= size or i + 1 == n:
+            offsets = np.zeros(len(texts) + 1, np.int64)
+            np.cumsum([len(t) for t in texts], out=offsets[1:])
+            yield first, i + 1, np.frombuffer(b"".join(texts), np.uint8), offsets
+            texts, first, held = [], i + 1, 0
+
+
 def blobs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column and its row offsets; null is empty."""
     arr = pc.fill_null(column.cast(pa.large_binary()), b"")

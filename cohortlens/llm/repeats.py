@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, keyed, pieces, settle
+from .common import blobs, keyed, pieces, release, settle, unzipped, zipped
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = 0xBF58476D1CE4E5B9
@@ -135,25 +135,23 @@ def _split(width: int, parts):
 
     def run(batches):
         for b in batches:
-            data, offsets = blobs(b.column("text"))
-            out: list[list] = [[] for _ in _FIELDS]
-            for k, todo in enumerate(b.column("todo").to_pylist()):
-                view = memoryview(data[int(offsets[k]) : int(offsets[k + 1])])
-                doc, th = b.column("doc")[k].as_py(), b.column("th")[k].as_py()
-                for x in todo:
-                    a = x["a"]
-                    for i, j, lo, hi, salt in parts(x):
-                        fields = (
-                            _digest(view[a + lo : a + hi], x["g"] + salt * _BASE),
-                            _digest(view[a + i : a + j + width], 1 + (x["p"] - i) * 512 + j - i),
-                            doc, th, a + i, j - i + 1, x["p"] - i,
-                        )
-                        for col, value in zip(out, fields):
-                            col.append(value)
-                if len(out[0]) > 50_000:
-                    yield flush(out)
-                    out = [[] for _ in _FIELDS]
-            yield flush(out)
+            docs, ths, lists = (b.column(c).to_pylist() for c in ("doc", "th", "todo"))
+            for first, _, data, offsets in unzipped(b.column("z")):
+                out: list[list] = [[] for _ in _FIELDS]
+                for k in range(len(offsets) - 1):
+                    view = memoryview(data[int(offsets[k]) : int(offsets[k + 1])])
+                    doc, th = docs[first + k], ths[first + k]
+                    for x in lists[first + k]:
+                        a = x["a"]
+                        for i, j, lo, hi, salt in parts(x):
+                            fields = (
+                                _digest(view[a + lo : a + hi], x["g"] + salt * _BASE),
+                                _digest(view[a + i : a + j + width], 1 + (x["p"] - i) * 512 + j - i),
+                                doc, th, a + i, j - i + 1, x["p"] - i,
+                            )
+                            for col, value in zip(out, fields):
+                                col.append(value)
+                yield flush(out)
 
     def flush(out):
         cols = [_signed(out[0]), _signed(out[1]), *(pa.array(v, f.type) for v, f in zip(out[2:], list(_SCHEMA)[2:]))]
@@ -187,6 +185,7 @@ def _refine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         .where("n1 > 1").select("g", (F.col("lo") == F.col("hi")).alias("one"))
     )
     left = settle(rows.join(digit, "g"))
+    release(rows)
     mixed = left.where(~F.col("one"))
     kinds = settle(mixed.groupBy("g", "r").agg(F.count(F.lit(1)).alias("n2"), F.min(F.struct("doc", "th", "a")).alias("head")))
     mixed = settle(mixed.join(kinds, ["g", "r"]))
@@ -199,7 +198,7 @@ def _held(base: DataFrame, rows: DataFrame, alias: str) -> DataFrame:
     """``base`` with the rows of each document as a list (bounded by its own length)."""
     lists = rows.groupBy(F.col("doc").alias("d2"), F.col("th").alias("t2")).agg(F.collect_list("x").alias(alias))
     joined = base.join(lists, F.col("doc").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")))
-    return joined.select("doc", "th", "text", alias)
+    return joined.select("doc", "th", "z", alias)
 
 
 def _union(spans):
@@ -215,18 +214,19 @@ def _union(spans):
 
 def _cut(batches):
     for b in batches:
-        data, offsets = blobs(b.column("text"))
         removed, kept = [], []
-        for k, spans in enumerate(b.column("spans").to_pylist()):
-            view = memoryview(data[int(offsets[k]) : int(offsets[k + 1])])
-            merged = _union([(x["lo"], x["hi"]) for x in spans])
-            digest, at = hashlib.sha256(), 0
-            for lo, hi in merged:
-                digest.update(view[at:lo])
-                at = hi
-            digest.update(view[at:])
-            removed.append([{"lo": lo, "hi": hi} for lo, hi in merged])
-            kept.append(digest.hexdigest())
+        lists = b.column("spans").to_pylist()
+        for first, _, data, offsets in unzipped(b.column("z")):
+            for k in range(len(offsets) - 1):
+                view = memoryview(data[int(offsets[k]) : int(offsets[k + 1])])
+                merged = _union([(x["lo"], x["hi"]) for x in lists[first + k]])
+                digest, at = hashlib.sha256(), 0
+                for lo, hi in merged:
+                    digest.update(view[at:lo])
+                    at = hi
+                digest.update(view[at:])
+                removed.append([{"lo": lo, "hi": hi} for lo, hi in merged])
+                kept.append(digest.hexdigest())
         spans = pa.array(removed, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
         yield pa.record_batch([b.column("doc"), b.column("th"), spans, pa.array(kept, pa.string())], names=["d2", "t2", "removed", "left_sha256"])
 
@@ -248,7 +248,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 64, text: str
     # The texts that hold any repeated run or one to look into; all later passes read these.
     item = F.struct("g", "a", "n", "p")
     seen = whole.select("doc", "th", F.lit(None).cast("struct<g: long, a: int, n: short, p: short>").alias("x")).distinct()
-    held = settle(_held(base, seen.unionByName(todo.select("doc", "th", item.alias("x"))), "todo").dropDuplicates(["doc", "th"]))
+    held = settle(_held(zipped(base), seen.unionByName(todo.select("doc", "th", item.alias("x"))), "todo").dropDuplicates(["doc", "th"]))
     whole2, todo2 = _refine(settle(held.mapInArrow(_split(width, _blocks(width)), _ROW)))
     fine = _held(held.drop("todo"), todo2.select("doc", "th", item.alias("x")), "todo")
     whole3, _ = _refine(settle(fine.mapInArrow(_split(width, _windows(width)), _ROW)))
