@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, keyed, pieces, settle
+from .common import blobs, keyed, pieces, release, settle, unzipped, zipped
 from .graph import components
 
 _U = np.uint64
@@ -30,6 +30,8 @@ _WORD = 1 << 64
 _PIECE = 1 << 18
 #: Size classes end at about 1.25 times the one before.
 _RATIO = (5, 4)
+#: Bits of the bitmap that stands for a set until its shingles are needed.
+BITS = 2048
 #: A chunk holds at most about this many sets and shingles.
 CHUNK_SETS, CHUNK_SHINGLES = 64, 1 << 16
 
@@ -129,8 +131,15 @@ def range_keys(u: np.ndarray, p: int, q: int, weak: tuple[int, int]) -> np.ndarr
         c, top = c + 1, max(top + 1, top * _RATIO[0] // _RATIO[1])
 
 
+def bitmap(u: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(bits // 64, _U)
+    at = (u & _U(bits - 1)).astype(np.int64)
+    np.bitwise_or.at(out, at >> 6, _U(1) << (at & 63).astype(_U))
+    return out
+
+
 def _emit_keys(k: int, p: int, q: int, weak: tuple[int, int]):
-    schema = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
     signed = lambda x: np.array(x, _U).view(np.int64)
 
     def run(batches):
@@ -138,16 +147,17 @@ def _emit_keys(k: int, p: int, q: int, weak: tuple[int, int]):
             data, offsets = blobs(b.column("text"))
             for i, j in pieces(offsets, _PIECE):
                 lo, hi = int(offsets[i]), int(offsets[j])
-                n, k1, k2, keys = [], [], [], []
+                n, k1, k2, bits, keys = [], [], [], [], []
                 for u in shingle_sets(data[lo:hi], offsets[i : j + 1] - lo, k):
                     n.append(len(u))
                     k1.append(mix(u, 6).sum(dtype=_U))
                     k2.append(mix(u, 7).sum(dtype=_U))
+                    bits.append(bitmap(u, BITS).tobytes())
                     keys.append(signed(range_keys(u, p, q, weak)))
                 flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
                 yield pa.record_batch(
-                    [b.column("doc").slice(i, j - i), b.column("th").slice(i, j - i), pa.array(n, pa.int32()), pa.array(signed(k1)), pa.array(signed(k2)), pa.ListArray.from_arrays(pa.array(ends), flat)],
+                    [b.column("doc").slice(i, j - i), b.column("th").slice(i, j - i), pa.array(n, pa.int32()), pa.array(signed(k1)), pa.array(signed(k2)), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)],
                     schema=schema,
                 )
 
@@ -157,10 +167,8 @@ def _emit_keys(k: int, p: int, q: int, weak: tuple[int, int]):
 def _emit_sets(k: int):
     def run(batches):
         for b in batches:
-            data, offsets = blobs(b.column("text"))
-            for i, j in pieces(offsets, _PIECE):
-                lo, hi = int(offsets[i]), int(offsets[j])
-                sets = [u.tobytes() for u in shingle_sets(data[lo:hi], offsets[i : j + 1] - lo, k)]
+            for i, j, data, offsets in unzipped(b.column("z")):
+                sets = [u.tobytes() for u in shingle_sets(data, offsets, k)]
                 yield pa.record_batch([b.column("sid").slice(i, j - i), pa.array(sets, pa.binary())], names=["sid", "body"])
 
     return run
@@ -172,13 +180,10 @@ class Tree:
 
     FAN = 8
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        self.order = sorted(range(len(sets)), key=lambda i: (sets[i][0], len(sets[i])))
-        maps = np.zeros((len(sets), bits // 64), _U)
-        for row, i in enumerate(self.order):
-            at = np.unique(sets[i] & _U(bits - 1)).astype(np.int64)
-            np.bitwise_or.at(maps[row], at >> 6, _U(1) << (at & 63).astype(_U))
-        size = np.array([len(sets[i]) for i in self.order], np.int64)
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray):
+        # Similar sets share their first bits, and stand side by side.
+        self.order = np.lexsort((sizes, maps[:, 1], maps[:, 0])) if len(maps) > 1 else np.zeros(len(maps), np.int64)
+        maps, size = maps[self.order], sizes[self.order]
         slack = size - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
         self.levels = [(maps, size, size, slack)]
         while len(maps) > 1:
@@ -205,62 +210,77 @@ def traverse(x: Tree, y: Tree, p: int, q: int):
         for i, j in zip(*np.nonzero(ok)):
             i, j = int(ax[i]), int(ay[j])
             if lx == 0 and ly == 0:
-                yield x.order[i], y.order[j]
+                yield int(x.order[i]), int(y.order[j])
             else:
                 kx = (lx - 1, x.below(lx, i)) if lx else (0, np.array([i]))
                 ky = (ly - 1, y.below(ly, j)) if ly else (0, np.array([j]))
                 stack.append((*kx, *ky))
 
 
-def links(ids, sides, comps, bodies, p: int, q: int):
-    """Links between the sets of side 0 and those of side 1 of one group, without those
-    that earlier links or ``comps`` make superfluous."""
-    sets = [np.frombuffer(x, _U) for x in bodies]
-    side = [[i for i, s in enumerate(sides) if s == which] for which in (0, 1)]
-    if not side[0] or not side[1]:
-        return
-    bits = min(1 << 15, max(1024, 1 << (2 * max(map(len, sets)) - 1).bit_length()))
-    trees = [Tree([sets[i] for i in s], bits) for s in side]
-    up = {c: c for c in comps}
-
-    def root(c):
-        while up[c] != c:
-            up[c] = c = up[up[c]]
-        return c
-
-    for i, j in traverse(*trees, p, q):
-        i, j = side[0][i], side[1][j]
-        x, y = root(comps[i]), root(comps[j])
-        if x == y:
-            continue
-        u, v = sets[i], sets[j]
-        if len(u) > len(v):
-            u, v = v, u
-        at = np.searchsorted(v, u)
-        at[at == len(v)] = 0
-        both = int((v[at] == u).sum())
-        if both * q >= (len(u) + len(v) - both) * p:
-            up[x] = y
-            yield ids[i], ids[j]
-
-
-def _verify(p: int, q: int, keys: int):
+def _pairs(p: int, q: int):
+    """Pairs of one group that the trees leave: of sets on side 0 and on side 1, or among
+    all where only one side is there, in different components."""
+
     def run(table: pa.Table) -> pa.Table:
-        cols = {n: table.column(n).to_pylist() for n in ("sid", "side", "comp", "body")}
-        found = list(links(cols["sid"], cols["side"], cols["comp"], cols["body"], p, q))
+        side = table.column("side").to_numpy()
+        sid, comp, n = (table.column(c).to_numpy() for c in ("sid", "comp", "n"))
+        maps = np.frombuffer(b"".join(table.column("bits").to_pylist()), _U).reshape(len(sid), -1)
+        rows = [np.flatnonzero(side == s) for s in (0, 1)]
+        if not len(rows[1]):
+            rows[1] = rows[0]
+        trees = [Tree(maps[r], n[r].astype(np.int64)) for r in rows] if len(rows[0]) else []
+        found = set()
+        for i, j in traverse(*trees, p, q) if trees else ():
+            i, j = rows[0][i], rows[1][j]
+            if comp[i] != comp[j]:
+                x, y = int(sid[i]), int(sid[j])
+                found.add((min(x, y), max(x, y)))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return run
 
 
-def _chunks(count, shingles):
-    return F.greatest(F.lit(1), F.ceil(F.greatest(F.col(count) / CHUNK_SETS, F.col(shingles) / CHUNK_SHINGLES))).cast("int")
+def _may_link(p: int, q: int):
+    """Pairs whose bitmaps and sizes allow a link."""
 
+    def run(batches):
+        for b in batches:
+            na, nb = (b.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            ma, mb = (np.frombuffer(b"".join(b.column(c).to_pylist()), _U).reshape(len(na), -1) for c in ("ba", "bb"))
+            ones = lambda m: np.bitwise_count(m).sum(axis=1, dtype=np.int64)
+            common = ones(ma & mb)
+            most = np.minimum(np.minimum(na - ones(ma), nb - ones(mb)) + common, np.minimum(na, nb))
+            ok = most * (p + q) >= (na + nb) * p
+            yield b.select(["a", "b", "na"]).filter(pa.array(ok))
+
+    return run
 
-def _groups(members: DataFrame, sets: DataFrame, keys: list[str], p: int, q: int) -> DataFrame:
-    """``members``: group keys, ``sid``, ``side``, ``comp``; links found in each group."""
-    held = members.join(sets, "sid")
-    return settle(held.groupBy(*keys).applyInArrow(_verify(p, q, len(keys)), "a long, b long"))
+
+def _linked(p: int, q: int):
+    """Links between the one set of side 0 and those of side 1."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bodies = table.column("body").to_pylist()
+        sid, side = table.column("sid").to_pylist(), table.column("side").to_pylist()
+        at = side.index(0) if 0 in side else -1
+        found = []
+        if at >= 0:
+            v = np.frombuffer(bodies[at], _U)
+            for x, s, body in zip(sid, side, bodies):
+                if s == 1 and len(v) and len(body):
+                    u = np.frombuffer(body, _U)
+                    where = np.searchsorted(v, u)
+                    where[where == len(v)] = 0
+                    both = int((v[where] == u).sum())
+                    if both * q >= (len(u) + len(v) - both) * p:
+                        found.append(x)
+        return pa.table({"a": pa.array([sid[at]] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+
+    return run
+
+
+def _chunks(count, shingles):
+    return F.greatest(F.lit(1), F.ceil(F.greatest(F.col(count) / CHUNK_SETS, F.col(shingles) / CHUNK_SHINGLES))).cast("int")
 
 
 def _with_comp(rows: DataFrame, comp: DataFrame, sid: str, name: str) -> DataFrame:
@@ -268,6 +288,47 @@ def _with_comp(rows: DataFrame, comp: DataFrame, sid: str, name: str) -> DataFra
     return rows.join(right, sid, "left").withColumn(name, F.coalesce(name, sid))
 
 
+class _Join:
+    """The written tables that the rounds of one join share."""
+
+    def __init__(self, base: DataFrame, rows: DataFrame, k: int, p: int, q: int):
+        self.k, self.p, self.q = k, p, q
+        self.base = base
+        # One row for each different set; equal sets have equal fields.
+        self.nodes = settle(rows.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min(F.struct("doc", "th")).alias("head")))
+        self.edges: DataFrame | None = None
+        self.comp: DataFrame | None = None
+
+    def look(self, pairs: DataFrame) -> None:
+        """Add the links among distinct pairs ``a``, ``b``, and the components they make."""
+        at = lambda c: self.nodes.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
+        sized = pairs.join(at("a"), "a").join(at("b"), "b").where(F.least("na", "nb") * self.q >= F.greatest("na", "nb") * self.p)
+        left = settle(sized.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_may_link(self.p, self.q), "a long, b long, na int"))
+        sets = self._sets(left)
+        # Chunks of the partners of each b.
+        per = settle(left.groupBy("b").agg(F.count(F.lit(1)).alias("sets"), F.sum("na").alias("shingles")))
+        chunk = F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int")
+        placed = left.join(per.select("b", _chunks("sets", "shingles").alias("chunks")), "b").select("b", chunk.alias("c"), "a")
+        placed = settle(placed)
+        members = placed.select("b", "c", F.col("a").alias("sid"), F.lit(1).alias("side")).union(
+            placed.select("b", "c").distinct().select("b", "c", F.col("b").alias("sid"), F.lit(0).alias("side"))
+        )
+        new = settle(members.join(sets, "sid").groupBy("b", "c").applyInArrow(_linked(self.p, self.q), "a long, b long"))
+        release(sets)
+        self.edges = new if self.edges is None else self.edges.union(new)
+        self.comp = settle(components(self.edges))
+
+    def _sets(self, pairs: DataFrame) -> DataFrame:
+        need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+        where = settle(self.nodes.join(need, "sid").select("sid", F.col("head.doc").alias("d2"), F.col("head.th").alias("t2")))
+        once = zipped(self.base).join(where, F.col("doc").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")))
+        return settle(once.select("sid", "z").mapInArrow(_emit_sets(self.k), "sid long, body binary").dropDuplicates(["sid"]))
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose ends are not in one component yet."""
+        return _with_comp(_with_comp(pairs, self.comp, "a", "ca"), self.comp, "b", "cb").where("ca != cb").select("a", "b")
+
+
 def jaccard_classes(
     docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, weak: tuple[int, int] | None = None, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
@@ -281,66 +342,45 @@ def jaccard_classes(
     ``weak=(m, s)`` leaves out, for sets of at least m shingles, keys of ranges with
     fewer than s: an exact join takes none."""
     base = keyed(docs, text, key)
-    rows = settle(base.mapInArrow(_emit_keys(k, p, q, weak or (1 << 62, 0)), "doc long, th long, n int, k1 long, k2 long, keys array<long>"))
-    full = rows.where("n > 0")
-    whole = ["n", "k1", "k2"]
-    reps = settle(full.groupBy(*whole).agg(F.min(F.struct("doc", "th")).alias("head")).withColumn("sid", F.monotonically_increasing_id()))
-    is_head = F.col("head.doc").eqNullSafe(F.col("doc")) & (F.col("head.th") == F.col("th"))
-    keyed_sets = settle(full.join(reps, whole).where(is_head).select("sid", "n", F.explode("keys").alias("key")))
+    made = base.mapInArrow(_emit_keys(k, p, q, weak or (1 << 62, 0)), "doc long, th long, n int, k1 long, k2 long, bits binary, keys array<long>")
+    rows = settle(made)
+    # Equal sets share an id. Should two sets ever collide, another salt is taken.
+    salt = 0
+    while True:
+        sid = F.xxhash64(F.lit(salt), "n", "k1", "k2")
+        what = F.struct("n", "k1", "k2")
+        if rows.groupBy(sid.alias("sid")).agg(F.min(what).alias("x"), F.max(what).alias("y")).where("x != y").isEmpty():
+            break
+        salt += 1
+    rows = rows.withColumn("sid", sid)
 
     # Buckets of at least two sets, each with its smallest set.
+    keyed_sets = rows.where("n > 0").select("sid", F.explode("keys").alias("key"))
     heads = settle(keyed_sets.groupBy("key").agg(F.min("sid").alias("head"), F.max("sid").alias("last")).where("head != last").select("key", "head"))
-    met = settle(keyed_sets.join(heads, "key"))
-    pairs = settle(met.where("sid != head").select("sid", "n", "head").distinct())
-    sets = _needed_sets(base, reps, pairs, k)
+    met = settle(keyed_sets.join(heads, "key").where("sid != head").distinct())
+    join = _Join(base, rows, k, p, q)
 
     # Every set with the smallest head it meets, then with its other heads.
-    first = pairs.groupBy("sid", "n").agg(F.min("head").alias("head"))
-    edges = _stars(first, sets, None, p, q)
-    comp = settle(components(edges))
-    rest = _with_comp(_with_comp(pairs, comp, "sid", "cs"), comp, "head", "ch").where("cs != ch")
-    edges = edges.union(_stars(settle(rest.select("sid", "n", "head")), sets, comp, p, q))
-    comp = settle(components(edges))
-
-    # Buckets that still hold several components: all chunk pairs of each.
-    at = _with_comp(met, comp, "sid", "comp").distinct()
-    per = settle(
-        at.groupBy("key").agg(
-            F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"), F.min("comp").alias("c0"), F.max("comp").alias("c1"),
-            F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("s1"), F.min("sid").alias("s0"), F.max("sid").alias("s2"),
-        ).where("c0 != c1 and sets > 2")
-    )
+    join.look(met.groupBy(F.col("sid").alias("a")).agg(F.min("head").alias("b")))
+    join.look(join.apart(met.select(F.col("sid").alias("a"), F.col("head").alias("b")).distinct()))
+
+    # Buckets whose other sets still are in several components: trees over all chunk pairs.
+    at = _with_comp(met, join.comp, "sid", "comp").select("key", "sid", "comp")
+    per = at.groupBy("key").agg(
+        F.count(F.lit(1)).alias("sets"), F.min("comp").alias("c0"), F.max("comp").alias("c1"),
+        F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("s1"), F.min("sid").alias("s0"), F.max("sid").alias("s2"),
+    ).where("c0 != c1")
     # Buckets of the same sets are looked at once.
-    once = settle(per.groupBy("sets", "shingles", "s0", "s1", "s2").agg(F.min("key").alias("key")).select("key", _chunks("sets", "shingles").alias("chunks")))
+    once = settle(per.groupBy("sets", "s0", "s1", "s2").agg(F.min("key").alias("key")).select("key", _chunks("sets", "sets").alias("chunks")))
     placed = at.join(once, "key").withColumn("c", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    seen = placed.select("key", "sid", "comp", "c", other.alias("o"))
-    low, high = F.least("c", "o"), F.greatest("c", "o")
-    sides = F.when(F.col("c") == F.col("o"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.when(F.col("c") < F.col("o"), 0).otherwise(1)))
-    members = seen.select("key", low.alias("lo"), high.alias("hi"), "sid", "comp", F.explode(sides).alias("side"))
-    edges = edges.union(_groups(members, sets, ["key", "lo", "hi"], p, q))
-    comp = settle(components(edges))
-
-    named = settle(_with_comp(rows.select("doc", "th", *whole).join(reps.select(*whole, "sid"), whole, "left"), comp, "sid", "root"))
+    seen = placed.join(join.nodes.select("sid", "n", "bits"), "sid").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    side = F.when(F.col("c") <= F.col("o"), 0).otherwise(1)
+    members = seen.select("key", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "sid", "comp", "n", "bits", side.alias("side"))
+    join.look(settle(members.groupBy("key", "lo", "hi").applyInArrow(_pairs(p, q), "a long, b long").distinct()))
+
+    named = settle(_with_comp(rows.select("doc", "th", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")), join.comp, "sid", "root"))
     least = settle(named.where("root is not null").groupBy("root").agg(F.min("doc").alias("component_id")))
+    release(met, heads)
     return named.join(least, "root", "left").select(
         F.col("doc").alias("doc_id"), "th", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id")
     )
-
-
-def _needed_sets(base: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    need = pairs.select("sid").union(pairs.select("head")).distinct()
-    where = reps.join(need, "sid").select("sid", F.col("head.doc").alias("d2"), F.col("head.th").alias("t2"))
-    once = base.join(settle(where), F.col("doc").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")))
-    return settle(once.select("sid", "text").mapInArrow(_emit_sets(k), "sid long, body binary"))
-
-
-def _stars(pairs: DataFrame, sets: DataFrame, comp: DataFrame | None, p: int, q: int) -> DataFrame:
-    """Links of (sid, head) pairs, in chunks of each head's partners."""
-    per = settle(pairs.groupBy("head").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles")))
-    placed = settle(pairs.join(per.select("head", _chunks("sets", "shingles").alias("chunks")), "head").withColumn("c", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")))
-    right = placed.select("head", "c", "sid", F.lit(1).alias("side"))
-    left = placed.select("head", "c").distinct().select("head", "c", F.col("head").alias("sid"), F.lit(0).alias("side"))
-    members = left.unionByName(right)
-    members = _with_comp(members, comp, "sid", "comp") if comp is not None else members.withColumn("comp", F.col("sid"))
-    return _groups(members, sets, ["head", "c"], p, q)
