@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, repeats
+from ..session import scratch_path
+from . import jaccard, mixing, repeats, warc
+from .common import settle
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -48,3 +50,30 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of `documents` over links of Jaccard >= 0.9 on 3-word shingles."""
     out = jaccard.jaccard_classes(_table(spark, folder, "documents"), k=3, p=90, q=100)
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+@_query
+def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """`documents` mixed to source weights 1, 2, 3."""
+    out = mixing.mix(_table(spark, folder, "documents").select("doc_id", "source", "text"), keep=("doc_id",))
+    return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+_SQL["op7_source_mixing"] = mixing.sql()
+
+
+@_query
+def op8_warc_assembly(spark: SparkSession, folder: str) -> DataFrame:
+    """`pages` written as WARC records, read back and assembled by capture."""
+    path = scratch_path(spark, "warc")
+    warc.write_archives(_table(spark, folder, "pages"), path)
+    rows = warc.captures(settle(warc.read_archives(spark, path, payload=False)))
+    revisit = F.col("capture.record_type") == "revisit"
+    own = lambda name: F.when(revisit, F.col(f"origin.capture.{name}")).otherwise(F.col(f"capture.{name}"))
+    return rows.select(
+        F.get("metadata", F.lit(0))["fields"]["page-id"].try_cast("long").alias("page_id"),
+        own("payload_bytes").alias("payload_bytes"), own("payload_digest").alias("payload_digest"),
+        F.col("capture.record_type").alias("record_type"),
+        F.when(revisit, F.get("origin.metadata", F.lit(0))["fields"]["page-id"].try_cast("long")).alias("refers_to"),
+        F.col("capture.target_uri").alias("url"),
+    )
