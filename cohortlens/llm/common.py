@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,30 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage as settle
+from ..session import cut_lineage
 
-__all__ = ["settle", "release", "keyed", "zipped", "unzipped", "blobs", "pieces", "text_rows"]
+__all__ = ["settle", "release", "recorded", "keyed", "zipped", "unzipped", "slices", "blobs", "pieces", "text_rows"]
+
+
+_RECORDS: list[list[DataFrame]] = []
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written in the shared folder and read back; see :func:`recorded`."""
+    out = cut_lineage(df)
+    for record in _RECORDS:
+        record.append(out)
+    return out
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The stages written meanwhile, for :func:`release` once their results are kept."""
+    _RECORDS.append(made := [])
+    try:
+        yield made
+    finally:
+        _RECORDS.remove(made)
 
 
 def release(*stages: DataFrame) -> None:
@@ -66,6 +88,13 @@ def unzipped(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, int,
             texts, first, held = [], i + 1, 0
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller parts, where columns become Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def blobs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column and its row offsets; null is empty."""
     arr = pc.fill_null(column.cast(pa.large_binary()), b"")

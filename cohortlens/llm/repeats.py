@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, keyed, pieces, release, settle, unzipped, zipped
+from .common import blobs, keyed, pieces, release, settle, slices, unzipped, zipped
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = 0xBF58476D1CE4E5B9
@@ -134,7 +134,7 @@ def _split(width: int, parts):
     its digit covers, and a salt for that digit."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             docs, ths, lists = (b.column(c).to_pylist() for c in ("doc", "th", "todo"))
             for first, _, data, offsets in unzipped(b.column("z")):
                 out: list[list] = [[] for _ in _FIELDS]
@@ -213,7 +213,7 @@ def _union(spans):
 
 
 def _cut(batches):
-    for b in batches:
+    for b in slices(batches):
         removed, kept = [], []
         lists = b.column("spans").to_pylist()
         for first, _, data, offsets in unzipped(b.column("z")):
