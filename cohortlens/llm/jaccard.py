@@ -49,13 +49,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word (A-Z lower-cased, split at ASCII white space) of the rows in
-    ``data``, and the position of each row's first word."""
+def words_of(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word (A-Z lower-cased, split at the bytes ``apart``, ASCII white space)
+    of the rows in ``data``, and the position of each row's first word."""
     if not len(data):
         return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
     body = _LOWER[data]
-    inside = ~_SPACE[body]
+    inside = ~apart[body]
     before = np.zeros(len(inside) + 1, bool)
     before[1:] = inside
     cuts = offsets[offsets < len(data)]
@@ -332,8 +332,8 @@ class _Join:
 def jaccard_classes(
     docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, weak: tuple[int, int] | None = None, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``th``, ``n_shingles``, ``component_id``
-    (the smallest id reachable over links of Jaccard similarity >= p/q between sets of
+    """One row per row of ``docs``: ``doc_id``, ``th``, ``n_shingles``, ``first`` (of its
+    component, by id and text), ``component_id`` (the smallest id reachable over links of Jaccard similarity >= p/q between sets of
     ``k``-word shingles).
 
     A null or empty text and one of white space only have an empty set, link with
@@ -379,8 +379,25 @@ def jaccard_classes(
     join.look(settle(members.groupBy("key", "lo", "hi").applyInArrow(_pairs(p, q), "a long, b long").distinct()))
 
     named = settle(_with_comp(rows.select("doc", "th", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")), join.comp, "sid", "root"))
-    least = settle(named.where("root is not null").groupBy("root").agg(F.min("doc").alias("component_id")))
+    place = F.struct(F.col("doc").isNull().alias("late"), "doc", "th")
+    least = settle(named.where("root is not null").groupBy("root").agg(F.min(place).alias("head")))
     release(met, heads)
+    alone = F.col("root").isNull()
     return named.join(least, "root", "left").select(
-        F.col("doc").alias("doc_id"), "th", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id")
+        F.col("doc").alias("doc_id"), "th", F.col("n").cast("long").alias("n_shingles"),
+        F.when(alone, F.col("doc")).otherwise(F.col("head.doc")).alias("component_id"),
+        (alone | (F.col("head") == place)).alias("first"),
     )
+
+
+def first_of_classes(docs: DataFrame, classes: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of ``docs`` for each class: its first, by id (null last) and text. Rows
+    with an empty set all stay."""
+    keep = settle(classes.where("first").groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.count(F.lit(1)).alias("__n"), F.max("n_shingles").alias("__s")))
+    own = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    out = docs.join(keep, F.col(key).cast("long").eqNullSafe(F.col("__d")) & (own == F.col("__t")))
+    if not keep.where("__n > 1 and __s > 0").isEmpty():
+        # Rows that repeat id and text are one class; one of them stays.
+        many = (F.col("__n") > 1) & (F.col("__s") > 0)
+        out = out.where(~many).unionByName(out.where(many).dropDuplicates(["__d", "__t"]))
+    return out.select(*docs.columns)
