@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import jaccard, mixing, repeats, warc
+from . import decontaminate, jaccard, knn, licences, linededup, mixing, repeats, tokencount, toxicity, warc
 from .common import settle
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,55 @@ def op8_warc_assembly(spark: SparkSession, folder: str) -> DataFrame:
         F.when(revisit, F.get("origin.metadata", F.lit(0))["fields"]["page-id"].try_cast("long")).alias("refers_to"),
         F.col("capture.target_uri").alias("url"),
     )
+
+
+@_query
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """`documents` scored by the grammar; labels of held-out rows are never read."""
+    out = toxicity.scored(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels"), keep=["doc_id"])
+    return out.select("row.doc_id", "held_out", "score", "predicted")
+
+
+@_query
+def op3_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """Five best integer inner products of every fiftieth vector."""
+    return knn.top_k(_table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+
+
+@_query
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and covered license notices of `documents`."""
+    out = licences.scan(_table(spark, folder, "documents"))
+    joined = lambda c: F.array_join(c, ",")
+    return out.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels").alias("base_labels"), joined("labels").alias("labels"), "score"
+    )
+
+
+#: Vocabulary of the token counts; a path on every machine that plans the query.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@_query
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Greedy longest-match pieces of every text of `documents`."""
+    return tokencount.token_counts(_table(spark, folder, "documents"), *tokencount.load_pieces(PIECES))
+
+
+@_query
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold passages of `benchmark`, with the items."""
+    hits = decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return hits.select(F.col("doc").alias("doc_id"), "item_id", "cosine", "share", "answered", "first_word")
+
+
+@_query
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of `documents` that go because a near or equal line stands before them."""
+    docs = _table(spark, folder, "documents")
+    gone = settle(linededup.removed_lines(docs))
+    right = gone.select(F.col("doc").alias("d2"), F.col("th").alias("t2"), "n_lines", "removed")
+    own = docs.select(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    joined = own.join(right, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")), "left")
+    none = F.array().cast("array<int>")
+    return joined.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("removed", none).alias("removed"))
