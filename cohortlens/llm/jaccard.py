@@ -34,6 +34,8 @@ _RATIO = (5, 4)
 BITS = 2048
 #: A chunk holds at most about this many sets and shingles.
 CHUNK_SETS, CHUNK_SHINGLES = 64, 1 << 16
+#: Sets of a tree; a bucket of more is split, and all pairs of its trees are traversed.
+TREE_SETS = 512
 
 
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -371,7 +373,7 @@ def jaccard_classes(
         F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("s1"), F.min("sid").alias("s0"), F.max("sid").alias("s2"),
     ).where("c0 != c1")
     # Buckets of the same sets are looked at once.
-    once = settle(per.groupBy("sets", "s0", "s1", "s2").agg(F.min("key").alias("key")).select("key", _chunks("sets", "sets").alias("chunks")))
+    once = settle(per.groupBy("sets", "s0", "s1", "s2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("sets") / TREE_SETS).cast("int").alias("chunks")))
     placed = at.join(once, "key").withColumn("c", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
     seen = placed.join(join.nodes.select("sid", "n", "bits"), "sid").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     side = F.when(F.col("c") <= F.col("o"), 0).otherwise(1)
