@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import decontaminate, jaccard, knn, licences, linededup, mixing, repeats, tokencount, toxicity, warc
-from .common import settle
+from .common import settle, tuned
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -20,7 +20,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _query(fn):
-    _QUERIES[fn.__name__] = fn
+    _QUERIES[fn.__name__] = lambda spark, folder: fn(tuned(spark), folder)
     return fn
 
 

@@ -9,12 +9,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-__all__ = ["settle", "release", "recorded", "keyed", "zipped", "unzipped", "slices", "blobs", "pieces", "text_rows"]
+__all__ = ["settle", "release", "recorded", "tuned", "keyed", "zipped", "unzipped", "slices", "blobs", "pieces", "text_rows"]
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Session options of the queries: Arrow batches of rows that hold whole texts are
+    kept small, for they stand in memory twice, in the JVM and in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
 
 
 _RECORDS: list[list[DataFrame]] = []
