@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.tables import literal_table
 from ..plans import ranking
 from ..plans import roles as R
-from ..presets.football import ROLE_WEIGHTS, ROLES
+from ..presets.football import BROAD_OF, DIMENSIONS, ELEVEN, ROLE_WEIGHTS, ROLES
 from ..presets.formations import generic_rows, template_rows
 from .base import CTE, CTE_DEPS, query
 from .windows_q import features
@@ -273,7 +273,6 @@ def _(t):
     return R.template_roles(lineups(t)).select("unit", "entity", "formation", "role", "method")
 
 
-ELEVEN = ("GK", "RB", "RCB", "LCB", "LB", "DM", "CM", "AM", "RW", "LW", "ST")
 CTE["trp"] = """
 SELECT entity, role, sum(minutes) AS m, count(DISTINCT unit) AS n FROM tr WHERE role<>'UNRESOLVED' GROUP BY ALL"""
 CTE_DEPS["trp"] = ("tr",)
@@ -300,8 +299,6 @@ def _(t):
     return template_agg(t).select("entity", "raw_role", "formation_role", *r6("stability"), "precise_minutes", "observations", "distribution")
 
 
-BROAD_OF = {"GK": "GK", "RB": "FB", "LB": "FB", "RCB": "CB", "LCB": "CB", "DM": "DM", "CM": "CM", "AM": "AM", "RW": "W", "LW": "W", "ST": "ST"}
-_DIM_INDEX = ("goalkeeping", "build_up", "retention", "defending", "duels", "progression", "creation", "finishing")
 CTE["aud0"] = """
 SELECT entity, CASE WHEN entity%2=0 THEN 'RCB' ELSE 'LW' END AS current_role, formation_role, precise_minutes AS minutes, CASE entity%5 WHEN 0 THEN 'RB|LB' WHEN 1 THEN 'ST' WHEN 2 THEN 'CM|AM' WHEN 3 THEN 'RCB|LW' END AS allowed,
   CASE WHEN entity%7=0 THEN 'CM' WHEN entity%7=1 THEN 'RB' END AS preferred FROM tagg"""
@@ -316,7 +313,7 @@ CTE_DEPS["aud1"] = ("aud0",)
 def _aud_score() -> str:
     parts = []
     for role, b in BROAD_OF.items():
-        terms = " + ".join(f"{w!r}e0*{'0.5e0' if d == 'base' else f'((entity+{_DIM_INDEX.index(d)})%50/50e0)'}" for d, w in ROLE_WEIGHTS[b].items())
+        terms = " + ".join(f"{w!r}e0*{'0.5e0' if d == 'base' else f'((entity+{DIMENSIONS.index(d)})%50/50e0)'}" for d, w in ROLE_WEIGHTS[b].items())
         parts.append(f"WHEN '{role}' THEN {terms}")
     return "CASE audited_role " + " ".join(parts) + " END"
 
@@ -334,7 +331,7 @@ def audited(t):
         "entity", F.when(F.col("entity") % 2 == 0, "RCB").otherwise("LW").alias("current_role"), "formation_role", F.col("precise_minutes").alias("minutes"),
         F.when(k == 0, "RB|LB").when(k == 1, "ST").when(k == 2, "CM|AM").when(k == 3, "RCB|LW").alias("allowed"),
         F.when(F.col("entity") % 7 == 0, "CM").when(F.col("entity") % 7 == 1, "RB").alias("preferred"),
-        ((F.col("entity") % 10) / 100.0).alias("uncertainty"), *[(((F.col("entity") + i) % 50) / 50.0).alias(d) for i, d in enumerate(_DIM_INDEX)],
+        ((F.col("entity") % 10) / 100.0).alias("uncertainty"), *[(((F.col("entity") + i) % 50) / 50.0).alias(d) for i, d in enumerate(DIMENSIONS)],
     )
     return R.reconcile_role_evidence(rows, BROAD_OF, ROLE_WEIGHTS)
 

@@ -9,28 +9,57 @@ from ..operators.windows import latest_by_key
 from ..session import scratch_path
 from ..sources import io
 from .base import query
-from .payloads import unit_payloads
+
+
+def _write_envelopes(t):
+    """One envelope per line. A third of the lines write numbers as they are declared, a
+    third as text, a third with a fraction; beside them stand a broken document and one
+    without a response."""
+    path = scratch_path(t.spark, "envelopes")
+    n, text = F.col("l_linenumber"), lambda c: c.cast("string")
+
+    def envelopes(part, unit, shots, passes):
+        stat = F.struct(F.struct(shots.alias("total")).alias("shots"), F.struct(passes.alias("total"), F.lit("80%").alias("accuracy")).alias("passes"))
+        man = F.struct(F.struct(F.col("l_partkey").alias("id")).alias("player"), F.array(stat).alias("statistics"))
+        side = F.struct(F.struct(F.col("l_suppkey").alias("id")).alias("team"), F.array(man).alias("players"))
+        doc = F.struct(F.struct(unit.alias("id"), F.struct(F.col("l_linestatus").alias("short")).alias("status")).alias("fixture"), F.array(side).alias("players"))
+        return t.lineitem.where(n % 3 == part).select(F.to_json(F.struct(F.array(doc).alias("response"))).alias("value"))
+
+    plain = envelopes(0, F.col("l_orderkey"), n, n * 10)
+    worded = envelopes(1, text(F.col("l_orderkey")), text(n), F.when(n == 4, "n/a").otherwise(text(n * 10)))
+    broken = envelopes(2, F.col("l_orderkey").cast("double"), n.cast("double"), n.cast("double") * 10)
+    plain.union(worded).union(broken).write.text(f"{path}/good")
+    t.region.limit(1).select(F.explode(F.array(F.lit('{"response": ['), F.lit('{"errors": "none"}'), F.lit("[1, 2"))).alias("value")).write.text(f"{path}/bad")
+    return [f"{path}/good", f"{path}/bad"]
 
 
 @query(
     "S1_read_envelope_json",
-    "SELECT l_orderkey AS fixture_id, short AS status, 'Team '||home_id AS home, CASE WHEN n<>1 THEN 3 END AS events FROM pay",
-    ("pay",),
+    """SELECT l_orderkey AS fixture_id, l_linestatus AS status, CAST(l_partkey AS BIGINT) AS player, CAST(l_linenumber AS INTEGER) AS shots,
+  CAST(CASE WHEN l_linenumber<>4 THEN l_linenumber*10 END AS INTEGER) AS passes, '80%' AS accuracy FROM lineitem""",
 )
 def _(t):
-    path = scratch_path(t.spark, "envelopes")
-    doc = F.struct(*[F.col(x) for x in ("fixture", "teams", "events")])
-    # One envelope per line; a broken document stands beside them and must be skipped.
-    envelopes = unit_payloads(t).select(F.to_json(F.struct(F.array(doc).alias("response"))).alias("value"))
-    envelopes.write.text(f"{path}/good")
-    t.region.limit(1).select(F.lit('{"response": [').alias("value")).write.text(f"{path}/bad")
-    units = io.read_envelope_json(t.spark, [f"{path}/good", f"{path}/bad"], lines=True)
+    units = io.read_envelope_json(t.spark, _write_envelopes(t), lines=True)
+    man = F.col("players")[0]["players"][0]
+    stat = man["statistics"][0]
     return units.select(
-        F.col("fixture.id").alias("fixture_id"), F.col("fixture.status.short").alias("status"), F.col("teams.home.name").alias("home"),
-        F.when(F.col("events").isNotNull(), F.size("events")).alias("events"),
+        F.col("fixture.id").alias("fixture_id"), F.col("fixture.status.short").alias("status"), man["player"]["id"].alias("player"),
+        stat["shots"]["total"].alias("shots"), stat["passes"]["total"].alias("passes"), stat["passes"]["accuracy"].alias("accuracy"),
     )
 
 
+@query(
+    "S1_rejects",
+    """SELECT 'no json' AS reason, CAST(2 AS BIGINT) AS n, CAST((SELECT count(*) FROM lineitem) AS BIGINT) AS "rows"
+UNION ALL SELECT 'no response', 1, (SELECT count(*) FROM lineitem)""",
+)
+def _(t):
+    paths = _write_envelopes(t)
+    kept = io.read_envelope_json(t.spark, paths, lines=True).agg(F.count(F.lit(1)).alias("rows"))
+    out = io.envelope_rejects(t.spark, paths, lines=True).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return out.join(kept, F.lit(True)).select("reason", "n", "rows")
+
+
 @query(
     "S2_read_glob_union",
     """SELECT l_orderkey AS unit, l_suppkey AS entity, CASE WHEN l_linestatus='F' THEN l_quantity END AS minutes, CASE WHEN l_linestatus='F' THEN 'starts' ELSE 'bench' END AS src FROM lineitem""",
@@ -95,20 +124,41 @@ def _(t):
     return a.withColumn("fmt", F.lit("csv")).union(b.withColumn("fmt", F.lit("json")))
 
 
+@query(
+    "S2_rejects",
+    """SELECT 'unreadable' AS reason, CAST(1 AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS "rows" FROM orders""",
+)
+def _(t):
+    path = scratch_path(t.spark, "broken")
+    io.write_table(t.orders.select(F.col("o_orderkey").alias("unit"), F.col("o_totalprice").alias("minutes")), f"{path}/good", "csv")
+    files = t.spark.sparkContext
+    fs_path = files._jvm.org.apache.hadoop.fs.Path
+    to = fs_path(f"{path}/odd/cut.csv.gz")
+    stream = to.getFileSystem(files._jsc.hadoopConfiguration()).create(to)
+    stream.write(bytearray(b"\x1f\x8b\x08\x00\x00"))
+    stream.close()
+    groups = [(f"{path}/good/*.csv.gz", "unit bigint, minutes double"), (f"{path}/odd/*.csv.gz", "unit bigint")]
+    kept = io.read_glob_union(t.spark, groups, ["unit"]).agg(F.count(F.lit(1)).alias("rows"))
+    return io.glob_rejects(t.spark, groups).groupBy("reason").agg(F.count(F.lit(1)).alias("files")).join(kept, F.lit(True)).select("reason", "files", "rows")
+
+
+_DIGEST_WORDS = ", ".join(f"sum(CAST('0x'||substr(h,{1 + i * 15},15) AS BIGINT)::HUGEINT) AS w{i}" for i in range(5))
+
+
 @query(
     "S7_content_digest",
-    """SELECT lang, sha256(string_agg(d, '' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS "rows" FROM (
-  SELECT lang, substr(h,1,3) AS p, sha256(string_agg(h,'' ORDER BY h)) AS d, count(*) AS n FROM (
-    SELECT lang, sha256('{"doc_id":'||doc_id||',"n_chars":'||n_chars||',"source":"'||source||'"}') AS h FROM documents) GROUP BY ALL) GROUP BY lang""",
+    f"""SELECT lang, sha256(concat_ws(',', "rows", w0, w1, w2, w3, w4)) AS digest, "rows" FROM (
+  SELECT lang, count(*) AS "rows", {_DIGEST_WORDS} FROM (
+    SELECT lang, sha256('{{"doc_id":'||doc_id||',"n_chars":'||n_chars||',"source":"'||source||'","text":'||CAST(to_json(text) AS VARCHAR)||'}}') AS h FROM documents) GROUP BY lang)""",
 )
 def _(t):
-    return io.content_digest(t.documents, ["lang"], ["source", "doc_id", "n_chars"])
+    return io.content_digest(t.documents, ["lang"], ["source", "doc_id", "n_chars", "text"])
 
 
 @query("S8_file_manifest")
 def _(t):
-    files = io.file_manifest(t.spark, [f"{t.folder}/{n}.parquet" for n in ("nation", "region", "orders", "lineitem")])
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "bytes", F.length("sha256").alias("digest_length"))
+    files = io.file_manifest(t.spark, f"{t.folder}/*.parquet")
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "bytes", "sha256")
 
 
 @query(

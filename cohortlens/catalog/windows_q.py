@@ -344,7 +344,7 @@ def _(t):
 )
 def _(t):
     team = windows.top_n_per_group(slim(t), ["cohort"], [F.col("shots").desc(), F.col("entity")], 11)
-    keeper = ordered.with_stats(team, ["cohort"], {"__k": F.max("saves_p90")}, small=True)
+    keeper = ordered.with_stats(team, ["cohort"], {"__k": F.max("saves_p90")})
     order = [
         (F.col("saves_p90") == F.col("__k")).cast("int"), F.col("goals_p90").desc(), F.col("shots_p90").desc(), F.col("entity").desc(),
     ]

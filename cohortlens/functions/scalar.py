@@ -5,6 +5,8 @@ Everything here is a ``Column -> Column`` function, so the work stays in the JVM
 
 from __future__ import annotations
 
+import unicodedata
+
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -145,16 +147,32 @@ def normalise_key(col: Col) -> Column:
     return F.trim(F.regexp_replace(F.lower(c(col)), "[^a-z0-9]+", " "))
 
 
-# Accented letters and the plain letters that decomposition leaves.
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+def _folds() -> tuple[str, str, list[tuple[str, str]]]:
+    """Letters whose compatibility decomposition leaves plain ASCII: those that leave one
+    character, what they leave, and (letter, text) of those that leave several."""
+    one, plain, many = [], [], []
+    for code in range(0x80, 0x10000):
+        letter = chr(code)
+        left = "".join(x for x in unicodedata.normalize("NFKD", letter) if ord(x) < 128).lower()
+        if left.isalnum() and letter == letter.lower():
+            if len(left) == 1:
+                one.append(letter)
+                plain.append(left)
+            elif unicodedata.name(letter, "").startswith("LATIN"):
+                many.append((letter, left))
+    return "".join(one), "".join(plain), many
+
+
+_ACCENTED, _PLAIN, _SEVERAL = _folds()
 
 
 def fold_accents(col: Col) -> Column:
-    """Lower case without accents; a letter with no plain form is dropped, as are
-    combining marks."""
-    lowered = F.translate(F.lower(c(col)), _ACCENTED, _PLAIN)
-    return F.regexp_replace(lowered, r"[̀-ͯ]", "")
+    """Lower case without accents, by compatibility decomposition; a letter with no plain
+    form is dropped later, as are combining marks."""
+    out = F.translate(F.lower(c(col)), _ACCENTED, _PLAIN)
+    for letter, text in _SEVERAL:
+        out = F.replace(out, F.lit(letter), F.lit(text))
+    return F.regexp_replace(out, r"[\u0300-\u036f]", "")
 
 
 def normalise_text(col: Col) -> Column:

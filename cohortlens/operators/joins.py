@@ -98,18 +98,13 @@ def asof_nearest(
     then the smaller id, on ties. One union ordered by time: the last right row before
     and the first one after are carried along by two running windows, so no pairs are
     formed."""
-    from .ordered import largest_group
-    from ..session import group_limit
-
     lt, rt = F.col(left_ts), F.col(right_ts)
     probe = left.select(*keys, lt.alias("__t"), F.col(left_id).alias("__lid"))
     hit = F.struct(rt.alias("t"), F.col(right_id).alias("id"), *[F.col(v) for v in values])
     cand = right.select(*keys, rt.alias("__t"), hit.alias("__hit"))
     both = probe.unionByName(cand, allowMissingColumns=True)
     order = [F.col("__t"), F.col("__hit.id").asc_nulls_last(), F.col("__lid")]
-    if largest_group(both, keys) > group_limit(left.sparkSession):
-        return _asof_chunked(both, keys, order, left_id, values)
-    return _asof_pick(_asof_carry(both, keys, order), keys, left_id, values)
+    return _asof_chunked(both, keys, order, left_id, values)
 
 
 def _last_hit() -> Column:
@@ -130,24 +125,20 @@ def _asof_carry(both: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 
 def _asof_chunked(both: DataFrame, keys: Sequence[str], order: Sequence[Column], left_id: str, values: Sequence[str]) -> DataFrame:
-    """Hot key: range-partitioned chunks, each with the best candidate of the chunks
-    before and after it."""
-    from ..session import cut_lineage
+    """Chunks of time, each with the best candidate of the chunks before and after it."""
+    from .ordered import chunked
 
-    keys = list(keys)
-    ranged = cut_lineage(
-        both.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("__chunk", F.spark_partition_id())
-    )
-    per = ranged.groupBy(*keys, "__chunk").agg(_last_hit().alias("__l"), F.min("__hit").alias("__f"))
-    w = Window.partitionBy(*keys).orderBy("__chunk")
+    rows = chunked(both, keys, order)
+    per = rows.groupBy("__key", "__chunk").agg(_last_hit().alias("__l"), F.min("__hit").alias("__f"))
+    w = Window.partitionBy("__key").orderBy("__chunk")
     ends = per.select(
-        *keys,
+        "__key",
         "__chunk",
         F.max("__l").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__pl"),
         F.min("__f").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__nf"),
     )
-    carried = _asof_carry(ranged, [*keys, "__chunk"], order)
-    joined = join_on(carried, ends, [*keys, "__chunk"], "left", nulls=True)
+    carried = _asof_carry(rows, ["__key", "__chunk"], order)
+    joined = carried.join(ends, ["__key", "__chunk"])
     filled = joined.withColumn("__before", F.coalesce("__before", F.col("__pl.h"))).withColumn(
         "__after", F.coalesce("__after", "__nf")
     )

@@ -1,89 +1,108 @@
 """Ordered computations that survive a hot group.
 
-A window per group hands one whole group to one task. That is right for small groups
-and wrong when a single key holds a third of the table. Each function here counts the
-largest group first (a map-side combined aggregation) and then takes one of two ways
-to the same result:
-
-* groups within ``cohortlens.order.groupLimit`` rows: an ordinary window;
-* larger groups: a range partitioning on (keys, order), fixed by a written copy, chunk
-  totals, an offset per chunk, and a window inside (keys, chunk) only.
+A window per group hands one whole group to one task. Here a group is cut into chunks by
+the value it is ordered by: equal widths between the group's smallest and largest value,
+so that rows, chunk totals and offsets agree without anything written in between. Totals
+of the chunks before come from one short window (a row for each chunk), and only the
+inside of a chunk is sorted. There is one plan for every size, planning runs no job, and
+null keys form a group like any other.
+
+Widths are equal in value, not in rows: where most of a group shares a small part of its
+range, that part stays one chunk. Quantiles, ranks and trimmed means collapse equal
+values to one row with a count before they are cut, so ties do not add to a chunk.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import cut_lineage, group_limit
+#: Chunks of a group.
+CHUNKS = 64
+#: Rows of a block in :func:`last_k`.
+BLOCK = 65_536
+_KEY, _CHUNK, _X = "__key", "__chunk", "__x"
 
-_CHUNK = "__chunk"
 
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    return int(row[0] or 0)
+def _key(keys: Sequence[str]) -> Column:
+    """The keys as one value that equals itself where parts are null."""
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
 
 
 def join_on(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", nulls: bool = False
 ) -> DataFrame:
     """Equi-join on equally named keys; the key columns of ``left`` are kept. ``nulls``
-    lets null keys meet (at the price of a shuffle on derived keys). Without keys the
-    right side must be a single row."""
+    lets null keys meet. Without keys the right side must be a single row, which is
+    checked where the join runs."""
     if not keys:
-        return left.join(F.broadcast(right), F.lit(True), how)
+        one = right.agg(F.count(F.lit(1)).alias("__n"), *[F.first(F.col(c)).alias(c) for c in right.columns])
+        checked = one.select(F.assert_true(F.col("__n") <= 1, F.lit("a join without keys takes a single row")).alias("__ok"), *right.columns)
+        return left.join(F.broadcast(checked), F.col("__ok").isNull(), how).drop("__ok")
+    rest = [x for x in right.columns if x not in keys]
     if not nulls:
-        rest = [x for x in right.columns if x not in keys]
         return left.join(right, list(keys), how).select(*left.columns, *rest)
-    renamed = right
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"__r_{k}")
-    tests = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
-    return left.join(renamed, reduce(lambda x, y: x & y, tests), how).drop(*[f"__r_{k}" for k in keys])
+    met = right.select(_key(keys).alias(_KEY), *rest)
+    return left.withColumn(_KEY, _key(keys)).join(met, _KEY, how).select(*left.columns, *rest)
 
 
 def attach_totals(
-    df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], source: DataFrame | None = None, nulls: bool = False
+    df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], source: DataFrame | None = None
 ) -> DataFrame:
     """Group totals added to every row: aggregate, then join back. The aggregate is
     combined map-side, so a hot group never meets in one task."""
-    totals = (source if source is not None else df).groupBy(*keys).agg(*aggs)
-    return join_on(df, totals, keys, "left" if keys else "inner", nulls)
-
-
-def fits(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether every group is small enough for one window task."""
-    return largest_group(df, keys) <= group_limit(df.sparkSession)
+    rows = source if source is not None else df
+    if not keys:
+        return join_on(df, rows.agg(*aggs), [])
+    totals = rows.groupBy(_key(keys).alias(_KEY)).agg(*aggs)
+    out = df.withColumn(_KEY, _key(keys)).join(totals, _KEY, "left")
+    return out.drop(_KEY)
 
 
-def with_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column], small: bool | None = None) -> DataFrame:
-    """Group aggregates beside every row: over an unordered window when the groups are
-    small (one shuffle serves all of them), by aggregate-and-join otherwise."""
-    if not keys:
-        return join_on(df, df.agg(*[a.alias(n) for n, a in stats.items()]), [])
-    if fits(df, keys) if small is None else small:
-        w = Window.partitionBy(*keys)
-        return df.select("*", *[a.over(w).alias(n) for n, a in stats.items()])
+def with_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
+    """Group aggregates beside every row."""
     return attach_totals(df, keys, [a.alias(n) for n, a in stats.items()])
 
 
-def with_quantiles(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Mapping[str, float], small: bool | None = None
-) -> DataFrame:
+def with_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
     """Group quantiles beside every row, columns ``<column>_<name>``."""
-    if keys and (fits(df, keys) if small is None else small):
-        stats = {f"{c}_{n}": F.percentile(c, F.lit(p)) for c in columns for n, p in probs.items()}
-        return with_stats(df, keys, stats, small=True)
-    return join_on(df, quantiles(df, keys, columns, probs, small), keys)
-
-
-def _window(keys: Sequence[str], order: Sequence[Column]):
-    spec = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    return spec.orderBy(*order)
+    return join_on(df, quantiles(df, keys, columns, probs), keys, "left" if keys else "inner", nulls=True)
+
+
+def _axis(df: DataFrame, order: Sequence[Column]) -> tuple[Column, bool, bool]:
+    """(position of the leading order value as a double, descending, nulls first). An
+    order that does not lead with a plain number, date or time column has one chunk."""
+    m = re.fullmatch(r"Column<'`?(\w+)`?(?: (ASC|DESC)(?: NULLS (FIRST|LAST))?)?'>", str(order[0]))
+    if not m or m[1] not in df.columns:
+        return F.lit(0.0), False, True
+    kind, c, down = df.schema[m[1]].dataType, F.col(m[1]), m[2] == "DESC"
+    first = m[3] == "FIRST" if m[3] else not down
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double"), down, first
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double"), down, first
+    return (c.cast("double"), down, first) if isinstance(kind, T.NumericType) else (F.lit(0.0), False, True)
+
+
+def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``df`` with its group (``__key``) and the chunk of the group (``__chunk``); chunks
+    follow each other in ``order``."""
+    x, down, first = _axis(df, order)
+    named = df.select("*", _key(keys).alias(_KEY), x.alias(_X))
+    inf = F.lit(float("inf"))
+    finite = ~F.isnan(_X) & (F.abs(F.col(_X)) < inf)
+    ends = named.groupBy(_KEY).agg(F.min(F.when(finite, F.col(_X))).alias("__lo"), F.max(F.when(finite, F.col(_X))).alias("__hi"))
+    lo, hi, v = F.col("__lo"), F.col("__hi"), F.col(_X)
+    inside = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * CHUNKS), F.lit(CHUNKS - 1))).otherwise(0).cast("int")
+    # Infinities and NaN stand beyond the finite values, as in a sort.
+    up = F.when(finite, inside).when(F.isnan(_X), CHUNKS + 1).when(v > 0, CHUNKS).otherwise(-1)
+    turned = F.lit(CHUNKS) - up if down else up
+    placed = F.when(v.isNull(), F.lit(-2 if first else CHUNKS + 2)).otherwise(turned)
+    return named.join(ends, _KEY).select(*df.columns, _KEY, placed.cast("int").alias(_CHUNK))
 
 
 def prefix(
@@ -92,48 +111,37 @@ def prefix(
     order: Sequence[Column],
     sums: Mapping[str, Column | str] | None = None,
     index: str | None = None,
-    small: bool | None = None,
+    totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Exclusive prefix sums (``sums``: new name -> summed column) and a 0-based row
-    ``index`` per group. ``order`` must be total."""
-    keys = list(keys)
+    ``index`` per group. ``order`` must be total. ``totals`` (new name -> name of a sum)
+    adds whole group sums."""
     terms = {n: (F.col(v) if isinstance(v, str) else v) for n, v in (sums or {}).items()}
     if index:
         terms = {**terms, index: F.lit(1).cast("long")}
-    if fits(df, keys) if small is None else small:
-        w = _window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select("*", *[_zero_sum(t, w).alias(n) for n, t in terms.items()])
-    return _chunked_prefix(df, keys, order, terms)
-
-
-def _zero_sum(term: Column, w) -> Column:
-    return F.coalesce(F.sum(term).over(w), F.lit(0))
-
-
-def _chunked_prefix(df: DataFrame, keys: list[str], order: Sequence[Column], terms: Mapping[str, Column]) -> DataFrame:
     named = df.select("*", *[t.alias(f"__t_{n}") for n, t in terms.items()])
-    ranged = cut_lineage(
-        named.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(_CHUNK, F.spark_partition_id())
-    )
-    per_chunk = ranged.groupBy(*keys, _CHUNK).agg(*[F.sum(f"__t_{n}").alias(f"__s_{n}") for n in terms])
-    # One row per chunk of the group: at most the number of range partitions.
-    before = _window(keys, [F.col(_CHUNK)]).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_chunk.select(
-        *keys, _CHUNK, *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in terms]
+    rows = chunked(named, keys, order)
+    per = rows.groupBy(_KEY, _CHUNK).agg(*[F.sum(f"__t_{n}").alias(f"__s_{n}") for n in terms])
+    # At most CHUNKS + 5 rows for each group.
+    group = Window.partitionBy(_KEY)
+    before = group.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(
+        _KEY, _CHUNK,
+        *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in terms],
+        *[F.sum(f"__s_{n}").over(group).alias(new) for new, n in (totals or {}).items()],
     )
-    joined = join_on(ranged, offsets, [*keys, _CHUNK], "left", nulls=True)
-    inner = _window([*keys, _CHUNK], order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(_KEY, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(offsets, [_KEY, _CHUNK])
     return joined.select(
         *df.columns,
         *[(F.col(f"__o_{n}") + F.coalesce(F.sum(f"__t_{n}").over(inner), F.lit(0))).alias(n) for n in terms],
+        *(totals or {}),
     )
 
 
-def row_index(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, start: int = 1, small: bool | None = None
-) -> DataFrame:
+def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, start: int = 1) -> DataFrame:
     """``row_number`` for groups of any size."""
-    out = prefix(df, keys, order, index=name, small=small)
+    out = prefix(df, keys, order, index=name)
     return out.withColumn(name, (F.col(name) + F.lit(start)).cast("long"))
 
 
@@ -141,17 +149,12 @@ def last_k(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, aggs: Mapping[str, Column], current: bool = False
 ) -> DataFrame:
     """Aggregates over the ``k`` rows before the current one, or over the last ``k``
-    with it (``current``). Beyond the group limit the rows are cut into blocks by
-    position and each block gets the last ``k`` rows of the block before it, so every
-    frame is complete inside its block."""
+    with it (``current``). Rows are cut into blocks by position and each block gets the
+    last ``k`` rows of the block before it, so every frame is complete inside its block."""
     keys = list(keys)
     frame = (-k + 1, 0) if current else (-k, -1)
-    limit = group_limit(df.sparkSession)
-    if fits(df, keys):
-        w = _window(keys, order).rowsBetween(*frame)
-        return df.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
-    size = max(limit, k + 1)
-    placed = prefix(df, keys, order, index="__i", small=False).withColumn("__b", F.floor(F.col("__i") / size))
+    size = max(BLOCK, k + 1)
+    placed = prefix(df, keys, order, index="__i").withColumn("__b", F.floor(F.col("__i") / size))
     halo = F.col("__i") % size >= size - k
     copies = F.when(halo, F.array(F.col("__b"), F.col("__b") + 1)).otherwise(F.array(F.col("__b")))
     spread = placed.withColumn("__block", F.explode(copies))
@@ -160,74 +163,52 @@ def last_k(
     return out.where(F.col("__b") == F.col("__block")).drop("__i", "__b", "__block")
 
 
-def value_positions(df: DataFrame, keys: Sequence[str], value: str, small: bool | None = None) -> DataFrame:
+def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per distinct non-null value of a group with ``n`` (rows holding it),
     ``n_before`` (rows with a smaller value) and ``n_total``. Ranks, shares, quantiles
     and trimmed means all read off these positions."""
-    keys = list(keys)
-    counts = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    )
-    if fits(counts, keys) if small is None else small:
-        placed = prefix(counts, keys, [F.col(value).asc()], sums={"n_before": "n"}, small=True)
-        return with_stats(placed, keys, {"n_total": F.sum("n")}, small=True)
-    counts = cut_lineage(counts)
-    placed = prefix(counts, keys, [F.col(value).asc()], sums={"n_before": "n"}, small=False)
-    return attach_totals(placed, keys, [F.sum("n").alias("n_total")], source=counts)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    return prefix(counts, keys, [F.col(value).asc()], sums={"n_before": "n"}, totals={"n_total": "n_before"})
 
 
-def quantiles(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Mapping[str, float], small: bool | None = None
-) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
     """Exact linear-interpolation quantiles: one row per group, columns
-    ``<column>_<name>``. Small groups use the built-in ``percentile``; beyond the limit
-    the two neighbouring order statistics are found by position."""
+    ``<column>_<name>``; the two neighbouring order statistics are found by position.
+    All columns go through one pass."""
     keys = list(keys)
-    if fits(df, keys) if small is None else small:
-        return df.groupBy(*keys).agg(
-            *[F.percentile(col, F.lit(p)).alias(f"{col}_{n}") for col in columns for n, p in probs.items()]
-        )
-    out = df.select(*keys).distinct() if keys else None
-    for col in columns:
-        pos = value_positions(df, keys, col)
-        aggs = []
-        for n, p in probs.items():
-            h = (F.col("n_total") - 1) * F.lit(p)
-            for tag, k in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-                inside = (F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n"))
-                aggs.append(F.max(F.when(inside, F.col(col))).alias(f"__{tag}_{n}"))
-            aggs.append(F.max(h - F.floor(h)).alias(f"__f_{n}"))
-        part = pos.groupBy(*keys).agg(*aggs).select(
-            *keys,
-            *[
-                (F.col(f"__lo_{n}") + F.col(f"__f_{n}") * (F.col(f"__hi_{n}") - F.col(f"__lo_{n}"))).alias(f"{col}_{n}")
-                for n in probs
-            ],
-        )
-        out = part if out is None else join_on(out, part, keys, "left" if keys else "inner")
-    return out
-
-
-def competition_rank(
-    df: DataFrame, keys: Sequence[str], value: str, name: str, descending: bool = True, small: bool | None = None
-) -> DataFrame:
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("__c"), F.col(c).cast("double").alias("__v")) for i, c in enumerate(columns)]))
+    long = df.select(*keys, pairs.alias("__p")).select(*keys, "__p.*")
+    pos = value_positions(long, [*keys, "__c"], "__v")
+    aggs = []
+    for n, p in probs.items():
+        h = (F.col("n_total") - 1) * F.lit(p)
+        for tag, k in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            inside = (F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n"))
+            aggs.append(F.max(F.when(inside, F.col("__v"))).alias(f"__{tag}_{n}"))
+        aggs.append(F.max(h - F.floor(h)).alias(f"__f_{n}"))
+    each = pos.groupBy(*keys, "__c").agg(*aggs).select(
+        *keys, "__c", *[(F.col(f"__lo_{n}") + F.col(f"__f_{n}") * (F.col(f"__hi_{n}") - F.col(f"__lo_{n}"))).alias(f"__q_{n}") for n in probs]
+    )
+    wide = [F.max(F.when(F.col("__c") == i, F.col(f"__q_{n}"))).alias(f"{c}_{n}") for i, c in enumerate(columns) for n in probs]
+    if not keys:
+        return each.agg(*wide)
+    # Groups that hold nulls only keep a row.
+    return join_on(df.select(*keys).distinct(), each.groupBy(*keys).agg(*wide), keys, "left", nulls=True)
+
+
+def competition_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, descending: bool = True) -> DataFrame:
     """rank with ties sharing the lowest place; nulls are not ranked."""
-    keys = list(keys)
-    if fits(df, keys) if small is None else small:
-        order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-        w = _window(keys, [order])
-        return df.withColumn(name, F.when(F.col(value).isNotNull(), F.rank().over(w)).cast("long"))
     pos = value_positions(df, keys, value)
     ahead = F.col("n_total") - F.col("n_before") - F.col("n") if descending else F.col("n_before")
     ranks = pos.select(*keys, value, (ahead + 1).cast("long").alias(name))
-    return join_on(df, ranks, [*keys, value], "left")
+    return join_on(df, ranks, [*keys, value], "left", nulls=True)
 
 
 def pct_rank_avg(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Average rank of ties divided by the group's count of non-null values."""
     pos = value_positions(df, keys, value)
     share = (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)) / F.col("n_total")
-    return join_on(df, pos.select(*keys, value, share.alias(name)), [*keys, value], "left")
+    return join_on(df, pos.select(*keys, value, share.alias(name)), [*keys, value], "left", nulls=True)
 
 
 def trimmed_mean(
@@ -252,6 +233,5 @@ def trimmed_mean(
 def ecdf(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[Column], name: str = "cum_share") -> DataFrame:
     """Every row with its cumulative share i/n in value order."""
     kept = df.where(F.col(value).isNotNull())
-    placed = row_index(kept, keys, order, "__i")
-    out = attach_totals(placed, keys, [F.count(F.lit(1)).alias("__n")], source=kept)
-    return out.withColumn(name, F.col("__i") / F.col("__n")).drop("__i", "__n")
+    placed = prefix(kept, keys, order, index="__i", totals={"__n": "__i"})
+    return placed.withColumn(name, (F.col("__i") + 1) / F.col("__n")).drop("__i", "__n")

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, logistic_unit
-from ..session import cut_lineage
 from . import ordered
 from .ordered import attach_totals, join_on
 
@@ -33,36 +32,33 @@ def order_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name
 
 
 def shrink_to_cohort(
-    df: DataFrame, keys: Sequence[str], value: str, exposure: str, prior: float, name: str, small: bool | None = None
+    df: DataFrame, keys: Sequence[str], value: str, exposure: str, prior: float, name: str
 ) -> DataFrame:
     """mu + r (x - mu) with r = m / (m + prior) and mu the unweighted cohort mean."""
-    out = ordered.with_stats(df, keys, {"__mu": F.avg(value)}, small)
+    out = ordered.with_stats(df, keys, {"__mu": F.avg(value)})
     r = F.col(exposure) / (F.col(exposure) + F.lit(prior))
     return out.withColumn(name, F.col("__mu") + r * (F.col(value) - F.col("__mu"))).drop("__mu")
 
 
-def winsorised_z(df: DataFrame, keys: Sequence[str], value: str, name: str, small: bool | None = None) -> DataFrame:
+def winsorised_z(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Null as 0; from five rows on clipped to the 5 % and 95 % points; z with the
     population sd, 0 where the sd is 0."""
-    small = ordered.fits(df, keys) if small is None else small
     filled = df.withColumn("__v", F.coalesce(F.col(value), F.lit(0.0)))
-    both = ordered.with_quantiles(filled, keys, ["__v"], {"lo": 0.05, "hi": 0.95}, small)
-    both = ordered.with_stats(both, keys, {"__n": F.count(F.lit(1))}, small)
+    both = ordered.with_quantiles(filled, keys, ["__v"], {"lo": 0.05, "hi": 0.95})
+    both = ordered.with_stats(both, keys, {"__n": F.count(F.lit(1))})
     clipped = both.withColumn(
         "__c", F.when(F.col("__n") >= 5, clip("__v", F.col("__v_lo"), F.col("__v_hi"))).otherwise(F.col("__v"))
     ).drop("__v", "__v_lo", "__v_hi", "__n")
-    if not small:
-        clipped = cut_lineage(clipped)
-    out = ordered.with_stats(clipped, keys, {"__mu": F.avg("__c"), "__sd": F.stddev_pop("__c")}, small)
+    out = ordered.with_stats(clipped, keys, {"__mu": F.avg("__c"), "__sd": F.stddev_pop("__c")})
     z = F.when(F.col("__sd") > 0, (F.col("__c") - F.col("__mu")) / F.col("__sd")).otherwise(0.0)
     return out.withColumn(name, z).drop("__c", "__mu", "__sd")
 
 
-def robust_unit(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str], small: bool | None = None) -> DataFrame:
+def robust_unit(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
     """(x - median) / max(IQR, 1e-9) through the bounded logistic; null gives 0.5.
     ``columns`` maps new name -> raw column; all share one quantile pass."""
     out = ordered.with_quantiles(
-        df, keys, list(columns.values()), {"__q1": 0.25, "__q2": 0.5, "__q3": 0.75}, small
+        df, keys, list(columns.values()), {"__q1": 0.25, "__q2": 0.5, "__q3": 0.75}
     )
     new = {}
     for name, raw in columns.items():

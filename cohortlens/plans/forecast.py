@@ -185,7 +185,6 @@ def rho_grid_fit(df: DataFrame, minimum: int = 10) -> DataFrame:
     per grid value; a running sum per (competition, grid value) then replaces the repeated
     sums over the history, and the grid values run side by side."""
     step = 2 * RHO_LIMIT / (RHO_GRID - 1)
-    small = ordered.fits(df, ["comp"])
     gh, ga = F.least(F.col("home_goals"), F.lit(MAX_GOALS)), F.least(F.col("away_goals"), F.lit(MAX_GOALS))
     rates = ["lambda_home", "lambda_away"]
     base = spread(df.select("comp", *ORDER, "home_goals", "away_goals", *rates))
@@ -210,7 +209,7 @@ def rho_grid_fit(df: DataFrame, minimum: int = 10) -> DataFrame:
         factor = F.when(F.col("__cell") == n, F.col(f"__t{n}")).otherwise(factor)
         mass = mass + F.col(f"__c{n}") * (F.col(f"__t{n}") - 1)
     ll = tried.select("comp", *ORDER, "__k", F.log(F.greatest(F.lit(EPS), F.col("__p") * factor / mass)).alias("__ll"))
-    run = ordered.prefix(ll, ["comp", "__k"], _order(), sums={"__sum": "__ll"}, index="__seen", small=small)
+    run = ordered.prefix(ll, ["comp", "__k"], _order(), sums={"__sum": "__ll"}, index="__seen")
     best = run.groupBy("comp", "unit").agg(
         F.max(F.struct(F.round("__sum", 9).alias("ll"), (-F.col("__k")).alias("k"))).alias("__b"), F.max("__seen").alias("__seen")
     )

@@ -39,18 +39,13 @@ def rank_cohort(
     # Everything below reads the entity table several times; it is far smaller than the
     # rows it was aggregated from, so it is written once.
     eligible = cut_lineage(features.where(F.col(exposure) >= minimum))
-    small = ordered.fits(eligible, [cohort])
     keys = [cohort, "metric"]
     long = long_metrics(eligible, metrics, [entity, cohort, exposure], cohort)
-    adjusted = shrink_to_cohort(long, keys, "value", exposure, prior, "adjusted", small)
-    if not small:
-        adjusted = cut_lineage(adjusted)
-    z = winsorised_z(adjusted, keys, "adjusted", "z", small)
+    adjusted = shrink_to_cohort(long, keys, "value", exposure, prior, "adjusted")
+    z = winsorised_z(adjusted, keys, "adjusted", "z")
     scores = z.groupBy(entity, cohort).agg(F.round(F.avg(F.col("z") * F.col("direction")), 9).alias("rank_score"))
     scored = eligible.join(scores, [entity, cohort])
-    if not small:
-        scored = cut_lineage(scored)
-    out = ordered.competition_rank(scored, [cohort], "rank_score", "position_rank", small=small)
+    out = ordered.competition_rank(scored, [cohort], "rank_score", "position_rank")
     return out.withColumn("reliability", F.col(exposure) / (F.col(exposure) + F.lit(prior)))
 
 

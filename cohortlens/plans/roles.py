@@ -19,12 +19,13 @@ from ..presets.formations import generic_rows, template_rows
 
 def infer_roles(lineups: DataFrame) -> DataFrame:
     """Functional role of each starter of a line-up from provider code, grid and
-    formation. ``lineups``: unit, side, entity, pos, row, col, formation. All windows run
-    inside one line-up."""
+    formation. ``lineups``: unit, side, entity, pos, row, col, formation; rows without a
+    grid place get no role. All windows run inside one line-up."""
     team = Window.partitionBy("unit", "side")
     line = Window.partitionBy("unit", "side", "row")
     mid = F.when(F.col("pos") == "M", F.col("row"))
-    seen = lineups.select(
+    # A starter without a grid place has no role, and is not counted in its line.
+    seen = lineups.where(F.col("row").isNotNull() & F.col("col").isNotNull()).select(
         "*",
         F.count(F.lit(1)).over(line).alias("size"),
         F.min(mid).over(team).alias("mid_low"),

@@ -79,12 +79,9 @@ def selection_sufficiency(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
         & F.col("overall").isNotNull()
     )
     df = cut_lineage(df.withColumn("covered", covered).withColumn("stable", stable))
-    small = ordered.fits(df, ["role"])
     tail = [F.col("minutes").desc(), F.col("entity")]
-    df = ordered.row_index(df, ["role"], [F.col("conservative_score").desc_nulls_last(), *tail], "rank", small=small)
-    if not small:
-        df = cut_lineage(df)
-    df = ordered.row_index(df, ["role"], [F.col("hi90").desc_nulls_last(), *tail], "urank", small=small)
+    df = ordered.row_index(df, ["role"], [F.col("conservative_score").desc_nulls_last(), *tail], "rank")
+    df = ordered.row_index(df, ["role"], [F.col("hi90").desc_nulls_last(), *tail], "urank")
     df = cut_lineage(df)
     sizes = df.groupBy("role").agg(
         F.count(F.lit(1)).alias("eligible"),

@@ -65,17 +65,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Largest ordered group (rows) that a single window task may own.
-GROUP_LIMIT_KEY = "cohortlens.order.groupLimit"
-GROUP_LIMIT_DEFAULT = 2_000_000
-
 
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores before work that is heavy per row, when the input has fewer
     partitions than the cluster has cores (few row groups, one small file)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() <= 2 * cores else df
-
-
-def group_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get(GROUP_LIMIT_KEY, str(GROUP_LIMIT_DEFAULT)))

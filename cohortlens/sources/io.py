@@ -6,39 +6,77 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, NumericType, StringType, StructField, StructType
 
-from ..functions.scalar import to_number
+from ..functions.scalar import to_bool, to_number
 from ..operators.windows import latest_by_key
 from .schema import ENVELOPE
 
-_CORRUPT = "_corrupt_record"
+def _texts(kind: DataType) -> DataType:
+    """The type with every scalar as text, so that no value is lost to its notation."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, _texts(f.dataType)) for f in kind.fields])
+    return ArrayType(_texts(kind.elementType)) if isinstance(kind, ArrayType) else StringType()
+
+
+def _typed(col: Column, kind: DataType) -> Column:
+    """Texts of :func:`_texts` as the declared type; what does not convert is null."""
+    if isinstance(kind, StructType):
+        whole = F.struct(*[_typed(col[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(col.isNotNull(), whole)
+    if isinstance(kind, ArrayType):
+        return F.transform(col, lambda x: _typed(x, kind.elementType))
+    if isinstance(kind, BooleanType):
+        return F.when(col.isNotNull(), to_bool(col))
+    if isinstance(kind, NumericType):
+        return to_number(col).try_cast(kind)
+    return col
+
+
+def _payloads(spark: SparkSession, paths: str | Sequence[str], lines: bool) -> DataFrame:
+    """Payload texts with their file; a payload is valid when it is JSON at all."""
+    raw = spark.read.option("wholetext", not lines).text(paths).select("value", F.col("_metadata.file_path").alias("source_file"))
+    return raw.where(F.length(F.trim("value")) > 0).withColumn("valid", F.try_parse_json("value").isNotNull())
+
+
+def _envelopes(payloads: DataFrame, schema: str) -> DataFrame:
+    kind = _texts(_parse_ddl(payloads.sparkSession, schema))
+    return payloads.withColumn("envelope", F.when(F.col("valid"), F.from_json("value", kind)))
+
+
+def _parse_ddl(spark: SparkSession, schema: str) -> StructType:
+    return spark.createDataFrame([], schema).schema
 
 
 def read_envelope_json(
     spark: SparkSession, paths: str | Sequence[str], schema: str = ENVELOPE, lines: bool = False
 ) -> DataFrame:
-    """One row per ``response[]`` element of every readable payload; payloads that do not
-    parse are skipped. A payload is a whole file, or a line of one with ``lines``."""
-    raw = (
-        spark.read.schema(f"{schema}, {_CORRUPT} string")
-        .option("multiLine", not lines)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .json(paths)
-    )
-    ok = raw.where(F.col(_CORRUPT).isNull())
-    return ok.select(F.inline("response"))
+    """One row per ``response[]`` element of every payload that is JSON. A payload is a
+    whole file, or a line of one with ``lines``. Scalars are read as text and converted:
+    a number written as text, or with a fraction, keeps its value, and one that does not
+    convert is null by itself. See :func:`envelope_rejects` for the rest."""
+    kind = _parse_ddl(spark, schema)["response"].dataType.elementType
+    rows = _envelopes(_payloads(spark, paths, lines), schema).select(F.explode("envelope.response").alias("r"))
+    return rows.where(F.col("r").isNotNull()).select(_typed(F.col("r"), kind).alias("r")).select("r.*")
+
+
+def envelope_rejects(spark: SparkSession, paths: str | Sequence[str], schema: str = ENVELOPE, lines: bool = False) -> DataFrame:
+    """Payloads that give no rows: ``source_file``, ``reason`` (no json, no response),
+    ``value``."""
+    rows = _envelopes(_payloads(spark, paths, lines), schema)
+    reason = F.when(~F.col("valid"), "no json").when(F.col("envelope.response").isNull(), "no response")
+    return rows.select("source_file", reason.alias("reason"), "value").where(F.col("reason").isNotNull())
 
 
 def read_glob_union(
     spark: SparkSession, groups: Sequence[tuple[str, str]], wanted: Sequence[str], fmt: str = "csv"
 ) -> DataFrame:
     """Union of file groups, each (glob, schema), pruned to ``wanted``, with the path of
-    every row. Groups with different columns are aligned by name."""
+    every row. Groups with different columns are aligned by name. A file that cannot be
+    read gives no rows; :func:`glob_rejects` names it."""
     out: DataFrame | None = None
     for glob, schema in groups:
-        reader = spark.read.schema(schema)
+        reader = spark.read.schema(schema).option("ignoreCorruptFiles", True)
         if fmt == "csv":
             reader = reader.option("header", True)
         part = reader.format(fmt).load(glob)
@@ -48,6 +86,15 @@ def read_glob_union(
     return out
 
 
+def glob_rejects(spark: SparkSession, groups: Sequence[tuple[str, str]], fmt: str = "csv") -> DataFrame:
+    """Files of the groups that give no row: ``source_file``, ``bytes``, ``reason``. Their
+    contents are not loaded for the listing; files of no bytes are not listed at all."""
+    name = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    files = spark.read.format("binaryFile").load([g for g, _ in groups]).select(name(F.col("path")).alias("source_file"), F.col("length").alias("bytes"))
+    seen = read_glob_union(spark, groups, [], fmt).select(name(F.col("source_file")).alias("source_file")).distinct()
+    return files.join(seen, "source_file", "left_anti").withColumn("reason", F.lit("unreadable"))
+
+
 def conform_columns(df: DataFrame, spec: Mapping[str, tuple[Sequence[str], str, object]]) -> DataFrame:
     """Output column -> (aliases, type, default): the first alias the frame has is cast
     (numbers leniently), the rest is the default."""
@@ -105,20 +152,21 @@ def canonical_json(df: DataFrame, columns: Sequence[str] | None = None) -> Colum
     return F.to_json(F.struct(*[F.col(n) for n in names]), {"ignoreNullFields": "false"})
 
 
-def content_digest(df: DataFrame, group: Sequence[str], columns: Sequence[str] | None = None, buckets: int = 4096) -> DataFrame:
-    """SHA-256 per row and one digest per group over the sorted row digests. The sorted
-    concatenation is taken in two levels - per leading digits of the row digest, then
-    over those - so that no task ever holds all digests of a group."""
-    digits = max(1, (buckets.bit_length() - 1) // 4)
+#: Hex digits of a summed word of a row digest.
+_DIGITS = 15
+
+
+def content_digest(df: DataFrame, group: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """One digest per group over the SHA-256 of every row, whatever their order: the
+    digests are cut into words, each word is summed over the group, and the SHA-256 of
+    the sums and the row count is the digest. Sums combine map-side, so no task holds the
+    rows of a group; repeated rows count as often as they stand there."""
     rows = df.select(*group, F.sha2(canonical_json(df, columns), 256).alias("h"))
-    joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "")
-    level1 = rows.groupBy(*group, F.substring("h", 1, digits).alias("p")).agg(
-        F.sha2(joined("h"), 256).alias("d"), F.count(F.lit(1)).alias("n")
-    )
-    pairs = F.array_sort(F.collect_list(F.struct("p", "d")))
-    return level1.groupBy(*group).agg(
-        F.sha2(F.array_join(F.transform(pairs, lambda s: s["d"]), ""), 256).alias("digest"), F.sum("n").alias("rows")
-    )
+    word = lambda i: F.conv(F.substring("h", 1 + i * _DIGITS, _DIGITS), 16, 10).cast("decimal(38,0)")
+    sums = [F.sum(word(i)).alias(f"w{i}") for i in range(64 // _DIGITS + 1)]
+    each = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), *sums)
+    parts = [F.col("rows").cast("string"), *[F.col(f"w{i}").cast("string") for i in range(len(sums))]]
+    return each.select(*group, F.sha2(F.concat_ws(",", *parts), 256).alias("digest"), "rows")
 
 
 def file_manifest(spark: SparkSession, roots: str | Sequence[str]) -> DataFrame:

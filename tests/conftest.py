@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from cohortlens.catalog.base import Tables  # noqa: E402
-from cohortlens.session import GROUP_LIMIT_KEY, strict  # noqa: E402
+from cohortlens.session import SETTINGS  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -20,20 +20,13 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
+        .config(map=SETTINGS)
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    return strict(s)
+    return s
 
 
 @pytest.fixture
 def tables(spark):
     return Tables(spark, SMALL)
-
-
-@pytest.fixture
-def tiny_groups(spark):
-    """Every group counts as hot, so the distributed way of each operator is taken."""
-    spark.conf.set(GROUP_LIMIT_KEY, "20")
-    yield
-    spark.conf.unset(GROUP_LIMIT_KEY)

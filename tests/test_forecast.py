@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.catalog import forecast_q
 from cohortlens.plans import forecast as M
-from cohortlens.session import GROUP_LIMIT_KEY, scratch_path
+from cohortlens.session import scratch_path
 from cohortlens.streaming import streams as T
 
 
@@ -64,15 +64,9 @@ def test_last_form_counts_feature_rows_only(spark, matches):
         want[r.unit] = (mean(r.home), mean(r.away))
         if r.unit % 2 == 0:
             seen.setdefault((r.comp, r.home), []).append(float(r.unit % 9))
-    for limit in (None, "10"):
-        if limit:
-            spark.conf.set(GROUP_LIMIT_KEY, limit)
-        try:
-            got = {r.unit: (r.home_rating, r.away_rating) for r in M.last_form(matches, feats).collect()}
-        finally:
-            spark.conf.unset(GROUP_LIMIT_KEY)
-        assert got.keys() == want.keys()
-        assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    got = {r.unit: (r.home_rating, r.away_rating) for r in M.last_form(matches, feats).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
 def test_matrix_and_probabilities_sum_to_one(spark):
@@ -91,15 +85,10 @@ def test_proper_score_ranges(spark):
     assert 0 <= r.brier <= 2 and r.log_loss > 0 and 0 <= r.rps <= 1 and r.accuracy
 
 
-def test_backtest_is_the_same_for_a_hot_competition(spark, matches):
-    run = lambda: sorted((r.unit, r.model, round(r.log_loss, 7)) for r in M.rolling_backtest(matches, warm_up=5).collect())
-    plain = run()
-    assert plain
-    spark.conf.set(GROUP_LIMIT_KEY, "8")
-    try:
-        assert run() == plain
-    finally:
-        spark.conf.unset(GROUP_LIMIT_KEY)
+def test_backtest_is_the_same_on_any_partitioning(spark, matches):
+    run = lambda m: sorted((r.unit, r.model, round(r.log_loss, 7)) for r in M.rolling_backtest(m, warm_up=5).collect())
+    plain = run(matches)
+    assert plain and run(matches.repartition(7)) == plain
 
 
 def test_late_rows_change_the_ledger(spark):

@@ -1,89 +1,157 @@
-"""The distributed way of every ordered operator gives the plain way's result, with one
-key holding a third of the rows."""
+"""Ordered operators against plain windows and loops: a hot key, null keys and values,
+infinities, ties. Planning runs no job."""
+
+import math
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators import joins, ordered, windows
-from cohortlens.session import GROUP_LIMIT_KEY
+from cohortlens.operators import aggregates, joins, ordered, windows
 
 
 @pytest.fixture(scope="module")
 def rows(spark):
     df = spark.range(600).select(
         "id",
-        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).alias("k"),
-        ((F.col("id") * 37) % 101).cast("double").alias("v"),
+        F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 7 == 5, None).otherwise(F.col("id") % 7).alias("k"),
+        F.when(F.col("id") % 11 != 0, ((F.col("id") * 37) % 101).cast("double")).alias("v"),
         (F.xxhash64("id") % 1000).alias("t"),
     )
     return df.cache()
 
 
-def both(spark, build):
-    spark.conf.unset(GROUP_LIMIT_KEY)
-    plain = sorted(map(str, build().collect()))
-    spark.conf.set(GROUP_LIMIT_KEY, "20")
-    try:
-        hot = sorted(map(str, build().collect()))
-    finally:
-        spark.conf.unset(GROUP_LIMIT_KEY)
-    assert plain == hot and plain
-    return plain
+def groups(rows):
+    out = {}
+    for r in rows.collect():
+        out.setdefault(r.k, []).append(r)
+    return out
+
 
+def quantile(values, p):
+    h = (len(values) - 1) * p
+    lo, hi = values[math.floor(h)], values[math.ceil(h)]
+    return lo + (h - math.floor(h)) * (hi - lo)
 
-def test_prefix_sums(spark, rows):
-    order = [F.col("t"), F.col("id")]
-    both(spark, lambda: ordered.prefix(rows, ["k"], order, sums={"s": "v"}, index="i"))
-    both(spark, lambda: ordered.prefix(rows, [], order, sums={"s": "v"}, index="i"))
 
+@pytest.mark.parametrize("down", [False, True])
+def test_prefix_sums(spark, rows, down):
+    lead = F.col("t").desc() if down else F.col("t")
+    for keys in (["k"], []):
+        got = {r.id: (r.s, r.i, r.whole) for r in ordered.prefix(rows, keys, [lead, F.col("id")], sums={"s": F.coalesce("v", F.lit(0.0))}, index="i", totals={"whole": "s"}).collect()}
+        for own in (groups(rows) if keys else {None: rows.collect()}).values():
+            run, place, whole = 0.0, 0, sum(r.v or 0.0 for r in own)
+            for r in sorted(own, key=lambda r: (-r.t if down else r.t, r.id)):
+                assert got[r.id] == (pytest.approx(run), place, pytest.approx(whole))
+                run, place = run + (r.v or 0.0), place + 1
 
-def test_prefix_with_null_key(spark, rows):
-    holes = rows.withColumn("k", F.nullif("k", F.lit(2)))
-    both(spark, lambda: ordered.row_index(holes, ["k"], [F.col("t"), F.col("id")], "i"))
+
+def test_order_with_nulls_and_infinities(spark):
+    values = [None, float("-inf"), -1.5, 0.0, 3.0, float("inf"), float("nan"), None, 7.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double")
+    for lead in (F.col("v").asc(), F.col("v").desc(), F.col("v").asc_nulls_last(), F.col("v").desc_nulls_first()):
+        w = Window.partitionBy(F.lit(0)).orderBy(lead, "id")
+        want = df.withColumn("i", F.row_number().over(w).cast("long")).collect()
+        assert sorted(map(str, ordered.row_index(df, [], [lead, F.col("id")], "i").collect())) == sorted(map(str, want))
 
 
 @pytest.mark.parametrize("current", [False, True])
-def test_last_k(spark, rows, current):
-    both(spark, lambda: ordered.last_k(rows, ["k"], [F.col("t"), F.col("id")], 5, {"m": F.avg("v")}, current).withColumn("m", F.round("m", 9)))
+@pytest.mark.parametrize("block", [7, 65_536])
+def test_last_k(spark, rows, current, block, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK", block)
+    w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(*((-4, 0) if current else (-5, -1)))
+    want = rows.withColumn("m", F.round(F.avg("v").over(w), 9))
+    got = ordered.last_k(rows, ["k"], [F.col("t"), F.col("id")], 5, {"m": F.avg("v")}, current).withColumn("m", F.round("m", 9))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
 def test_quantiles(spark, rows):
     probs = {"a": 0.05, "b": 0.5, "c": 0.95}
-    both(spark, lambda: ordered.quantiles(rows, ["k"], ["v", "t"], probs).select("k", *[F.round(f"{c}_{n}", 9) for c in ("v", "t") for n in probs]))
-    both(spark, lambda: ordered.quantiles(rows, [], ["v"], probs).select(*[F.round(f"v_{n}", 9) for n in probs]))
-
-
-def test_ranks(spark, rows):
-    both(spark, lambda: ordered.competition_rank(rows, ["k"], "v", "r"))
-    both(spark, lambda: ordered.pct_rank_avg(rows, ["k"], "v", "r"))
+    got = {r.k: r for r in ordered.quantiles(rows, ["k"], ["v", "t"], probs).collect()}
+    assert got.keys() == groups(rows).keys()
+    for k, own in groups(rows).items():
+        for c in ("v", "t"):
+            values = sorted(float(r[c]) for r in own if r[c] is not None)
+            for n, p in probs.items():
+                assert got[k][f"{c}_{n}"] == pytest.approx(quantile(values, p))
+    one = ordered.quantiles(rows, [], ["v"], probs).first()
+    assert one.v_b == pytest.approx(quantile(sorted(r.v for r in rows.collect() if r.v is not None), 0.5))
+
+
+def test_ranks_keep_null_groups(spark, rows):
+    w = Window.partitionBy("k").orderBy(F.col("v").desc_nulls_last())
+    want = rows.withColumn("r", F.when(F.col("v").isNotNull(), F.rank().over(w)).cast("long"))
+    assert sorted(map(str, ordered.competition_rank(rows, ["k"], "v", "r").collect())) == sorted(map(str, want.collect()))
+    got = {r.id: r.r for r in ordered.pct_rank_avg(rows, ["k"], "v", "r").collect()}
+    for own in groups(rows).values():
+        values = [r.v for r in own if r.v is not None]
+        for r in own:
+            below, same = sum(x < r.v for x in values) if r.v is not None else 0, values.count(r.v)
+            assert got[r.id] == (None if r.v is None else pytest.approx((below + (same + 1) / 2) / len(values)))
 
 
 def test_trimmed_mean(spark, rows):
     for guard in "ab":
-        got = both(spark, lambda: ordered.trimmed_mean(rows, ["k"], "v", 0.1, guard).withColumn("trimmed_mean", F.round("trimmed_mean", 9)))
-    values = sorted(r.v for r in rows.where("k = 0").collect())
-    cut = len(values) // 10
-    want = sum(values[cut:-cut]) / (len(values) - 2 * cut)
-    assert any(f"k=0, trimmed_mean={round(want, 9)}" in g for g in got)
-
-
-def test_winsorised_z_and_robust_unit(spark, rows):
-    both(spark, lambda: windows.winsorised_z(rows, ["k"], "v", "z").withColumn("z", F.round("z", 9)))
-    both(spark, lambda: windows.robust_unit(rows, ["k"], {"u": "v"}).withColumn("u", F.round("u", 9)))
-
-
-def test_ecdf_and_sequence(spark, rows):
-    both(spark, lambda: ordered.ecdf(rows, ["k"], "v", [F.col("v"), F.col("id")]))
-    both(spark, lambda: windows.sequence_in_group(rows, ["k"], [F.col("t"), F.col("id")]))
+        got = {r.k: r for r in ordered.trimmed_mean(rows, ["k"], "v", 0.1, guard).collect()}
+        for k, own in groups(rows).items():
+            values = sorted(r.v for r in own if r.v is not None)
+            cut = len(values) // 10
+            kept = values[cut : len(values) - cut]
+            assert (got[k].n, got[k].trimmed_mean) == (len(values), pytest.approx(sum(kept) / len(kept)))
+
+
+def test_no_row_is_lost(spark, rows):
+    z = windows.winsorised_z(rows, ["k"], "v", "z").collect()
+    u = windows.robust_unit(rows, ["k"], {"u": "v"}).collect()
+    mu = windows.shrink_to_cohort(rows.withColumn("m", F.lit(90.0)), ["k"], "v", "m", 180.0, "s").collect()
+    assert len(z) == len(u) == len(mu) == 600
+    for k, own in groups(rows).items():
+        values = sorted(r.v or 0.0 for r in own)
+        lo, hi = quantile(values, 0.05), quantile(values, 0.95)
+        cut = [min(max(x, lo), hi) for x in values]
+        mean = sum(cut) / len(cut)
+        sd = math.sqrt(sum((x - mean) ** 2 for x in cut) / len(cut))
+        for r in (r for r in z if r.k == k):
+            assert r.z == pytest.approx((min(max(r.v or 0.0, lo), hi) - mean) / sd)
+        known = [r.v for r in own if r.v is not None]
+        for r in (r for r in mu if r.k == k and r.v is not None):
+            base = sum(known) / len(known)
+            assert r.s == pytest.approx(base + (r.v - base) / 3)
+
+
+def test_ecdf_sequence_and_shares(spark, rows):
+    got = {r.id: r.cum_share for r in ordered.ecdf(rows, ["k"], "v", [F.col("v"), F.col("id")]).collect()}
+    for own in groups(rows).values():
+        placed = sorted((r.v, r.id) for r in own if r.v is not None)
+        assert [got[i] for _, i in placed] == [pytest.approx((n + 1) / len(placed)) for n in range(len(placed))]
+    seq = windows.sequence_in_group(rows, ["k"], [F.col("t"), F.col("id")]).collect()
+    sizes = {k: len(own) for k, own in groups(rows).items()}
+    assert len(seq) == 600 and all(r.group_size == sizes[r.k] for r in seq)
+    assert sum(r.is_latest for r in seq) == len(sizes)
+    shares = aggregates.value_distribution(rows, ["k"], "t").collect() if "k" in rows.columns else []
+    assert all(r.share is not None for r in shares)
+
+
+def test_planning_runs_no_job(spark, rows):
+    sc = spark.sparkContext
+    sc.setJobGroup("plans", "plans")
+    try:
+        order = [F.col("t"), F.col("id")]
+        ordered.row_index(rows, ["k"], order, "i")
+        ordered.quantiles(rows, ["k"], ["v"], {"m": 0.5})
+        ordered.last_k(rows, ["k"], order, 3, {"m": F.avg("v")})
+        windows.winsorised_z(rows, ["k"], "v", "z")
+        windows.robust_unit(rows, ["k"], {"u": "v"})
+        assert not sc.statusTracker().getJobIdsForGroup("plans")
+    finally:
+        sc.setJobGroup("", "")
 
 
 def test_asof_nearest_matches_brute_force(spark, rows):
     at = lambda c: F.timestamp_seconds(c).cast("timestamp_ntz")
-    left = rows.where("id % 2 = 0").select("k", at("t").alias("lt"), F.col("id").alias("lid"))
+    left = rows.where("id % 2 = 0 and k is not null").select("k", at("t").alias("lt"), F.col("id").alias("lid"))
     right = rows.where("id % 2 = 1").select("k", at("t").alias("rt"), F.col("id").alias("rid"), "v")
     build = lambda: joins.asof_nearest(left, right, ["k"], "lt", "rt", "lid", "rid", ["v"]).select("lid", "right_id")
-    both(spark, build)
     gap = F.abs(F.unix_micros(F.col("lt").cast("timestamp")) - F.unix_micros(F.col("rt").cast("timestamp")))
     w = Window.partitionBy("lid").orderBy(gap, "rt", "rid")
     want = left.join(right, "k").withColumn("r", F.row_number().over(w)).where("r = 1").select("lid", F.col("rid").alias("right_id"))

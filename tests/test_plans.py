@@ -10,7 +10,6 @@ from cohortlens.operators.resample import bootstrap_ci
 from cohortlens.operators.tables import literal_table
 from cohortlens.plans import ranking, roles, selection
 from cohortlens.presets import football
-from cohortlens.session import GROUP_LIMIT_KEY
 from cohortlens.sources import io
 
 
@@ -88,7 +87,7 @@ def test_snapshot_chain_shapes(spark):
         F.element_at(F.array(*[F.lit(r) for r in football.ROLES]), (F.col("id") % 8 + 1).cast("int")).alias("cohort"),
         (200.0 + F.col("id") * 3).alias("minutes"),
     )
-    names = sorted({m for ms in football.ROLE_METRICS.values() for m in ms})
+    names = sorted({m for _, m, _ in football.ROLE_METRICS})
     feats = base.select("*", *[(((F.col("entity") * (i + 3)) % 17) / 3.0).alias(n) for i, n in enumerate(names)])
     metrics = literal_table(spark, [("cohort", "string"), ("metric", "string"), ("direction", "int")], football.role_metric_rows())
     ranked = ranking.rank_cohort(feats, metrics)
@@ -103,15 +102,10 @@ def test_snapshot_chain_shapes(spark):
     assert xi.count() == 11 and xi.where("entity is null").count() == 0
 
 
-def test_rank_cohort_is_the_same_for_hot_cohorts(spark, tables):
-    metrics = windows_q.metric_table(tables)
-    run = lambda: sorted((r.entity, round(r.rank_score, 6), r.position_rank) for r in ranking.rank_cohort(windows_q.features(tables), metrics).collect())
-    plain = run()
-    spark.conf.set(GROUP_LIMIT_KEY, "20")
-    try:
-        assert run() == plain
-    finally:
-        spark.conf.unset(GROUP_LIMIT_KEY)
+def test_rank_cohort_is_the_same_on_any_partitioning(spark, tables):
+    metrics, rows = windows_q.metric_table(tables), windows_q.features(tables)
+    run = lambda f: sorted((r.entity, round(r.rank_score, 6), r.position_rank) for r in ranking.rank_cohort(f, metrics).collect())
+    assert run(rows) == run(rows.repartition(7))
 
 
 def test_bootstrap_is_repeatable_and_brackets_the_mean(spark):
