@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import ordered
 from ..operators.filters import window_membership
-from ..operators.resample import bootstrap_ci, bootstrap_worlds
+from ..operators.resample import bootstrap_ci, bootstrap_worlds, scatter_sql
 from ..operators.sets import two_side_rows
 from ..operators.tables import literal_table
 from .base import CTE, CTE_DEPS, query
@@ -209,13 +209,24 @@ def _(t):
     return ordered.trimmed_mean(rows, ["label", "dim"], "v").select("label", "dim", *r6("trimmed_mean"), "n")
 
 
-@query("A15_bootstrap_ci")
+_SETS = """SELECT cohort, metric, list_sort(list(value)) AS v, CAST(count(*) AS BIGINT) AS n FROM fl JOIN top20 USING (entity, cohort, minutes) WHERE value IS NOT NULL GROUP BY ALL"""
+_PICKS = scatter_sql(f"SELECT *, unnest(range(1, n+1)) AS i FROM (SELECT *, unnest(range(1, 2001)) AS b FROM ({_SETS}))", 20260718, "b", "i")
+
+
+@query(
+    "A15_bootstrap_ci",
+    f"""SELECT cohort, metric, round(quantile_cont(e,0.025),6) AS ci95_low, round(quantile_cont(e,0.975),6) AS ci95_high FROM (
+  SELECT cohort, metric, b, avg(CASE WHEN n-2*cut<2 OR (k>cut AND k<=n-cut) THEN x END) AS e FROM (
+    SELECT *, CAST(floor(n*0.1e0) AS BIGINT) AS cut, row_number() OVER (PARTITION BY cohort, metric, b ORDER BY x) AS k
+    FROM (SELECT cohort, metric, b, n, v[1 + d % n] AS x FROM ({_PICKS}))) GROUP BY ALL) GROUP BY ALL""",
+    ("fl", "top20"),
+)
 def _(t):
     from ..plans.ranking import long_metrics, top_members
     from .windows_q import metric_table
 
     long = long_metrics(top_members(ranked(t), 20), metric_table(t), ["entity", "cohort"])
-    out = bootstrap_ci(long, ["cohort", "metric"], "value", seed=20260718, resamples=500)
+    out = bootstrap_ci(long, ["cohort", "metric"], "value", seed=20260718, resamples=2000)
     return out.select("cohort", "metric", *r6("ci95_low", "ci95_high"))
 
 
@@ -252,9 +263,21 @@ def _(t):
     return out.select("units", *r6(*[x for x in out.columns if x != "units"]))
 
 
-@query("A17_bootstrap_worlds")
+_WORLDS = 200
+_FT = "SELECT home_goals, away_goals, row_number() OVER (ORDER BY unit)-1 AS i, count(*) OVER () AS n FROM u WHERE status='FT'"
+_DRAWN = scatter_sql(f"SELECT i, n, unnest(range(1, {_WORLDS})) AS world FROM ft0", 7, "world", "i")
+
+
+@query(
+    "A17_bootstrap_worlds",
+    f"""WITH ft0 AS ({_FT})
+SELECT world, CAST(count(*) AS BIGINT) AS units, round(avg(CAST(home_goals+away_goals AS DOUBLE)),6) AS mean_goals, round(avg(CASE WHEN home_goals=away_goals THEN 1e0 ELSE 0e0 END),6) AS rate_draw
+FROM (SELECT CAST(0 AS INTEGER) AS world, home_goals, away_goals FROM ft0
+  UNION ALL SELECT CAST(x.world AS INTEGER), f.home_goals, f.away_goals FROM (SELECT world, d % n AS j FROM ({_DRAWN})) x JOIN ft0 f ON f.i=x.j) GROUP BY world""",
+    ("u",),
+)
 def _(t):
-    worlds = bootstrap_worlds(ft_units(t).select("unit", "home_goals", "away_goals"), [F.col("unit")], 25, 7)
+    worlds = bootstrap_worlds(ft_units(t).select("unit", "home_goals", "away_goals"), [F.col("unit")], _WORLDS, 7)
     g = (F.col("home_goals") + F.col("away_goals")).cast("double")
     w = F.col("weight")
     return worlds.groupBy("world").agg(

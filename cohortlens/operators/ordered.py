@@ -40,8 +40,8 @@ def join_on(
     lets null keys meet. Without keys the right side must be a single row, which is
     checked where the join runs."""
     if not keys:
-        one = right.agg(F.count(F.lit(1)).alias("__n"), *[F.first(F.col(c)).alias(c) for c in right.columns])
-        checked = one.select(F.assert_true(F.col("__n") <= 1, F.lit("a join without keys takes a single row")).alias("__ok"), *right.columns)
+        one = right.agg(F.count(F.lit(1)).alias("__single"), *[F.first(F.col(c)).alias(c) for c in right.columns])
+        checked = one.select(F.assert_true(F.col("__single") <= 1, F.lit("a join without keys takes a single row")).alias("__ok"), *right.columns)
         return left.join(F.broadcast(checked), F.col("__ok").isNull(), how).drop("__ok")
     rest = [x for x in right.columns if x not in keys]
     if not nulls:
@@ -171,6 +171,19 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     return prefix(counts, keys, [F.col(value).asc()], sums={"n_before": "n"}, totals={"n_total": "n_before"})
 
 
+def quantiles_at(pos: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """Quantiles ``<value>_<name>`` by group from :func:`value_positions`."""
+    aggs = []
+    for n, p in probs.items():
+        h = (F.col("n_total") - 1) * F.lit(p)
+        for tag, k in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            inside = (F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n"))
+            aggs.append(F.max(F.when(inside, F.col(value))).alias(f"__{tag}_{n}"))
+        aggs.append(F.max(h - F.floor(h)).alias(f"__f_{n}"))
+    lo, hi, part = (lambda n: F.col(f"__lo_{n}")), (lambda n: F.col(f"__hi_{n}")), (lambda n: F.col(f"__f_{n}"))
+    return pos.groupBy(*keys).agg(*aggs).select(*keys, *[(lo(n) + part(n) * (hi(n) - lo(n))).alias(f"{value}_{n}") for n in probs])
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
     """Exact linear-interpolation quantiles: one row per group, columns
     ``<column>_<name>``; the two neighbouring order statistics are found by position.
@@ -178,18 +191,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs:
     keys = list(keys)
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("__c"), F.col(c).cast("double").alias("__v")) for i, c in enumerate(columns)]))
     long = df.select(*keys, pairs.alias("__p")).select(*keys, "__p.*")
-    pos = value_positions(long, [*keys, "__c"], "__v")
-    aggs = []
-    for n, p in probs.items():
-        h = (F.col("n_total") - 1) * F.lit(p)
-        for tag, k in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            inside = (F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n"))
-            aggs.append(F.max(F.when(inside, F.col("__v"))).alias(f"__{tag}_{n}"))
-        aggs.append(F.max(h - F.floor(h)).alias(f"__f_{n}"))
-    each = pos.groupBy(*keys, "__c").agg(*aggs).select(
-        *keys, "__c", *[(F.col(f"__lo_{n}") + F.col(f"__f_{n}") * (F.col(f"__hi_{n}") - F.col(f"__lo_{n}"))).alias(f"__q_{n}") for n in probs]
-    )
-    wide = [F.max(F.when(F.col("__c") == i, F.col(f"__q_{n}"))).alias(f"{c}_{n}") for i, c in enumerate(columns) for n in probs]
+    each = quantiles_at(value_positions(long, [*keys, "__c"], "__v"), [*keys, "__c"], "__v", probs)
+    wide = [F.max(F.when(F.col("__c") == i, F.col(f"__v_{n}"))).alias(f"{c}_{n}") for i, c in enumerate(columns) for n in probs]
     if not keys:
         return each.agg(*wide)
     # Groups that hold nulls only keep a row.

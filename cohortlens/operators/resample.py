@@ -1,5 +1,5 @@
-"""Seeded resampling. Draws are hashes of (seed, replicate, position), so a rerun or a
-lost executor yields the same draws; ``rand()`` would not."""
+"""Seeded resampling. A draw is whole-number arithmetic on (seed, replicate, position):
+a rerun, a lost executor or another engine yields the same draws; ``rand()`` would not."""
 
 from __future__ import annotations
 
@@ -10,10 +10,38 @@ from pyspark.sql import functions as F
 
 from .ordered import join_on, row_index
 
+#: All steps are taken modulo this prime, so that products stay within a long.
+PRIME = (1 << 31) - 1
+
+
+def scatter(seed: int, replicate: Column, position: Column) -> Column:
+    """A whole number below 2^62 from the three."""
+    a, b = F.pmod(replicate.cast("long"), F.lit(PRIME)), F.pmod(position.cast("long"), F.lit(PRIME))
+    x0 = (F.lit(seed % PRIME * 48271) + a) % PRIME
+    x1 = (x0 * x0 + b) % PRIME
+    x2 = (x1 * 69621 + x0) % PRIME
+    x3 = (x2 * x2 + x1 + 12345) % PRIME
+    x4 = (x3 * x3 + x2 * 7 + 1) % PRIME
+    return x3 * F.lit(1 << 31) + x4
+
 
 def draw(seed: int, replicate: Column, position: Column, n: Column) -> Column:
     """0-based index in [0, n)."""
-    return F.pmod(F.xxhash64(F.lit(seed), replicate, position), n)
+    return scatter(seed, replicate, position) % n
+
+
+def scatter_sql(rows: str, seed: int, replicate: str, position: str, name: str = "d") -> str:
+    """The rows of a SELECT with :func:`scatter` as ``name``, for SQL twins."""
+    steps = (
+        ("x0", f"({seed % PRIME * 48271} + CAST({replicate} AS BIGINT) % {PRIME}) % {PRIME}"),
+        ("x1", f"(x0 * x0 + CAST({position} AS BIGINT) % {PRIME}) % {PRIME}"),
+        ("x2", f"(x1 * 69621 + x0) % {PRIME}"),
+        ("x3", f"(x2 * x2 + x1 + 12345) % {PRIME}"),
+        ("x4", f"(x3 * x3 + x2 * 7 + 1) % {PRIME}"),
+    )
+    for column, value in steps:
+        rows = f"SELECT *, {value} AS {column} FROM ({rows})"
+    return f"SELECT * EXCLUDE (x0, x1, x2, x3, x4), x3 * {1 << 31} + x4 AS {name} FROM ({rows})"
 
 
 def bootstrap_ci(

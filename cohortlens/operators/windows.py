@@ -42,16 +42,23 @@ def shrink_to_cohort(
 
 def winsorised_z(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Null as 0; from five rows on clipped to the 5 % and 95 % points; z with the
-    population sd, 0 where the sd is 0."""
+    population sd, 0 where the sd is 0. Points, mean and sd are all read off the counts
+    of distinct values, so the rows are read once for the counts and once for the result."""
     filled = df.withColumn("__v", F.coalesce(F.col(value), F.lit(0.0)))
-    both = ordered.with_quantiles(filled, keys, ["__v"], {"lo": 0.05, "hi": 0.95})
-    both = ordered.with_stats(both, keys, {"__n": F.count(F.lit(1))})
-    clipped = both.withColumn(
-        "__c", F.when(F.col("__n") >= 5, clip("__v", F.col("__v_lo"), F.col("__v_hi"))).otherwise(F.col("__v"))
-    ).drop("__v", "__v_lo", "__v_hi", "__n")
-    out = ordered.with_stats(clipped, keys, {"__mu": F.avg("__c"), "__sd": F.stddev_pop("__c")})
-    z = F.when(F.col("__sd") > 0, (F.col("__c") - F.col("__mu")) / F.col("__sd")).otherwise(0.0)
-    return out.withColumn(name, z).drop("__c", "__mu", "__sd")
+    pos = ordered.value_positions(filled, keys, "__v")
+    points = ordered.quantiles_at(pos, keys, "__v", {"lo": 0.05, "hi": 0.95})
+    lo, hi, n = F.col("__v_lo"), F.col("__v_hi"), F.col("n")
+    cut = lambda v: F.when(F.col("n_total") >= 5, clip(v, lo, hi)).otherwise(F.col(v))
+    # Sums of what lies above the low point keep their digits.
+    above = cut("__v") - lo
+    sums = join_on(pos, points, keys, nulls=True).groupBy(*keys).agg(
+        F.max("n_total").alias("n_total"), F.max(lo).alias("__v_lo"), F.max(hi).alias("__v_hi"),
+        (F.sum(above * n) / F.sum(n)).alias("__m1"), (F.sum(above * above * n) / F.sum(n)).alias("__m2"),
+    )
+    out = join_on(filled, sums, keys, "left", nulls=True)
+    sd = F.sqrt(F.greatest(F.col("__m2") - F.col("__m1") * F.col("__m1"), F.lit(0.0)))
+    z = F.when(sd > 1e-12, (cut("__v") - lo - F.col("__m1")) / sd).otherwise(0.0)
+    return out.select(*df.columns, z.alias(name))
 
 
 def robust_unit(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str]) -> DataFrame:

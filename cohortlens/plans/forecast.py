@@ -439,7 +439,7 @@ def bootstrap_rates(matches: DataFrame, pair: tuple, glm: Mapping, worlds: int,
     draws = (
         join_on(placed.select("side", "__i"), sizes, ["side"])
         .withColumn("world", F.explode(F.sequence(F.lit(1), F.lit(worlds))))
-        .select("side", "world", "__n", draw(seed, F.struct("world", "side"), F.col("__i"), F.col("__n")).alias("__i"))
+        .select("side", "world", "__n", draw(seed, F.col("world") * 65537 + F.col("side"), F.col("__i"), F.col("__n")).alias("__i"))
     )
     counted = draws.groupBy("side", "world", "__i").agg(F.count(F.lit(1)).alias("__w"))
     drawn = counted.join(placed.select("side", "__i", "goals_for", "goals_against"), ["side", "__i"])

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators.joins import validated_join
 from ..operators.ordered import join_on, row_index
+from ..operators.resample import scatter
 from ..operators.tables import literal_table
 from ..operators.windows import first_last_sample, top_n_per_group
 
 
 def _shuffled(seed: int, entity: str) -> list[Column]:
-    return [F.xxhash64(F.lit(seed), F.col(entity)), F.col(entity)]
+    return [scatter(seed, F.col(entity), F.lit(0)), F.col(entity)]
 
 
 def blind_sample(

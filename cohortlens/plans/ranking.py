@@ -42,9 +42,10 @@ def rank_cohort(
     keys = [cohort, "metric"]
     long = long_metrics(eligible, metrics, [entity, cohort, exposure], cohort)
     adjusted = shrink_to_cohort(long, keys, "value", exposure, prior, "adjusted")
-    z = winsorised_z(adjusted, keys, "adjusted", "z")
+    # What follows reads the long rows and the scores several times over.
+    z = winsorised_z(cut_lineage(adjusted), keys, "adjusted", "z")
     scores = z.groupBy(entity, cohort).agg(F.round(F.avg(F.col("z") * F.col("direction")), 9).alias("rank_score"))
-    scored = eligible.join(scores, [entity, cohort])
+    scored = cut_lineage(eligible.join(scores, [entity, cohort]))
     out = ordered.competition_rank(scored, [cohort], "rank_score", "position_rank")
     return out.withColumn("reliability", F.col(exposure) / (F.col(exposure) + F.lit(prior)))
 
