@@ -17,6 +17,7 @@ _MODULES = (
     "quality_q",
     "forecast_q",
     "streaming_q",
+    "extras_q",
 )
 
 

@@ -11,13 +11,18 @@ from .base import query
 from .forecast_q import matches
 
 
-def replay(t, max_files=None):
-    """Events as a file stream, one folder per day."""
+def replay(t, max_files=None, flush=False):
+    """Events as a file stream, one folder per day. With ``flush`` an event without a user
+    follows in a later file, far enough ahead to close every window."""
     path = scratch_path(t.spark, "replay")
     rows = t.events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("v", F.floor(F.col("value")))
     rows = rows.withColumn("day", F.to_date("ts"))
     rows.repartition("day").write.partitionBy("day").parquet(path)
     schema = rows.drop("day").schema
+    if flush:
+        last = t.events.agg(F.max(F.col("ts").cast("timestamp")).alias("ts"))
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else (F.col("ts") + F.expr("interval 30 days")).alias("ts") for f in schema]
+        last.select(*blank).withColumn("day", F.lit("9999-01-01")).write.mode("append").partitionBy("day").parquet(path)
     return T.stream_batches(t.spark, f"{path}/day=*", schema, max_files=max_files)
 
 
@@ -61,17 +66,25 @@ def _(t):
 
 @query(
     "T4_stream_entity_totals",
-    """SELECT strftime(s,'%Y-%m-%d') AS day, user_id, n, v FROM (SELECT date_trunc('day', ts) AS s, user_id, count(*) AS n, CAST(sum(floor(value)) AS DOUBLE) AS v FROM events GROUP BY ALL)
-WHERE s + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+    """SELECT strftime(s,'%Y-%m-%d') AS day, user_id, n, v FROM (SELECT date_trunc('day', ts) AS s, user_id, count(*) AS n, CAST(sum(floor(value)) AS DOUBLE) AS v FROM events GROUP BY ALL)""",
 )
 def _(t):
-    totals = T.stream_entity_totals(replay(t).withColumn("v", F.col("v").cast("double")), "ts", "user_id", ["v"], "1 hour", "1 day")
-    return to_table(t, totals).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "user_id", "n", "v")
+    totals = T.stream_entity_totals(replay(t, flush=True).withColumn("v", F.col("v").cast("double")), "ts", "user_id", ["v"], "1 hour", "1 day")
+    rows = to_table(t, totals).where(F.col("user_id").isNotNull())
+    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "user_id", "n", "v")
 
 
-@query("T5_late_requery", "SELECT user_id, count(*) AS n, CAST(sum(CAST(floor(value) AS BIGINT)) AS DOUBLE) AS v FROM events GROUP BY user_id")
+@query(
+    "T5_late_requery",
+    """SELECT user_id, count(*) AS n, CAST(sum(CASE WHEN event_id%10=0 AND ts < (SELECT max(ts) FROM events WHERE event_id%10<>0) - INTERVAL 1 HOUR THEN 1 ELSE 0 END) AS BIGINT) AS late_n,
+  CAST(sum(CAST(floor(value) AS BIGINT)) AS DOUBLE) AS v FROM events GROUP BY user_id""",
+)
 def _(t):
-    path = scratch_path(t.spark, "requery")
-    stream = replay(t, max_files=8).withColumn("v", F.col("v").cast("double")).select("user_id", "ts", "v")
+    # Nine tenths of the events come first, the others after all of them.
+    src, path = scratch_path(t.spark, "tenths"), scratch_path(t.spark, "requery")
+    rows = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.floor("value").cast("double").alias("v"), (F.col("event_id") % 10 == 0).cast("int").alias("turn"))
+    for turn in (0, 1):
+        rows.where(F.col("turn") == turn).drop("turn").coalesce(1).write.parquet(f"{src}/turn={turn}")
+    stream = T.stream_batches(t.spark, f"{src}/turn=*", rows.drop("turn").schema, max_files=1)
     T.drain(T.late_requery(stream, "ts", ["user_id"], ["v"], 3600, path, scratch_path(t.spark, "ckpt")))
-    return T.requery_view(t.spark, path, ["user_id"], ["v"]).select("user_id", "n", "v")
+    return T.requery_view(t.spark, path, ["user_id"], ["v"]).select("user_id", "n", "late_n", "v")

@@ -67,10 +67,10 @@ def selection_frontier(candidates: DataFrame) -> DataFrame:
     return out.withColumn("in_frontier", inside).withColumn("reason", reason)
 
 
-def selection_sufficiency(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def selection_sufficiency(candidates: DataFrame, spine: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """90 % screening: which sub-covered candidates could still change the covered pool
     of their role, with the reason, and the gate per role. ``candidates`` as in the
-    frontier plus pass_current, pass_pre."""
+    frontier plus pass_current, pass_pre. ``spine`` (role) names the roles that must be there."""
     df = _bounds(candidates, Z90, "lo90", "hi90")
     covered = F.coalesce("pass_current", F.lit(False)) & F.coalesce("pass_pre", F.lit(False))
     stable = (
@@ -121,9 +121,24 @@ def selection_sufficiency(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     players = rows.withColumn("reason", reason).withColumn("needed", F.col("reason") != "outside_decision_frontier").drop("__u")
     open_n = players.groupBy("role").agg(count_if(F.col("needed")).alias("unresolved"))
     gates = join_on(roles, open_n, ["role"]).withColumn("passed", F.col("enabled") & (F.col("unresolved") == 0))
+    if spine is not None:
+        # A role of the spine without candidates stays in the table, and fails.
+        gates = join_on(spine.select("role").distinct(), gates, ["role"], "left")
+        zero = {c: 0 for c in ("eligible", "stable_n", "covered_n", "required", "unresolved")}
+        gates = gates.fillna(zero).fillna(-1.0, ["top30_threshold", "best_threshold"]).fillna(False, ["enabled", "passed"])
     return players, gates
 
 
+def overall_gate(gates: DataFrame) -> DataFrame:
+    """One row: whether every role passes, how many do, and those that do not."""
+    return gates.agg(
+        F.coalesce(F.bool_and("passed"), F.lit(False)).alias("passed"),
+        F.count_if("passed").alias("roles_passed"),
+        F.count(F.lit(1)).alias("roles"),
+        F.array_join(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("role")))), ",").alias("failing"),
+    )
+
+
 def candidate_gate(base: DataFrame, benchmark: DataFrame, ledger: DataFrame, n: int = POOL) -> tuple[DataFrame, DataFrame]:
     """Transparent score, the best ``n`` of each stable role united with the benchmark
     entities, and the coverage of that union per window. ``base``: entity, role,
