@@ -5,20 +5,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import scratch_path
 from ..sources import schema as S
 from .base import CTE, Tables
 
 
-_BUILT: dict = {}
+_WRITTEN: dict[tuple[str, str], str] = {}
 
 
 def unit_payloads(t: Tables):
-    """The payload frame; its many expressions are built once per session and folder."""
+    """The payloads as nested Parquet in the shared folder, written by the first query of
+    a session that reads them: later ones read only the fields they need."""
     key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _BUILT:
-        _BUILT[key] = _build(t)
-    return _BUILT[key]
+    if key not in _WRITTEN:
+        path = scratch_path(t.spark, "payloads")
+        _build(t).write.parquet(path)
+        _WRITTEN[key] = path
+    return t.spark.read.schema(", ".join(f"{n} {kind}" for n, kind in S.UNIT_FIELDS.items())).parquet(_WRITTEN[key])
 
 
 def _build(t: Tables):
@@ -126,7 +129,7 @@ def _build(t: Tables):
         events=F.when(n != 1, events),
         statistics=F.array(block(home_id, lit(0)), block(away_id, lit(2))),
     )
-    return spread(t.lineitem).select(*[blocks[name].cast(kind).alias(name) for name, kind in S.UNIT_FIELDS.items()])
+    return t.lineitem.select(*[blocks[name].cast(kind).alias(name) for name, kind in S.UNIT_FIELDS.items()])
 
 
 CTE["pay"] = """

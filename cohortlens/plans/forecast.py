@@ -15,7 +15,7 @@ from ..functions.scalar import clip, outcome_label
 from ..operators import ordered
 from ..operators.ordered import join_on
 from ..operators.sets import two_side_rows
-from ..session import cut_lineage, spread
+from ..session import cut_lineage
 
 MAX_GOALS = 10
 EPS = 1e-12
@@ -187,7 +187,7 @@ def rho_grid_fit(df: DataFrame, minimum: int = 10) -> DataFrame:
     step = 2 * RHO_LIMIT / (RHO_GRID - 1)
     gh, ga = F.least(F.col("home_goals"), F.lit(MAX_GOALS)), F.least(F.col("away_goals"), F.lit(MAX_GOALS))
     rates = ["lambda_home", "lambda_away"]
-    base = spread(df.select("comp", *ORDER, "home_goals", "away_goals", *rates))
+    base = df.select("comp", *ORDER, "home_goals", "away_goals", *rates)
     base = base.withColumn("__h", pmf(F.col("lambda_home"))).withColumn("__a", pmf(F.col("lambda_away")))
     base = base.withColumn("__s", _totals(F.col("__h"), F.col("__a")))
     h, a, s = F.col("__h"), F.col("__a"), F.col("__s")

@@ -63,11 +63,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores before work that is heavy per row, when the input has fewer
-    partitions than the cluster has cores (few row groups, one small file)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= 2 * cores else df
