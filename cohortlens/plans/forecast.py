@@ -200,19 +200,23 @@ def rho_grid_fit(df: DataFrame, minimum: int = 10) -> DataFrame:
         (h[gh] * a[ga]).alias("__p"),
         F.when((gh < 2) & (ga < 2), gh * 2 + ga).otherwise(4).alias("__cell"),
         *[(h[i] * a[j]).alias(f"__c{n}") for n, (i, j) in enumerate(cells)],
-        F.explode(F.sequence(F.lit(0), F.lit(RHO_GRID - 1))).alias("__k"),
-    )
-    taus = _tau(F.col("lambda_home"), F.col("lambda_away"), F.col("__k") * F.lit(step) - F.lit(RHO_LIMIT))
-    tried = parts.select("*", *[x.alias(f"__t{n}") for n, x in enumerate(taus)])
-    factor, mass = F.lit(1.0), F.col("__z")
-    for n in range(len(cells)):
-        factor = F.when(F.col("__cell") == n, F.col(f"__t{n}")).otherwise(factor)
-        mass = mass + F.col(f"__c{n}") * (F.col(f"__t{n}") - 1)
-    ll = tried.select("comp", *ORDER, "__k", F.log(F.greatest(F.lit(EPS), F.col("__p") * factor / mass)).alias("__ll"))
-    run = ordered.prefix(ll, ["comp", "__k"], _order(), sums={"__sum": "__ll"}, index="__seen")
-    best = run.groupBy("comp", "unit").agg(
-        F.max(F.struct(F.round("__sum", 9).alias("ll"), (-F.col("__k")).alias("k"))).alias("__b"), F.max("__seen").alias("__seen")
     )
+
+    def likelihood(k: Column) -> Column:
+        taus = _tau(F.col("lambda_home"), F.col("lambda_away"), k * F.lit(step) - F.lit(RHO_LIMIT))
+        factor, mass = F.lit(1.0), F.col("__z")
+        for n, tau in enumerate(taus):
+            factor = F.when(F.col("__cell") == n, tau).otherwise(factor)
+            mass = mass + F.col(f"__c{n}") * (tau - 1)
+        return F.log(F.greatest(F.lit(EPS), F.col("__p") * factor / mass))
+
+    # One row for each match, with the log-likelihood of every grid value side by side.
+    grid = range(RHO_GRID)
+    ll = parts.select("comp", *ORDER, F.transform(F.sequence(F.lit(0), F.lit(RHO_GRID - 1)), likelihood).alias("__ll"))
+    ll = ll.select("comp", *ORDER, *[F.col("__ll")[k].alias(f"__l{k}") for k in grid])
+    run = ordered.prefix(ll, ["comp"], _order(), sums={f"__s{k}": f"__l{k}" for k in grid}, index="__seen")
+    most = F.greatest(*[F.struct(F.round(f"__s{k}", 9).alias("ll"), F.lit(-k).alias("k")) for k in grid])
+    best = run.select("comp", "unit", most.alias("__b"), "__seen")
     rho = F.when(F.col("__seen") >= minimum, -F.col("__b.k") * F.lit(step) - F.lit(RHO_LIMIT)).otherwise(0.0)
     return join_on(df, best.select("comp", "unit", F.round(rho, 6).alias("rho")), ["comp", "unit"])
 
