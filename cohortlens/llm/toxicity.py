@@ -131,7 +131,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
     known = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null")
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     own = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where(~held_out(F.col("doc")))
-    return own.join(known.where(~held_out(F.col("id"))), F.col("doc") == F.col("id")).select("doc", "text", F.when(F.col("y") > 0, 1).otherwise(0).alias("y"))
+    # The same join at every size: labels grow with the documents.
+    return own.join(known.where(~held_out(F.col("id"))).hint("merge"), F.col("doc") == F.col("id")).select("doc", "text", F.when(F.col("y") > 0, 1).otherwise(0).alias("y"))
 
 
 def learn_stems(train: DataFrame) -> dict[str, float]:
