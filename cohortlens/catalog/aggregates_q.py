@@ -570,10 +570,7 @@ FROM lineitem GROUP BY ALL""",
 )
 def _(t):
     rows = t.lineitem.withColumn("line", F.nullif("l_linenumber", F.lit(7)))
-    return rows.groupBy("l_returnflag", "l_linestatus", "line").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("l_orderkey").alias("units"),
-        F.countDistinct("l_suppkey").alias("entities"), F.sum("l_quantity").alias("minutes"),
-    )
+    return A.provider_support_summary(rows, ["l_returnflag", "l_linestatus", "line"], "l_orderkey", "l_suppkey", "l_quantity")
 
 
 @query(

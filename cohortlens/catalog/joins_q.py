@@ -54,13 +54,13 @@ def _(t):
 @query("J4_target_filter", "SELECT l_orderkey, l_partkey, l_linenumber, l_quantity FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size=1)")
 def _(t):
     ids = t.part.where(F.col("p_size") == 1).select(F.col("p_partkey").alias("l_partkey"))
-    return t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity").join(ids, "l_partkey", "left_semi")
+    return J.target_filter(t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity"), ids, ["l_partkey"])
 
 
 @query("J5_exclude_done", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus='F')")
 def _(t):
     done = t.lineitem.where(F.col("l_linestatus") == "F").select(F.col("l_orderkey").alias("o_orderkey"))
-    return t.orders.select("o_orderkey").join(done, "o_orderkey", "left_anti")
+    return J.exclude_done(t.orders.select("o_orderkey"), done, ["o_orderkey"])
 
 
 @query(

@@ -467,6 +467,13 @@ def progress_counts(progress: DataFrame, status: str, unit: str, targets: DataFr
 # --- gates and checks ----------------------------------------------------------------
 
 
+def provider_support_summary(rows: DataFrame, keys: Sequence[str], unit: str, entity: str, exposure: str) -> DataFrame:
+    """Per combination of keys (null is one): rows, distinct units and entities, exposure."""
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(unit).alias("units"), F.countDistinct(entity).alias("entities"), F.sum(exposure).alias("minutes")
+    )
+
+
 def gate_table(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """One metrics row against thresholds(metric, kind, threshold): kind ``min`` asks
     value >= threshold, ``max_abs`` asks abs(value) <= threshold."""

@@ -68,6 +68,16 @@ def side_target_union(units: DataFrame, associations: DataFrame, benchmark: Data
     )
 
 
+def target_filter(rows: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the target keys; targets may repeat, null keys are no targets."""
+    return rows.join(targets.select(*keys), list(keys), "left_semi")
+
+
+def exclude_done(rows: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys are not done yet; a null key is never done."""
+    return rows.join(done.select(*keys), list(keys), "left_anti")
+
+
 def interval_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], start: Column, end: Column, ts: str, bucket_seconds: int
 ) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bucketise
-from ..operators.aggregates import distribution_summary, mode_and_stability
+from ..operators.aggregates import distribution_summary
 from ..operators.flatten import unit_outcome_row
 from ..operators.joins import interval_join
 from ..operators.ordered import join_on
@@ -37,20 +37,37 @@ def weather_record(units: DataFrame, hours: DataFrame, place: str = "place", hou
 
     ``units``: unit, place, kickoff. ``hours``: place, time, grade, temperature, rain,
     code. Units without any hour are kept with grade ``unavailable``."""
+    # Hours first: one row for each place, hour and grade, whatever the readings; readings
+    # on the full hour apart, for only they count in a window's last hour.
+    at = F.date_trunc("hour", F.col("time").cast("timestamp"))
+    full = at == F.col("time").cast("timestamp")
+    coded = hours.groupBy(place, at.alias("__h"), full.alias("__full"), "grade", "code").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("temperature").alias("ts"), F.count("temperature").alias("tn"),
+        F.max("temperature").alias("tx"), F.sum("rain").alias("rs"),
+    )
+    hourly = coded.groupBy(place, "__h", "__full", "grade").agg(
+        F.sum("n").alias("n"), F.sum("ts").alias("ts"), F.sum("tn").alias("tn"), F.max("tx").alias("tx"), F.sum("rs").alias("rs"),
+        F.collect_list(F.struct("code", "n")).alias("codes"),
+    )
     start = F.date_trunc("hour", F.col("kickoff").cast("timestamp"))
     end = start + F.make_dt_interval(hours=F.lit(hours_ahead))
-    hits = interval_join(units.select("unit", place, "kickoff"), hours, [place], start, end, "time", 6 * 3600)
-    best = hits.groupBy("unit").agg(F.min("grade").alias("grade"))
-    chosen = hits.join(best, ["unit", "grade"])
+    spans = units.select("unit", place, end.alias("__end"), F.explode(F.sequence(start, end, F.expr("interval 1 hour"))).alias("__h"))
+    hits = spans.join(hourly, [place, "__h"]).where((F.col("__h") < F.col("__end")) | F.col("__full"))
+    # A unit has at most a few rows here: its hours by grade.
+    own = Window.partitionBy("unit")
+    chosen = hits.withColumn("__best", F.min("grade").over(own)).where(F.col("grade") == F.col("__best"))
     stats = chosen.groupBy("unit").agg(
         F.max("grade").alias("grade"),
-        F.count(F.lit(1)).alias("window_hours"),
-        F.avg("temperature").alias("temperature_mean"),
-        F.max("temperature").alias("temperature_max"),
-        F.sum("rain").alias("rain_sum"),
+        F.sum("n").alias("window_hours"),
+        (F.sum("ts") / F.sum("tn")).alias("temperature_mean"),
+        F.max("tx").alias("temperature_max"),
+        F.sum("rs").alias("rain_sum"),
+        F.flatten(F.collect_list("codes")).alias("__codes"),
     )
-    codes = mode_and_stability(chosen, ["unit"], "code").select("unit", F.col("mode").alias("code_mode"))
-    out = join_on(join_on(units, stats, ["unit"], "left"), codes, ["unit"], "left")
+    kinds = F.array_distinct(F.transform("__codes", lambda x: x["code"]))
+    total = lambda code: F.aggregate(F.filter("__codes", lambda x: x["code"].eqNullSafe(code)), F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    ranked = F.array_min(F.transform(kinds, lambda k: F.struct((-total(k)).alias("m"), k.isNull().alias("z"), k.alias("code"))))
+    out = join_on(units, stats.withColumn("code_mode", ranked["code"]).drop("__codes"), ["unit"], "left")
     return out.withColumn("grade", F.coalesce("grade", F.lit("unavailable"))).withColumn(
         "heat_band", bucketise("temperature_max", HEAT_EDGES, HEAT_BANDS, right=False)
     )
@@ -60,7 +77,10 @@ def pre_window(units: DataFrame, hours: DataFrame, place: str = "place", hours_b
     """Mean, sum and maximum over the hours before kick-off."""
     kick = F.col("kickoff").cast("timestamp")
     start = kick - F.make_dt_interval(hours=F.lit(hours_before))
-    hits = interval_join(units.select("unit", place, "kickoff"), hours, [place], start, kick, "time", 6 * 3600)
+    each = hours.groupBy(place, "time").agg(
+        F.sum("temperature").alias("ts"), F.count("temperature").alias("tn"), F.max("temperature").alias("tx"), F.sum("rain").alias("rs")
+    )
+    hits = interval_join(units.select("unit", place, "kickoff"), each, [place], start, kick, "time", 3600)
     return hits.groupBy("unit").agg(
-        F.avg("temperature").alias("pre_temperature_mean"), F.sum("rain").alias("pre_rain_sum"), F.max("temperature").alias("pre_temperature_max")
+        (F.sum("ts") / F.sum("tn")).alias("pre_temperature_mean"), F.sum("rs").alias("pre_rain_sum"), F.max("tx").alias("pre_temperature_max")
     )
