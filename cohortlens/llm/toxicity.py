@@ -7,8 +7,9 @@ transition table, whose outputs are matched patterns: an insult, plain or beside
 target, under negation, inside reported speech; a threat against a target. A document's
 features are weights summed by pattern, and a logistic model over them gives the score.
 
-Stems are word beginnings. Their support is the number of different words they follow
-in toxic rows, so that a passage that is copied often supports its words once."""
+Stems are word beginnings. Their support is the number of toxic rows they stand in, or of
+different words they follow there if that is less, so that a passage that is copied often
+supports its words once."""
 
 from __future__ import annotations
 
@@ -138,16 +139,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
 def learn_stems(train: DataFrame) -> dict[str, float]:
     """Word beginnings whose support in toxic rows is beyond chance, with log-odds
     weights. Counts cover all training rows; of beginnings with equal support the longest
-    stays, and beginnings that extend an accepted one go."""
+    stays, and of those that begin each other the purest."""
     words = F.filter(F.split(F.lower("text"), _LETTERS), lambda w: F.length(w) > 0)
     rows = train.select("y", words.alias("w"))
     n_pos, n_neg = (rows.where(f"y = {y}").count() for y in (1, 0))
     if not n_pos or not n_neg:
         return {}
     pairs = F.array_distinct(F.zip_with(F.concat(F.array(F.lit("")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))), F.col("w"), lambda a, b: F.struct(b.alias("word"), a.alias("before"))))
-    pos = rows.where("y = 1 and size(w) > 0").select(F.explode(pairs).alias("p")).select("p.*").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("pos"))
-    neg = rows.where("y = 0").select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("neg"))
-    both = pos.withColumn("neg", F.lit(0).cast("long")).unionByName(neg.withColumn("pos", F.lit(0).cast("long")))
+    ahead = rows.where("y = 1 and size(w) > 0").select(F.explode(pairs).alias("p")).select("p.*").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("ctx"))
+    held = rows.select("y", F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    zero = F.lit(0).cast("long")
+    each = ahead.select("word", "ctx", zero.alias("pos"), zero.alias("neg")).unionByName(held.select("word", zero.alias("ctx"), "pos", "neg"))
+    both = each.groupBy("word").agg(F.least(F.sum("ctx"), F.sum("pos")).alias("pos"), F.sum("neg").alias("neg"))
     lo, hi = STEM_LENGTHS
     stems = both.where(F.length("word") >= lo).select(
         F.explode(F.transform(F.sequence(F.lit(lo), F.least(F.length("word"), F.lit(hi))), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("stem"), "pos", "neg"
@@ -165,9 +168,13 @@ def learn_stems(train: DataFrame) -> dict[str, float]:
         longest[r.stem[:-1]] = max(longest.get(r.stem[:-1], 0), r.pos)
     closed = [r for r in best if longest.get(r.stem, 0) < 0.98 * r.pos]
     kept: dict[str, float] = {}
-    for r in sorted(closed, key=lambda r: len(r.stem)):
-        if not any(r.stem[:n] in kept for n in range(lo, len(r.stem))):
+    inside: set[str] = set()
+    # The purest first: neither what extends an accepted stem nor a looser beginning of it.
+    for r in sorted(closed, key=lambda r: (-r.weight, r.stem)):
+        begins = [r.stem[:n] for n in range(lo, len(r.stem))]
+        if r.stem not in inside and not any(b in kept for b in begins):
             kept[r.stem] = float(r.weight)
+            inside.update(begins)
     return kept
 
 
@@ -184,7 +191,7 @@ def _featured(stems: dict[str, float], *keep: str):
 
 
 def fit(train: DataFrame, stems: dict[str, float]) -> list[float]:
-    """Weights of the logistic model, intercept first, by Newton steps with a ridge.
+    """Weights of the logistic model, intercept first, by damped Newton steps with a ridge.
     Pattern weights are never negative. Without rows of both kinds: fixed weights."""
     pick = train.orderBy(F.xxhash64("doc"), "doc").limit(FIT_ROWS)
     rows = pick.select("y", "text").mapInArrow(_featured(stems, "y"), "y int, x array<double>").collect()
@@ -193,14 +200,38 @@ def fit(train: DataFrame, stems: dict[str, float]) -> list[float]:
     if not len(rows) or y.min() == y.max():
         return fixed
     x = np.column_stack([np.ones(len(rows)), np.array([r.x for r in rows], float)])
-    beta, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 0.5)
-    ridge[0] = 1e-3
-    for _ in range(60):
+    ridge = np.full(x.shape[1], 0.5)
+    ridge[0] = 1e-2
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float(np.logaddexp(0.0, z).sum() - y @ z + 0.5 * (ridge * b * b).sum())
+
+    beta = np.zeros(x.shape[1])
+    beta[0] = np.log(y.mean() / (1 - y.mean()))
+    best = loss(beta)
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * beta)
-        beta = beta + step
-        beta[1:] = np.maximum(beta[1:], 0.0)
-        if np.abs(step).max() < 1e-8:
+        grad = x.T @ (y - p) - ridge * beta
+        # Weights at their bound that would fall below it stay there.
+        free = (beta > 0) | (grad > 0)
+        free[0] = True
+        at = x[:, free]
+        step = np.zeros_like(beta)
+        step[free] = np.linalg.solve((at * (p * (1 - p))[:, None]).T @ at + np.diag(ridge[free]), grad[free])
+        size = 1.0
+        while size > 1e-6:
+            new = beta + size * step
+            new[1:] = np.maximum(new[1:], 0.0)
+            value = loss(new)
+            if value < best - 1e-12:
+                break
+            size /= 2
+        else:
+            break
+        done = best - value < 1e-9 * (1 + best)
+        beta, best = new, value
+        if done:
             break
     return [float(b) for b in beta]
 
