@@ -51,6 +51,22 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+_KEPT: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers 0..n-1 of ``base``; those of the usual piece are kept."""
+    if base not in _KEPT or len(_KEPT[base]) < n:
+        size = max(n, 2 * _PIECE)
+        made = np.full(size, base, _U)
+        made[0] = 1
+        made = np.cumprod(made, dtype=_U)
+        if size > 4 * _PIECE:
+            return made[:n]
+        _KEPT[base] = made
+    return _KEPT[base][:n]
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word (A-Z lower-cased, split at the bytes ``apart``, ASCII white space)
     of the rows in ``data``, and the position of each row's first word."""
@@ -67,14 +83,10 @@ def words_of(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE)
     after[:-1] = inside
     after[cuts] = False
     ends = np.flatnonzero(inside & ~after[1:]) + 1
-    powers = np.full(len(data), _BASE, _U)
-    powers[0] = 1
-    powers = np.cumprod(powers, dtype=_U)
+    powers = _powers(_BASE, len(data))
     prefix = np.zeros(len(data) + 1, _U)
     np.cumsum((body.astype(_U) + _U(1)) * powers, out=prefix[1:])
-    inverse = np.full(len(data), pow(_BASE, -1, _WORD), _U)
-    inverse[0] = 1
-    inverse = np.cumprod(inverse, dtype=_U)
+    inverse = _powers(pow(_BASE, -1, _WORD), len(data))
     h = (prefix[ends] - prefix[starts]) * inverse[starts]
     return mix(h ^ ((ends - starts).astype(_U) << _U(48)), 1), np.searchsorted(starts, offsets, "left")
 
