@@ -122,7 +122,7 @@ def class_of(n: int) -> tuple[int, int]:
     return c, top
 
 
-def range_keys(u: np.ndarray, p: int, q: int, weak: tuple[int, int]) -> np.ndarray:
+def range_keys(u: np.ndarray, p: int, q: int) -> np.ndarray:
     """Bucket keys of a set for similarity p/q: of its own size class and, if the
     largest partner lies in a later one, of those too."""
     n, out = len(u), []
@@ -137,8 +137,6 @@ def range_keys(u: np.ndarray, p: int, q: int, weak: tuple[int, int]) -> np.ndarr
         edges = (np.arange(1, parts, dtype=object) * _WORD // parts).astype(_U) if parts > 1 else np.zeros(0, _U)
         cut = np.concatenate(([0], np.searchsorted(u, edges, "left"), [n]))
         key = mix(sums[cut[1:]] - sums[cut[:-1]] + mix(np.arange(parts, dtype=_U), 4 + c), 5)
-        if n >= weak[0]:
-            key = key[np.diff(cut) >= weak[1]]
         out.append(key)
         if top >= most:
             return np.concatenate(out)
@@ -152,7 +150,7 @@ def bitmap(u: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _emit_keys(k: int, p: int, q: int, weak: tuple[int, int]):
+def _emit_keys(k: int, p: int, q: int):
     schema = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
     signed = lambda x: np.array(x, _U).view(np.int64)
 
@@ -167,7 +165,7 @@ def _emit_keys(k: int, p: int, q: int, weak: tuple[int, int]):
                     k1.append(mix(u, 6).sum(dtype=_U))
                     k2.append(mix(u, 7).sum(dtype=_U))
                     bits.append(bitmap(u, BITS).tobytes())
-                    keys.append(signed(range_keys(u, p, q, weak)))
+                    keys.append(signed(range_keys(u, p, q)))
                 flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
                 yield pa.record_batch(
@@ -344,7 +342,7 @@ class _Join:
 
 
 def jaccard_classes(
-    docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, weak: tuple[int, int] | None = None, text: str = "text", key: str = "doc_id"
+    docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``th``, ``n_shingles``, ``first`` (of its
     component, by id and text), ``component_id`` (the smallest id reachable over links of Jaccard similarity >= p/q between sets of
@@ -352,11 +350,9 @@ def jaccard_classes(
 
     A null or empty text and one of white space only have an empty set, link with
     nothing and are their own component. Rows that repeat, or whose sets are equal, are
-    one component. Null ids take part; a component of null ids only has a null id.
-    ``weak=(m, s)`` leaves out, for sets of at least m shingles, keys of ranges with
-    fewer than s: an exact join takes none."""
+    one component. Null ids take part; a component of null ids only has a null id."""
     base = keyed(docs, text, key)
-    made = base.mapInArrow(_emit_keys(k, p, q, weak or (1 << 62, 0)), "doc long, th long, n int, k1 long, k2 long, bits binary, keys array<long>")
+    made = base.mapInArrow(_emit_keys(k, p, q), "doc long, th long, n int, k1 long, k2 long, bits binary, keys array<long>")
     rows = settle(made)
     # Equal sets share an id. Should two sets ever collide, another salt is taken.
     salt = 0
