@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, jaccard, knn, licences, linededup, mixing, repeats, tokencount, toxicity, warc
+from . import alignment, decontaminate, jaccard, knn, licences, linededup, mixing, repeats, tokencount, toxicity, warc
 from .common import settle, tuned
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +112,16 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, folder, "documents"), *tokencount.load_pieces(PIECES))
 
 
+#: The vocabularies that are aligned; paths on the machine that plans the query.
+BYTE_BPE, SENTENCE_PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@_query
+def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of two tokenisations of every text of `documents`."""
+    return alignment.alignment(_table(spark, folder, "documents"), alignment.load_files(BYTE_BPE, SENTENCE_PIECES))
+
+
 @_query
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold passages of `benchmark`, with the items."""
