@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import alignment, decontaminate, jaccard, knn, licences, linededup, mixing, repeats, tokencount, toxicity, warc
+from . import alignment, chat, decontaminate, jaccard, knn, licences, linededup, mixing, repeats, reversed_search, tokencount, toxicity, warc
 from .common import settle, tuned
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +122,24 @@ def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.alignment(_table(spark, folder, "documents"), alignment.load_files(BYTE_BPE, SENTENCE_PIECES))
 
 
+@_query
+def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """`conversations` in the chat template, read back from the output."""
+    return chat.digests(_table(spark, folder, "conversations"))
+
+
+_SQL["op12_chat_formatting"] = chat.sql()
+
+
+@_query
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Twenty best `documents` for each item of `benchmark`."""
+    return reversed_search.ranked(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+_SQL["op13_ranked_search"] = reversed_search.sql()
+
+
 @_query
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold passages of `benchmark`, with the items."""
