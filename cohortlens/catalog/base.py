@@ -58,6 +58,8 @@ def with_ctes(sql: str, ctes: tuple[str, ...]) -> str:
     if not names:
         return body
     head = ",\n".join(f"{n} AS ({CTE[n].strip()})" for n in names)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"

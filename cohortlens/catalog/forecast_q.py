@@ -8,6 +8,7 @@ from ..operators import aggregates as A
 from ..operators import ordered
 from ..operators.windows import sequence_flag
 from ..plans import forecast as M
+from ..plans import goals_glm
 from .base import CTE, CTE_DEPS, query
 
 
@@ -253,15 +254,71 @@ def flagged(t):
     return sequence_flag(m, ["league"], [F.col("ts"), F.col("unit")], 72)
 
 
-@query("M12_poisson_glm")
+CTE["fl"] = "SELECT * EXCLUDE (n), CAST(n>72 AS INTEGER) AS knockout FROM (SELECT *, row_number() OVER (PARTITION BY league ORDER BY ts, unit) AS n FROM u WHERE status<>'NS')"
+CTE_DEPS["fl"] = ("u",)
+
+
+def _fit_sql(points, hold_out: int) -> str:
+    """CTEs for the fit of ``points`` on all but the last ``hold_out`` matches: `tst`, `c`
+    (cells), `tot`, and `fit` (p, alpha, hl, kind, side, v). A round of Newton steps for
+    attack effects, one for defence effects, one for intercept and slope, in turn."""
+    values = ", ".join(f"({p}, {a}e0, {'NULL' if h is None else f'{h}e0'})" for p, (a, h) in enumerate(points))
+    return f"""tst AS (SELECT * FROM fl ORDER BY ts DESC, unit DESC LIMIT {hold_out}),
+trn AS (SELECT * FROM fl WHERE unit NOT IN (SELECT unit FROM tst)),
+pt(p, alpha, hl) AS (VALUES {values}),
+lr AS (SELECT ts, home AS att, away AS def, knockout AS x, home_goals AS g FROM trn UNION ALL SELECT ts, away, home, knockout, away_goals FROM trn),
+c AS (SELECT p, alpha, att, def, x, sum(w) AS w, sum(w*g) AS y FROM (
+  SELECT *, CASE WHEN hl IS NULL THEN 1e0 ELSE power(0.5e0, (epoch((SELECT max(ts) FROM trn))-epoch(ts))/86400e0/hl) END AS w FROM lr, pt) WHERE w>0 GROUP BY ALL),
+tot AS (SELECT p, alpha, sum(w) AS ww, sum(y) AS yy, sum(y*x) AS yx FROM c GROUP BY ALL),
+r(it, p, kind, side, v) AS (
+  SELECT 0, p, 'attack', att, 0e0 FROM c GROUP BY ALL UNION ALL SELECT 0, p, 'defence', def, 0e0 FROM c GROUP BY ALL
+  UNION ALL SELECT 0, p, 'intercept', NULL, ln(yy/ww) FROM tot UNION ALL SELECT 0, p, 'slope', NULL, 0e0 FROM tot
+  UNION ALL
+  SELECT r.it+1, r.p, r.kind, r.side, CASE WHEN r.kind='attack' AND r.it%3=0 OR r.kind='defence' AND r.it%3=1 THEN r.v+greatest(-1e0,least(1e0,(s.y-s.m-tot.alpha*tot.ww*r.v)/(s.m+tot.alpha*tot.ww)))
+    WHEN r.kind='intercept' AND r.it%3=2 THEN r.v+greatest(-1e0,least(1e0,(s.mx*s.g1-s.hk*s.g0)/(s.m*s.hk-s.mx*s.mx)))
+    WHEN r.kind='slope' AND r.it%3=2 THEN r.v+greatest(-1e0,least(1e0,(s.mx*s.g0-s.m*s.g1)/(s.m*s.hk-s.mx*s.mx))) ELSE r.v END
+  FROM r JOIN tot ON tot.p=r.p LEFT JOIN (
+    SELECT e.p, e.kind, e.side, e.m, e.y, e.mx, e.mxx+tot.alpha*tot.ww AS hk, e.m-e.y AS g0, e.mx-tot.yx+tot.alpha*tot.ww*e.k AS g1 FROM (
+      SELECT p, kind, side, sum(mu) AS m, sum(y) AS y, sum(mu*x) AS mx, sum(mu*x*x) AS mxx, max(k) AS k FROM (
+        SELECT c.p, c.x, c.y, sl.v AS k, c.w*exp(ic.v+sl.v*c.x+ra.v+rd.v) AS mu, unnest(['attack','defence','intercept','slope']) AS kind, unnest([c.att,c.def,NULL,NULL]) AS side
+        FROM c JOIN r ra ON ra.p=c.p AND ra.kind='attack' AND ra.side=c.att JOIN r rd ON rd.p=c.p AND rd.kind='defence' AND rd.side=c.def
+        JOIN r ic ON ic.p=c.p AND ic.kind='intercept' JOIN r sl ON sl.p=c.p AND sl.kind='slope') GROUP BY ALL) e JOIN tot ON tot.p=e.p) s
+    ON s.p=r.p AND s.kind=r.kind AND s.side IS NOT DISTINCT FROM r.side
+  WHERE r.it<240),
+fit AS (SELECT r.p, alpha, hl, kind, side, v FROM r JOIN pt ON pt.p=r.p WHERE it=240),
+fr AS (SELECT m.unit, m.home_goals, m.away_goals, ic.p, ic.alpha, ic.hl, exp(ic.v+sl.v*m.knockout+coalesce(ha.v,0e0)+coalesce(ad.v,0e0)) AS lh, exp(ic.v+sl.v*m.knockout+coalesce(aa.v,0e0)+coalesce(hd.v,0e0)) AS la
+  FROM (SELECT * FROM {'tst' if hold_out else 'fl'}) m JOIN fit ic ON ic.kind='intercept' JOIN fit sl ON sl.kind='slope' AND sl.p=ic.p
+  LEFT JOIN fit ha ON ha.p=ic.p AND ha.kind='attack' AND ha.side=m.home LEFT JOIN fit hd ON hd.p=ic.p AND hd.kind='defence' AND hd.side=m.home
+  LEFT JOIN fit aa ON aa.p=ic.p AND aa.kind='attack' AND aa.side=m.away LEFT JOIN fit ad ON ad.p=ic.p AND ad.kind='defence' AND ad.side=m.away)"""
+
+
+@query("M12_poisson_glm", f"WITH RECURSIVE {_fit_sql([(0.1, None)], 0)} SELECT unit, round(lh,4) AS lambda_home, round(la,4) AS lambda_away FROM fr", ("fl",))
 def _(t):
     m = flagged(t)
     return M.glm_rates(M.poisson_glm(m, 0.1, None), m).select("unit", *[F.round(x, 4).alias(x) for x in ("lambda_home", "lambda_away")])
 
 
-@query("M13_grid_tune")
+@query(
+    "M12_score_equations",
+    """SELECT block, side, 0e0 AS residual FROM (SELECT 'attack' AS block, CAST(home AS VARCHAR) AS side FROM fl UNION SELECT 'attack', CAST(away AS VARCHAR) FROM fl
+  UNION SELECT 'defence', CAST(home AS VARCHAR) FROM fl UNION SELECT 'defence', CAST(away AS VARCHAR) FROM fl UNION SELECT 'intercept', NULL UNION SELECT 'slope', NULL)""",
+    ("fl",),
+)
+def _(t):
+    m = flagged(t)
+    return goals_glm.score_equations(M.poisson_glm(m, 0.1, None), m).select("block", "side", (F.round("residual", 6) + 0.0).alias("residual"))
+
+
+@query(
+    "M13_grid_tune",
+    f"""WITH RECURSIVE {_fit_sql(M.grid_points(), 18)}
+SELECT alpha, hl AS half_life, count(*) AS matches, round(avg(-ln(greatest(1e-12, hit/z))),4) AS log_loss FROM (
+  SELECT fr.unit, fr.p, fr.alpha, fr.hl, sum(v) AS z, sum(CASE WHEN sign(i-j)=sign(home_goals-away_goals) THEN v ELSE 0e0 END) AS hit FROM (
+    SELECT fr.*, a.k AS i, b.k AS j, exp(a.k*ln(lh)-lh)/a.fk*(exp(b.k*ln(la)-la)/b.fk) AS v FROM fr, fkt a, fkt b) fr GROUP BY ALL) GROUP BY ALL""",
+    ("fl", "fkt"),
+)
 def _(t):
-    return M.grid_tune(flagged(t), 200).select("alpha", "half_life", "matches", F.round("log_loss", 4).alias("log_loss"))
+    return M.grid_tune(flagged(t), 18).select("alpha", "half_life", "matches", F.round("log_loss", 4).alias("log_loss"))
 
 
 @query("M14_bootstrap_rates")

@@ -16,6 +16,7 @@ from ..operators import ordered
 from ..operators.ordered import join_on
 from ..operators.sets import two_side_rows
 from ..session import cut_lineage
+from . import goals_glm
 
 MAX_GOALS = 10
 EPS = 1e-12
@@ -363,72 +364,45 @@ def holdout_summary(scored: DataFrame) -> DataFrame:
     ).withColumn("skill", 1 - F.col("log_loss") / F.col("naive_log_loss"))
 
 
-def decay_weight(ts: Column, reference: Column, half_life: float | None) -> Column:
-    """0.5^(age in days / half-life), or 1."""
-    if half_life is None:
-        return F.lit(1.0)
-    age = (F.unix_micros(reference.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / 86_400_000_000.0
-    return F.pow(F.lit(0.5), age / F.lit(half_life))
+# --- fitted models -------------------------------------------------------------------
 
+decay_weight = goals_glm.decay_weight
 
-# --- fitted models -------------------------------------------------------------------
 
+def poisson_glm(train: DataFrame, alpha: float, half_life: float | None) -> goals_glm.Fit:
+    """Poisson regression of goals on attacker, defender and knockout flag, ridge-penalised
+    and time-weighted."""
+    return goals_glm.poisson_fit(train, [(alpha, half_life)])
 
-def attack_rows(matches: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """Two rows per match: who attacks, who defends, and the goals."""
-    sides = two_side_rows(matches, ["unit", "ts", "knockout", *carry])
-    return sides.select(
-        "unit", "ts", "knockout", *carry, "venue", F.col("side").cast("string").alias("attack"), F.col("opponent").cast("string").alias("defence"), F.col("goals_for").alias("goals")
-    )
+
+def glm_rates(fit: goals_glm.Fit, matches: DataFrame) -> DataFrame:
+    """lambda_home and lambda_away of each match under the fitted model."""
+    return goals_glm.rates(fit, matches).drop("point")
 
 
-def poisson_glm(train: DataFrame, alpha: float, half_life: float | None):
-    """Poisson regression of goals on one-hot attack and defence and the knockout flag,
-    ridge-penalised and time-weighted. The solver's normal matrix is square in the number
-    of sides, which Spark limits to 4096 features."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    rows = attack_rows(train)
-    last = train.agg(F.max("ts").alias("__last"))
-    rows = join_on(rows, last, []).withColumn("weight", decay_weight(F.col("ts"), F.col("__last"), half_life))
-    stages = [
-        StringIndexer(inputCols=["attack", "defence"], outputCols=["ai", "di"], handleInvalid="keep"),
-        OneHotEncoder(inputCols=["ai", "di"], outputCols=["av", "dv"], handleInvalid="keep", dropLast=True),
-        VectorAssembler(inputCols=["av", "dv", "knockout"], outputCol="features"),
-        GeneralizedLinearRegression(
-            family="poisson", link="log", labelCol="goals", weightCol="weight", regParam=alpha, maxIter=80, tol=1e-6
-        ),
-    ]
-    return Pipeline(stages=stages).fit(rows.withColumn("goals", F.col("goals").cast("double")))
+ALPHAS, HALF_LIVES = (0.03, 0.1, 0.3, 1.0), (21.0, None)
 
 
-def glm_rates(model, matches: DataFrame) -> DataFrame:
-    """lambda_home and lambda_away of each match under the fitted model."""
-    scored = model.transform(attack_rows(matches).withColumn("goals", F.col("goals").cast("double")))
-    per = scored.groupBy("unit").agg(
-        F.max(F.when(F.col("venue") == "home", F.col("prediction"))).alias("lambda_home"),
-        F.max(F.when(F.col("venue") == "away", F.col("prediction"))).alias("lambda_away"),
-    )
-    return join_on(matches, per, ["unit"])
+def grid_points(alphas: Sequence[float] = ALPHAS, half_lives: Sequence[float | None] = HALF_LIVES) -> list[tuple[float, float | None]]:
+    return [(a, h) for a in alphas for h in half_lives]
 
 
-def grid_tune(matches: DataFrame, hold_out: int = 18, alphas: Sequence[float] = (0.03, 0.1, 0.3, 1.0), half_lives=(21.0, None)) -> DataFrame:
-    """Log loss of each (alpha, half-life) on the last ``hold_out`` matches."""
+def split_last(matches: DataFrame, hold_out: int) -> tuple[DataFrame, DataFrame]:
+    """(all but the last matches, the last ``hold_out``), both written."""
     matches = cut_lineage(matches)
     test = cut_lineage(matches.orderBy(F.col("ts").desc(), F.col("unit").desc()).limit(hold_out))
-    train = cut_lineage(matches.join(test.select("unit"), "unit", "left_anti"))
-    out: DataFrame | None = None
-    for alpha in alphas:
-        for hl in half_lives:
-            rates = glm_rates(poisson_glm(train, alpha, hl), test)
-            probs = outcome_probs(rates, "lambda_home", "lambda_away").withColumn("actual", outcome_label("home_goals", "away_goals"))
-            row = proper_scores(probs).agg(
-                F.lit(alpha).alias("alpha"), F.lit(hl).cast("double").alias("half_life"), F.avg("log_loss").alias("log_loss"), F.count(F.lit(1)).alias("matches")
-            )
-            out = row if out is None else out.unionByName(row)
-    return out
+    return matches.join(test.select("unit"), "unit", "left_anti"), test
+
+
+def grid_tune(matches: DataFrame, hold_out: int = 18, points: Sequence[tuple[float, float | None]] = tuple(grid_points())) -> DataFrame:
+    """Log loss of each (alpha, half-life) on the last ``hold_out`` matches; all points
+    are fitted together."""
+    train, test = split_last(matches, hold_out)
+    fit = goals_glm.poisson_fit(train, points)
+    probs = outcome_probs(goals_glm.rates(fit, test), "lambda_home", "lambda_away").withColumn("actual", outcome_label("home_goals", "away_goals"))
+    losses = proper_scores(probs).groupBy("point").agg(F.avg("log_loss").alias("log_loss"), F.count(F.lit(1)).alias("matches"))
+    named = F.inline(F.array(*[F.struct(F.lit(m.point).alias("point"), F.lit(m.alpha).alias("alpha"), F.lit(m.half_life).cast("double").alias("half_life")) for m in fit.models]))
+    return losses.join(matches.sparkSession.range(1).select(named), "point").select("alpha", "half_life", "log_loss", "matches")
 
 
 def bootstrap_rates(matches: DataFrame, pair: tuple, glm: Mapping, worlds: int, seed: int, weight: float = 0.72) -> DataFrame:

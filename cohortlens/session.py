@@ -63,3 +63,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*written: DataFrame | None) -> None:
+    """Delete tables of :func:`cut_lineage` that nothing reads any more: all that was made
+    of them is itself written."""
+    for df in written:
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()} if df is not None else ():
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

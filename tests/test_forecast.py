@@ -100,9 +100,3 @@ def test_late_rows_change_the_ledger(spark):
     T.drain(T.late_requery(stream, "ts", ["k"], ["v"], 3600, f"{path}/out", f"{path}/ck"))
     row = T.requery_view(spark, f"{path}/out", ["k"], ["v"]).first()
     assert (row.n, row.late_n, row.v) == (3, 1, 3.0)
-
-
-def test_glm_recovers_the_mean_rate(spark, tables):
-    m = forecast_q.flagged(tables)
-    rates = M.glm_rates(M.poisson_glm(m, 0.1, None), m).agg(F.avg("lambda_home"), F.avg("lambda_away"), F.avg("home_goals"), F.avg("away_goals")).first()
-    assert rates[0] + rates[1] == pytest.approx(rates[2] + rates[3], rel=0.05)
