@@ -12,9 +12,11 @@ row for each distinct pair of the chunk, so no shuffle holds a row for each toke
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -32,6 +34,10 @@ CHUNK, CHUNK_ROWS, AT_ONCE = 4 << 20, 20_000, 1 << 16
 MAX_FILE = 64 << 20
 #: A blank between two letters: a token boundary of both vocabularies, see `Coder`.
 _CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Pattern of the byte-level pre-tokenizer (a fixed value), and letters whose classes may
+#: differ between two readings of it; texts with them, or longer ones, take the slow way.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_RARE, _SHORT = re.compile("[^\\x00-\u024f]"), 2 * AT_ONCE
 _B_BITS = 32  # a pair of ids is one long: the A id above, the B id below
 
 
@@ -63,7 +69,10 @@ def _byte_letters() -> dict[str, int]:
 class Coder:
     """Encodes texts with both vocabularies. A long text is cut at blanks between two
     ASCII letters: the byte-level pattern begins a token there, and no sentencepiece has
-    a blank behind another letter (else texts are not cut)."""
+    a blank behind another letter (else texts are not cut).
+
+    Where a token's id is the rank of its merge, as in all public files of this kind, a
+    second encoder over the same ids is used for texts of Latin letters; it is faster."""
 
     def __init__(self, files: Files):
         import sentencepiece
@@ -82,9 +91,37 @@ class Coder:
         names = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self._b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
         self.may_cut = not any(re.search("[^▁]▁", x) for x in names)
+        self._fast = self._ranked(json.loads(files.a))
+        #: What follows an id in the digest: a token of its side, the other side, a group.
+        self.shown = [b"%d%c" % (i, c) for i in range(max(len(self.a_bytes), len(self.b_bytes))) for c in b",|;"]
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
 
+    def _ranked(self, file: dict):
+        import tiktoken
+
+        model, plain = file["model"], {x["id"] for x in file.get("added_tokens", [])}
+        merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+        by_rank = all(model["vocab"].get(x + y) == 256 + i for i, (x, y) in enumerate(merges))
+        level = file.get("pre_tokenizer") or {}
+        as_known = level.get("type") == "ByteLevel" and not level.get("add_prefix_space") and level.get("use_regex", True) and not file.get("normalizer")
+        if not (by_rank and as_known and not model.get("ignore_merges")):
+            return None
+        ranks = {x: i for i, x in enumerate(self.a_bytes) if i not in plain}
+        return tiktoken.Encoding("a", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def a_ids(self, texts: list[str]) -> list[list[int]]:
+        """A ids of each text."""
+        slow = [i for i, x in enumerate(texts) if self._fast is None or len(x) > _SHORT or _RARE.search(x)]
+        out = [[]] * len(texts)
+        for i, x in zip(slow, self._a.encode_batch([texts[i] for i in slow], add_special_tokens=False)):
+            out[i] = x.ids
+        left = set(slow)
+        for i, x in enumerate(texts):
+            if i not in left:
+                out[i] = self._fast.encode_ordinary(x)
+        return out
+
     def parts(self, text: str) -> Iterator[str]:
         at = 0
         while self.may_cut and len(text) - at > AT_ONCE and (m := _CUT.search(text, at + AT_ONCE)):
@@ -101,7 +138,7 @@ class Coder:
                 own = list(self.parts(t))
                 parts += own
                 of += [i] * len(own)
-        a = [x.ids for x in self._a.encode_batch([" " + x for x in parts], add_special_tokens=False)] if parts else []
+        a = self.a_ids([" " + x for x in parts])
         b = self._b.encode(parts, num_threads=1) if parts else []
         a_get, b_get = self.a_bytes.__getitem__, self.b_bytes.__getitem__
         bad = set()
@@ -110,7 +147,7 @@ class Coder:
             if b"".join(map(a_get, x)) != want or b"".join(map(b_get, y)) != want:
                 bad.add(i)
         kept = [k for k, i in enumerate(of) if i not in bad]
-        flat = lambda ids: np.array([t for k in kept for t in ids[k]], np.int64)
+        flat = lambda ids: np.fromiter(chain.from_iterable(ids[k] for k in kept), np.int64)
         many = lambda ids: np.bincount([of[k] for k in kept], [len(ids[k]) for k in kept], len(texts)).astype(np.int64)
         if not kept:
             none = np.zeros(len(texts), np.int64)
@@ -170,7 +207,7 @@ class Chunk(NamedTuple):
     def first_of_group(self) -> np.ndarray:
         return np.flatnonzero(np.diff(self.a_group, prepend=-1))
 
-    def digests(self) -> list[str]:
+    def digests(self, code: Coder) -> list[str]:
         """SHA-256 of ``a1,a2|b1;a3|b2`` for each document; without tokens empty."""
         groups = int(self.a_group[-1]) + 1 if len(self.a) else 0
         in_a, in_b = np.bincount(self.a_group, minlength=groups), np.bincount(self.b_group, minlength=groups)
@@ -181,12 +218,10 @@ class Chunk(NamedTuple):
         ids[a_at], ids[b_at] = self.a, self.b
         mark[a_at[np.diff(self.a_group, append=groups) > 0]] = 1
         mark[b_at[np.diff(self.b_group, append=groups) > 0]] = 2
-        known, inverse = np.unique(ids * 3 + mark, return_inverse=True)
-        words = [b"%d%c" % (x // 3, b",|;"[x % 3]) for x in known.tolist()]
-        ends = np.cumsum(self.n_a + self.n_b).tolist()
-        get, at, out = words.__getitem__, 0, []
-        for end in ends:
-            out.append(hashlib.sha256(b"".join(map(get, inverse[at:end].tolist()))[:-1]).hexdigest() if end > at else "")
+        word = ids * 3 + mark
+        get, at, out = code.shown.__getitem__, 0, []
+        for end in np.cumsum(self.n_a + self.n_b).tolist():
+            out.append(hashlib.sha256(b"".join(map(get, word[at:end].tolist()))[:-1]).hexdigest() if end > at else "")
             at = end
         return out
 
@@ -265,7 +300,7 @@ def aligned(docs: DataFrame, files: Files, text: str = "text", key: str = "doc_i
             n_groups = np.bincount(c.per_document(c.first_of_group()), minlength=len(texts))
             n_links = np.bincount(c.per_document(c.link_a), minlength=len(texts))
             pairs, place, counts = np.unique((c.a[c.link_a] << _B_BITS) | c.b[c.link_b], return_inverse=True, return_counts=True)
-            columns = [pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in (c.n_a, c.n_b, n_groups, n_links)), pa.array(c.digests(), pa.string())]
+            columns = [pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in (c.n_a, c.n_b, n_groups, n_links)), pa.array(c.digests(code), pa.string())]
             rows = pa.StructArray.from_arrays(columns, names=names)
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             links = pa.array([pack(place.astype(np.int32).tobytes())], pa.binary())

@@ -84,6 +84,22 @@ def test_long_texts_are_cut_at_boundaries_of_both(files, monkeypatch):
         assert x.tolist() == y.tolist()
 
 
+def test_the_fast_encoder_gives_the_same_ids(files):
+    code = alignment.Coder(files)
+    assert code._fast is not None
+    slow = lambda texts: [x.ids for x in code._a.encode_batch(texts, add_special_tokens=False)]
+    texts = []
+    for c in map(chr, range(0x250)):
+        texts += [f"{x}{c}{y}" for x in ("", "a", " ", "7", "'", "\n ", "..") for y in ("", "b ", "  x", "9", "'ll", c, "\u00a0", "!")]
+    rng = np.random.default_rng(5)
+    common = list("abE  \n\t.,'79-\u00e9\u00a0\x85\x1c\u00df")
+    texts += ["".join(rng.choice(common, 30)) for _ in range(3000)] + ["a" * 3000, " " * 3000, "<|endoftext|> x"]
+    texts += [r[1] for r in HARD if r[1]]
+    assert code.a_ids(texts) == slow(texts)
+    rare = ["\u65e5\u672c", "\U0001f986 x", "\u0250", "plain", ""]
+    assert code.a_ids(rare) == slow(rare) and alignment._RARE.search(rare[2]) and not alignment._RARE.search("\u024f\x00")
+
+
 def test_coalescing_of_any_intervals():
     rng = np.random.default_rng(3)
     for _ in range(50):
