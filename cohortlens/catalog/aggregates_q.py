@@ -277,7 +277,7 @@ FROM (SELECT CAST(0 AS INTEGER) AS world, home_goals, away_goals FROM ft0
     ("u",),
 )
 def _(t):
-    worlds = bootstrap_worlds(ft_units(t).select("unit", "home_goals", "away_goals"), [F.col("unit")], _WORLDS, 7)
+    worlds = bootstrap_worlds(ft_units(t).select("unit", "home_goals", "away_goals"), ["unit"], _WORLDS, 7)
     g = (F.col("home_goals") + F.col("away_goals")).cast("double")
     w = F.col("weight")
     return worlds.groupBy("world").agg(
@@ -306,7 +306,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY league ORDER BY unit) AS i FROM
 )
 def _(t):
     out = A.convergence_checkpoints(
-        t.units(), ["league"], [F.col("unit")], [10, 100, 500],
+        t.units(), ["league"], ["unit"], [10, 100, 500],
         {
             "home_rate": F.avg((F.col("home_goals") > F.col("away_goals")).cast("double")),
             "mean_goals": F.avg((F.col("home_goals") + F.col("away_goals")).cast("double")),

@@ -63,7 +63,7 @@ def _(t):
 )
 def _(t):
     ev = t.events.select("user_id", "event_id", "ts", "value")
-    out = ordered.last_k(ev, ["user_id"], [F.col("ts"), F.col("event_id")], 5, {"last5": F.avg("value")})
+    out = ordered.last_k(ev, ["user_id"], ["ts", "event_id"], 5, {"last5": F.avg("value")})
     return out.select("user_id", "event_id", F.round(F.coalesce("last5", F.lit(6.5)), 6).alias("last5"))
 
 
@@ -251,11 +251,11 @@ def _(t):
 
 def flagged(t):
     m = t.units().where(F.col("status") != "NS").select("unit", "league", "ts", "home", "away", "home_goals", "away_goals")
-    return sequence_flag(m, ["league"], [F.col("ts"), F.col("unit")], 72)
+    return sequence_flag(m, ["league"], ["ts", "unit"], 72)
 
 
-CTE["fl"] = "SELECT * EXCLUDE (n), CAST(n>72 AS INTEGER) AS knockout FROM (SELECT *, row_number() OVER (PARTITION BY league ORDER BY ts, unit) AS n FROM u WHERE status<>'NS')"
-CTE_DEPS["fl"] = ("u",)
+CTE["flg"] = "SELECT * EXCLUDE (n), CAST(n>72 AS INTEGER) AS knockout FROM (SELECT *, row_number() OVER (PARTITION BY league ORDER BY ts, unit) AS n FROM u WHERE status<>'NS')"
+CTE_DEPS["flg"] = ("u",)
 
 
 def _fit_sql(points, hold_out: int) -> str:
@@ -263,8 +263,8 @@ def _fit_sql(points, hold_out: int) -> str:
     (cells), `tot`, and `fit` (p, alpha, hl, kind, side, v). A round of Newton steps for
     attack effects, one for defence effects, one for intercept and slope, in turn."""
     values = ", ".join(f"({p}, {a}e0, {'NULL' if h is None else f'{h}e0'})" for p, (a, h) in enumerate(points))
-    return f"""tst AS (SELECT * FROM fl ORDER BY ts DESC, unit DESC LIMIT {hold_out}),
-trn AS (SELECT * FROM fl WHERE unit NOT IN (SELECT unit FROM tst)),
+    return f"""tst AS (SELECT * FROM flg ORDER BY ts DESC, unit DESC LIMIT {hold_out}),
+trn AS (SELECT * FROM flg WHERE unit NOT IN (SELECT unit FROM tst)),
 pt(p, alpha, hl) AS (VALUES {values}),
 lr AS (SELECT ts, home AS att, away AS def, knockout AS x, home_goals AS g FROM trn UNION ALL SELECT ts, away, home, knockout, away_goals FROM trn),
 c AS (SELECT p, alpha, att, def, x, sum(w) AS w, sum(w*g) AS y FROM (
@@ -287,12 +287,12 @@ r(it, p, kind, side, v) AS (
   WHERE r.it<240),
 fit AS (SELECT r.p, alpha, hl, kind, side, v FROM r JOIN pt ON pt.p=r.p WHERE it=240),
 fr AS (SELECT m.unit, m.home_goals, m.away_goals, ic.p, ic.alpha, ic.hl, exp(ic.v+sl.v*m.knockout+coalesce(ha.v,0e0)+coalesce(ad.v,0e0)) AS lh, exp(ic.v+sl.v*m.knockout+coalesce(aa.v,0e0)+coalesce(hd.v,0e0)) AS la
-  FROM (SELECT * FROM {'tst' if hold_out else 'fl'}) m JOIN fit ic ON ic.kind='intercept' JOIN fit sl ON sl.kind='slope' AND sl.p=ic.p
+  FROM (SELECT * FROM {'tst' if hold_out else 'flg'}) m JOIN fit ic ON ic.kind='intercept' JOIN fit sl ON sl.kind='slope' AND sl.p=ic.p
   LEFT JOIN fit ha ON ha.p=ic.p AND ha.kind='attack' AND ha.side=m.home LEFT JOIN fit hd ON hd.p=ic.p AND hd.kind='defence' AND hd.side=m.home
   LEFT JOIN fit aa ON aa.p=ic.p AND aa.kind='attack' AND aa.side=m.away LEFT JOIN fit ad ON ad.p=ic.p AND ad.kind='defence' AND ad.side=m.away)"""
 
 
-@query("M12_poisson_glm", f"WITH RECURSIVE {_fit_sql([(0.1, None)], 0)} SELECT unit, round(lh,4) AS lambda_home, round(la,4) AS lambda_away FROM fr", ("fl",))
+@query("M12_poisson_glm", f"WITH RECURSIVE {_fit_sql([(0.1, None)], 0)} SELECT unit, round(lh,4) AS lambda_home, round(la,4) AS lambda_away FROM fr", ("flg",))
 def _(t):
     m = flagged(t)
     return M.glm_rates(M.poisson_glm(m, 0.1, None), m).select("unit", *[F.round(x, 4).alias(x) for x in ("lambda_home", "lambda_away")])
@@ -300,9 +300,9 @@ def _(t):
 
 @query(
     "M12_score_equations",
-    """SELECT block, side, 0e0 AS residual FROM (SELECT 'attack' AS block, CAST(home AS VARCHAR) AS side FROM fl UNION SELECT 'attack', CAST(away AS VARCHAR) FROM fl
-  UNION SELECT 'defence', CAST(home AS VARCHAR) FROM fl UNION SELECT 'defence', CAST(away AS VARCHAR) FROM fl UNION SELECT 'intercept', NULL UNION SELECT 'slope', NULL)""",
-    ("fl",),
+    """SELECT block, side, 0e0 AS residual FROM (SELECT 'attack' AS block, CAST(home AS VARCHAR) AS side FROM flg UNION SELECT 'attack', CAST(away AS VARCHAR) FROM flg
+  UNION SELECT 'defence', CAST(home AS VARCHAR) FROM flg UNION SELECT 'defence', CAST(away AS VARCHAR) FROM flg UNION SELECT 'intercept', NULL UNION SELECT 'slope', NULL)""",
+    ("flg",),
 )
 def _(t):
     m = flagged(t)
@@ -315,7 +315,7 @@ def _(t):
 SELECT alpha, hl AS half_life, count(*) AS matches, round(avg(-ln(greatest(1e-12, hit/z))),4) AS log_loss FROM (
   SELECT fr.unit, fr.p, fr.alpha, fr.hl, sum(v) AS z, sum(CASE WHEN sign(i-j)=sign(home_goals-away_goals) THEN v ELSE 0e0 END) AS hit FROM (
     SELECT fr.*, a.k AS i, b.k AS j, exp(a.k*ln(lh)-lh)/a.fk*(exp(b.k*ln(la)-la)/b.fk) AS v FROM fr, fkt a, fkt b) fr GROUP BY ALL) GROUP BY ALL""",
-    ("fl", "fkt"),
+    ("flg", "fkt"),
 )
 def _(t):
     return M.grid_tune(flagged(t), 18).select("alpha", "half_life", "matches", F.round("log_loss", 4).alias("log_loss"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ordered, sets, windows
 from ..operators.aggregates import entity_features
+from ..operators.ordered import By
 from ..operators.tables import literal_table
 from ..plans import ranking
 from .base import CTE, CTE_DEPS, query
@@ -143,8 +144,8 @@ def _(t):
 )
 def _(t):
     f = slim(t).withColumn("upper", F.round(F.col("goals_p90") + 1 / F.sqrt("minutes"), 9))
-    one = windows.order_rank(f, ["cohort"], [F.col("goals_p90").desc(), F.col("minutes").desc(), F.col("entity")], "role_rank")
-    two = windows.order_rank(one, ["cohort"], [F.col("upper").desc(), F.col("minutes").desc(), F.col("entity")], "upper_rank")
+    one = windows.order_rank(f, ["cohort"], [By("goals_p90", True), By("minutes", True), "entity"], "role_rank")
+    two = windows.order_rank(one, ["cohort"], [By("upper", True), By("minutes", True), "entity"], "upper_rank")
     return two.select("entity", "cohort", "role_rank", "upper_rank")
 
 
@@ -252,7 +253,7 @@ def _(t):
 )
 def _(t):
     rows = t.units().select("unit", "league", "season", "ts")
-    out = windows.sequence_in_group(rows, ["league", "season"], [F.col("ts"), F.col("unit")])
+    out = windows.sequence_in_group(rows, ["league", "season"], ["ts", "unit"])
     return out.select("unit", "league", "season", "seq", "group_size", "is_latest")
 
 
@@ -357,7 +358,7 @@ def _(t):
     ("w0",),
 )
 def _(t):
-    out = ordered.ecdf(slim(t), ["cohort"], "shots", [F.col("shots"), F.col("entity")])
+    out = ordered.ecdf(slim(t), ["cohort"], "shots", ["shots", "entity"])
     return out.select("entity", "cohort", "shots", F.round("cum_share", 6).alias("cum_share"))
 
 
@@ -368,7 +369,7 @@ def _(t):
 )
 def _(t):
     rows = t.units().select("unit", "league", "ts")
-    return windows.sequence_flag(rows, ["league"], [F.col("ts"), F.col("unit")], 72).select("unit", "league", "match_number", "knockout")
+    return windows.sequence_flag(rows, ["league"], ["ts", "unit"], 72).select("unit", "league", "match_number", "knockout")
 
 
 @query(

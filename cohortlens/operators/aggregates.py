@@ -190,7 +190,7 @@ def value_distribution(rows: DataFrame, group: Sequence[str], value: str) -> Dat
 
 
 def convergence_checkpoints(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], points: Sequence[int], aggs: Mapping[str, Column]
+    rows: DataFrame, keys: Sequence[str], order: ordered.Order, points: Sequence[int], aggs: Mapping[str, Column]
 ) -> DataFrame:
     """Aggregates over the first n rows for each n in ``points``. A row within the
     smallest point counts for all larger ones."""

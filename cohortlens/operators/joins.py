@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import normalise_text
-from .ordered import join_on
+from .ordered import By, Order, chunked, columns_of, join_on, row_index
 
 
 def _unique(df: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
@@ -113,7 +113,7 @@ def asof_nearest(
     hit = F.struct(rt.alias("t"), F.col(right_id).alias("id"), *[F.col(v) for v in values])
     cand = right.select(*keys, rt.alias("__t"), hit.alias("__hit"))
     both = probe.unionByName(cand, allowMissingColumns=True)
-    order = [F.col("__t"), F.col("__hit.id").asc_nulls_last(), F.col("__lid")]
+    order = [By("__t"), By("__hit.id", nulls_first=False), By("__lid")]
     return _asof_chunked(both, keys, order, left_id, values)
 
 
@@ -123,21 +123,19 @@ def _last_hit() -> Column:
     return F.max(F.when(F.col("__hit").isNotNull(), present))
 
 
-def _asof_carry(both: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def _asof_carry(both: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
     # At equal times candidates sort before probes, so "before" includes equality. The
     # search ahead runs over the reversed order: a growing frame costs one update a row.
     grow = (Window.unboundedPreceding, 0)
-    back = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*grow)
+    back = Window.partitionBy(*keys).orderBy(*columns_of(order)).rowsBetween(*grow)
     ahead = Window.partitionBy(*keys).orderBy(F.col("__t").desc(), F.col("__lid").desc()).rowsBetween(*grow)
     return both.select(
         "*", _last_hit().over(back)["h"].alias("__before"), F.min("__hit").over(ahead).alias("__after")
     )
 
 
-def _asof_chunked(both: DataFrame, keys: Sequence[str], order: Sequence[Column], left_id: str, values: Sequence[str]) -> DataFrame:
+def _asof_chunked(both: DataFrame, keys: Sequence[str], order: Order, left_id: str, values: Sequence[str]) -> DataFrame:
     """Chunks of time, each with the best candidate of the chunks before and after it."""
-    from .ordered import chunked
-
     rows = chunked(both, keys, order)
     per = rows.groupBy("__key", "__chunk").agg(_last_hit().alias("__l"), F.min("__hit").alias("__f"))
     w = Window.partitionBy("__key").orderBy("__chunk")
@@ -206,9 +204,7 @@ def combinations(spark, candidates: DataFrame, role: str, entity: str) -> DataFr
     mixed-radix digits, so the choices are generated in parallel and each digit finds its
     candidate by an equi-join; nothing is multiplied by a cross join. The number of
     combinations is the operator's own result size."""
-    from .ordered import row_index
-
-    numbered = row_index(candidates.select(role, entity).distinct(), [role], [F.col(entity)], "__d", start=0)
+    numbered = row_index(candidates.select(role, entity).distinct(), [role], [entity], "__d", start=0)
     sizes = numbered.groupBy(role).agg(F.count(F.lit(1)).alias("n")).orderBy(role).collect()  # one row per role
     total = reduce(lambda a, b: a * b, [r["n"] for r in sizes], 1)
     digits, stride = [], total

@@ -1,31 +1,70 @@
 """Ordered computations that survive a hot group.
 
-A window per group hands one whole group to one task. Here a group is cut into chunks by
-the value it is ordered by: equal widths between the group's smallest and largest value,
-so that rows, chunk totals and offsets agree without anything written in between. Totals
-of the chunks before come from one short window (a row for each chunk), and only the
-inside of a chunk is sorted. There is one plan for every size, planning runs no job, and
-null keys form a group like any other.
-
-Widths are equal in value, not in rows: where most of a group shares a small part of its
-range, that part stays one chunk. Quantiles, ranks and trimmed means collapse equal
-values to one row with a count before they are cut, so ties do not add to a chunk.
+A window per group hands one whole group to one task. Here a large group is cut into
+chunks that follow each other in its order. Where to cut is read off a sample: one row in
+1,024 by a hash of key and order values, so the number of chunks follows the size of the
+group, whatever the type of the values and however they crowd. Rows are compared with the
+cuts by all leading order columns, so ties in the first do not keep a chunk together.
+Totals of the chunks before come from one short window (a row for each chunk), and only
+the inside of a chunk is sorted.
+
+There is one plan for every size, planning runs no job, and null keys form a group like
+any other. A small group has no cuts and is one chunk. The sample is cut short, by strata
+of the hash, only where it would give a group more than ``MAX_CHUNKS`` chunks.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Chunks of a group.
-CHUNKS = 64
+#: One row in 2^SAMPLE_BITS is sampled; sampled rows of a chunk; so 65,536 rows a chunk.
+SAMPLE_BITS, PER_CHUNK = 10, 64
+#: Most chunks of a group (a power of two); strata that bound its sample.
+MAX_CHUNKS, STRATA = 4096, 1024
 #: Rows of a block in :func:`last_k`.
 BLOCK = 65_536
-_KEY, _CHUNK, _X = "__key", "__chunk", "__x"
+_KEY, _CHUNK, _MARK = "__key", "__chunk", "__mark"
+
+
+@dataclass(frozen=True)
+class By:
+    """A column of an order. Nulls stand where Spark puts them, first in a rising order
+    and last in a falling one, unless ``nulls_first`` says otherwise."""
+
+    name: str
+    falling: bool = False
+    nulls_first: bool | None = None
+
+    @property
+    def column(self) -> Column:
+        c = F.col(self.name)
+        first = not self.falling if self.nulls_first is None else self.nulls_first
+        if self.falling:
+            return c.desc_nulls_first() if first else c.desc_nulls_last()
+        return c.asc_nulls_first() if first else c.asc_nulls_last()
+
+    @property
+    def mark(self) -> list[Column]:
+        """Values whose rising order, or for a falling one its reverse, is this one's."""
+        c = F.col(self.name)
+        usual = self.nulls_first is None or self.nulls_first != self.falling
+        return [c] if usual else [c.isNull(), c]
+
+
+#: Names rise. A plain Column orders rows inside a chunk but does not tell where to cut.
+Order = Sequence["str | By | Column"]
+
+
+def _by(order: Order) -> list[By | Column]:
+    return [By(x) if isinstance(x, str) else x for x in order]
+
+
+def columns_of(order: Order) -> list[Column]:
+    return [x.column if isinstance(x, By) else x for x in _by(order)]
 
 
 def _key(keys: Sequence[str]) -> Column:
@@ -73,42 +112,58 @@ def with_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], p
     return join_on(df, quantiles(df, keys, columns, probs), keys, "left" if keys else "inner", nulls=True)
 
 
-def _axis(df: DataFrame, order: Sequence[Column]) -> tuple[Column, bool, bool]:
-    """(position of the leading order value as a double, descending, nulls first). An
-    order that does not lead with a plain number, date or time column has one chunk."""
-    m = re.fullmatch(r"Column<'`?(\w+)`?(?: (ASC|DESC)(?: NULLS (FIRST|LAST))?)?'>", str(order[0]))
-    if not m or m[1] not in df.columns:
-        return F.lit(0.0), False, True
-    kind, c, down = df.schema[m[1]].dataType, F.col(m[1]), m[2] == "DESC"
-    first = m[3] == "FIRST" if m[3] else not down
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double"), down, first
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double"), down, first
-    return (c.cast("double"), down, first) if isinstance(kind, T.NumericType) else (F.lit(0.0), False, True)
-
-
-def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def _mark(order: Order) -> tuple[Column | None, bool]:
+    """The leading columns of one direction as one value, and whether they fall."""
+    lead: list[By] = []
+    for x in _by(order):
+        if not isinstance(x, By) or lead and x.falling != lead[0].falling:
+            break
+        lead.append(x)
+    if not lead:
+        return None, False
+    parts = [c.alias(f"m{i}") for i, c in enumerate(c for x in lead for c in x.mark)]
+    return F.struct(*parts), lead[0].falling
+
+
+def _cuts(named: DataFrame) -> DataFrame:
+    """``__key``, ``__cuts``: rising first values of the chunks but the first, for groups
+    of at least two chunks."""
+    h = F.xxhash64(_KEY, _MARK)
+    drawn = named.select(_KEY, _MARK, h.alias("__h")).where(F.col("__h").bitwiseAND((1 << SAMPLE_BITS) - 1) == 0)
+    drawn = drawn.withColumn("__h", F.shiftright("__h", SAMPLE_BITS)).withColumn("__stratum", F.pmod("__h", F.lit(STRATA)))
+    few = Window.partitionBy(_KEY, "__stratum").orderBy("__h")
+    most = -(-MAX_CHUNKS * PER_CHUNK // STRATA)
+    kept = drawn.withColumn("__n", F.row_number().over(few)).where(F.col("__n") <= most)
+    # At most MAX_CHUNKS * PER_CHUNK values for each group.
+    sorted_ = kept.groupBy(_KEY).agg(F.sort_array(F.collect_list(_MARK)).alias("__s"))
+    chunks = F.least(F.floor(F.size("__s") / PER_CHUNK), F.lit(MAX_CHUNKS)).cast("int")
+    at = F.transform(F.sequence(F.lit(1), F.col("__c") - 1), lambda i: F.element_at("__s", (F.floor(i * F.size("__s") / F.col("__c")) + 1).cast("int")))
+    return sorted_.withColumn("__c", chunks).where(F.col("__c") >= 2).select(_KEY, at.alias("__cuts"))
+
+
+def chunked(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
     """``df`` with its group (``__key``) and the chunk of the group (``__chunk``); chunks
     follow each other in ``order``."""
-    x, down, first = _axis(df, order)
-    named = df.select("*", _key(keys).alias(_KEY), x.alias(_X))
-    inf = F.lit(float("inf"))
-    finite = ~F.isnan(_X) & (F.abs(F.col(_X)) < inf)
-    ends = named.groupBy(_KEY).agg(F.min(F.when(finite, F.col(_X))).alias("__lo"), F.max(F.when(finite, F.col(_X))).alias("__hi"))
-    lo, hi, v = F.col("__lo"), F.col("__hi"), F.col(_X)
-    inside = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * CHUNKS), F.lit(CHUNKS - 1))).otherwise(0).cast("int")
-    # Infinities and NaN stand beyond the finite values, as in a sort.
-    up = F.when(finite, inside).when(F.isnan(_X), CHUNKS + 1).when(v > 0, CHUNKS).otherwise(-1)
-    turned = F.lit(CHUNKS) - up if down else up
-    placed = F.when(v.isNull(), F.lit(-2 if first else CHUNKS + 2)).otherwise(turned)
-    return named.join(ends, _KEY).select(*df.columns, _KEY, placed.cast("int").alias(_CHUNK))
+    mark, falling = _mark(order)
+    named = df.withColumn(_KEY, _key(keys))
+    if mark is None:
+        return named.withColumn(_CHUNK, F.lit(0))
+    named = named.withColumn(_MARK, mark)
+    steps = []
+    while not steps or steps[-1] > 1:
+        steps.append(steps[-1] // 2 if steps else MAX_CHUNKS // 2)
+    # Cuts that a row has reached, found by halving.
+    reached = F.aggregate(
+        F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda n, x: F.when(F.get("__cuts", n + x - 1) <= F.col(_MARK), n + x).otherwise(n)
+    )
+    place = F.when(F.col("__cuts").isNull(), 0).otherwise(-reached if falling else reached)
+    return named.join(_cuts(named), _KEY, "left").select(*df.columns, _KEY, place.alias(_CHUNK))
 
 
 def prefix(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
+    order: Order,
     sums: Mapping[str, Column | str] | None = None,
     index: str | None = None,
     totals: Mapping[str, str] | None = None,
@@ -122,7 +177,7 @@ def prefix(
     named = df.select("*", *[t.alias(f"__t_{n}") for n, t in terms.items()])
     rows = chunked(named, keys, order)
     per = rows.groupBy(_KEY, _CHUNK).agg(*[F.sum(f"__t_{n}").alias(f"__s_{n}") for n in terms])
-    # At most CHUNKS + 5 rows for each group.
+    # At most MAX_CHUNKS rows for each group.
     group = Window.partitionBy(_KEY)
     before = group.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select(
@@ -130,7 +185,7 @@ def prefix(
         *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in terms],
         *[F.sum(f"__s_{n}").over(group).alias(new) for new, n in (totals or {}).items()],
     )
-    inner = Window.partitionBy(_KEY, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(_KEY, _CHUNK).orderBy(*columns_of(order)).rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.join(offsets, [_KEY, _CHUNK])
     return joined.select(
         *df.columns,
@@ -139,14 +194,14 @@ def prefix(
     )
 
 
-def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, start: int = 1) -> DataFrame:
+def row_index(df: DataFrame, keys: Sequence[str], order: Order, name: str, start: int = 1) -> DataFrame:
     """``row_number`` for groups of any size."""
     out = prefix(df, keys, order, index=name)
     return out.withColumn(name, (F.col(name) + F.lit(start)).cast("long"))
 
 
 def last_k(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, aggs: Mapping[str, Column], current: bool = False
+    df: DataFrame, keys: Sequence[str], order: Order, k: int, aggs: Mapping[str, Column], current: bool = False
 ) -> DataFrame:
     """Aggregates over the ``k`` rows before the current one, or over the last ``k``
     with it (``current``). Rows are cut into blocks by position and each block gets the
@@ -168,7 +223,7 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     ``n_before`` (rows with a smaller value) and ``n_total``. Ranks, shares, quantiles
     and trimmed means all read off these positions."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    return prefix(counts, keys, [F.col(value).asc()], sums={"n_before": "n"}, totals={"n_total": "n_before"})
+    return prefix(counts, keys, [value], sums={"n_before": "n"}, totals={"n_total": "n_before"})
 
 
 def quantiles_at(pos: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
@@ -233,7 +288,7 @@ def trimmed_mean(
     )
 
 
-def ecdf(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[Column], name: str = "cum_share") -> DataFrame:
+def ecdf(df: DataFrame, keys: Sequence[str], value: str, order: Order, name: str = "cum_share") -> DataFrame:
     """Every row with its cumulative share i/n in value order."""
     kept = df.where(F.col(value).isNotNull())
     placed = prefix(kept, keys, order, index="__i", totals={"__n": "__i"})

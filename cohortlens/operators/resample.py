@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import join_on, row_index
+from .ordered import Order, join_on, row_index
 
 #: All steps are taken modulo this prime, so that products stay within a long.
 PRIME = (1 << 31) - 1
@@ -74,7 +74,7 @@ def bootstrap_ci(
     )
 
 
-def bootstrap_worlds(rows: DataFrame, order: Sequence[Column], worlds: int, seed: int) -> DataFrame:
+def bootstrap_worlds(rows: DataFrame, order: Order, worlds: int, seed: int) -> DataFrame:
     """World 0 holds the rows as observed; each further world draws as many rows with
     replacement. Draws are counted per (world, position) before they meet the rows, so
     the rows travel once per distinct draw with their multiplicity ``weight``."""

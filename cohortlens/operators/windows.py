@@ -27,7 +27,7 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return out.withColumnRenamed("__rn", rank) if rank else out.drop("__rn")
 
 
-def order_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+def order_rank(df: DataFrame, keys: Sequence[str], order: ordered.Order, name: str) -> DataFrame:
     return ordered.row_index(df, keys, order, name)
 
 
@@ -92,7 +92,7 @@ def first_last_sample(df: DataFrame, keys: Sequence[str], order: Sequence[str])
     return picked.select(*[F.col(f"s.{x}").alias(x) for x in df.columns])
 
 
-def sequence_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def sequence_in_group(df: DataFrame, keys: Sequence[str], order: ordered.Order) -> DataFrame:
     """0-based position, group size, and whether the row is the latest."""
     placed = ordered.row_index(df, keys, order, "seq", start=0)
     out = attach_totals(placed, keys, [F.count(F.lit(1)).alias("group_size")], source=df)
@@ -192,7 +192,7 @@ def ordered_pick_list(members: DataFrame, keys: Sequence[str], entity: str, orde
     )
 
 
-def sequence_flag(df: DataFrame, keys: Sequence[str], order: Sequence[Column], after: int) -> DataFrame:
+def sequence_flag(df: DataFrame, keys: Sequence[str], order: ordered.Order, after: int) -> DataFrame:
     """Number by date inside a competition and whether it lies beyond ``after``."""
     out = ordered.row_index(df, keys, order, "match_number")
     return out.withColumn("knockout", (F.col("match_number") > after).cast("int"))

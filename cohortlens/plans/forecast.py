@@ -30,10 +30,6 @@ RHO_LIMIT = 0.2
 ORDER = ("ts", "unit")
 
 
-def _order() -> list[Column]:
-    return [F.col(x) for x in ORDER]
-
-
 # --- score matrices ------------------------------------------------------------------
 
 
@@ -135,7 +131,7 @@ def expanding_prior(matches: DataFrame) -> DataFrame:
     m = ordered.prefix(
         m,
         ["comp"],
-        _order(),
+        ORDER,
         sums={
             "prior_goals": (F.col("home_goals") + F.col("away_goals")).cast("long"),
             "prior_h": (F.col("actual") == "H").cast("long"),
@@ -148,7 +144,7 @@ def expanding_prior(matches: DataFrame) -> DataFrame:
     sides = ordered.prefix(
         sides,
         ["comp", "side"],
-        _order(),
+        ORDER,
         sums={"gf": F.col("goals_for").cast("long"), "ga": F.col("goals_against").cast("long")},
         index="games",
     )
@@ -215,7 +211,7 @@ def rho_grid_fit(df: DataFrame, minimum: int = 10) -> DataFrame:
     grid = range(RHO_GRID)
     ll = parts.select("comp", *ORDER, F.transform(F.sequence(F.lit(0), F.lit(RHO_GRID - 1)), likelihood).alias("__ll"))
     ll = ll.select("comp", *ORDER, *[F.col("__ll")[k].alias(f"__l{k}") for k in grid])
-    run = ordered.prefix(ll, ["comp"], _order(), sums={f"__s{k}": f"__l{k}" for k in grid}, index="__seen")
+    run = ordered.prefix(ll, ["comp"], ORDER, sums={f"__s{k}": f"__l{k}" for k in grid}, index="__seen")
     most = F.greatest(*[F.struct(F.round(f"__s{k}", 9).alias("ll"), F.lit(-k).alias("k")) for k in grid])
     best = run.select("comp", "unit", most.alias("__b"), "__seen")
     rho = F.when(F.col("__seen") >= minimum, -F.col("__b.k") * F.lit(step) - F.lit(RHO_LIMIT)).otherwise(0.0)
@@ -287,10 +283,10 @@ def last_form(matches: DataFrame, features: DataFrame, k: int = 5) -> DataFrame:
     sides = two_side_rows(matches, ["comp", "unit", "ts"]).select("comp", "unit", "ts", "venue", "side")
     marked = join_on(sides, features.select("unit", "side", *FORM), ["unit", "side"], "left")
     marked = cut_lineage(marked.withColumn("__has", F.col("rating").isNotNull().cast("long")))
-    counted = ordered.prefix(marked, ["comp", "side"], _order(), sums={"__seen": "__has"})
+    counted = ordered.prefix(marked, ["comp", "side"], ORDER, sums={"__seen": "__has"})
     have = marked.where(F.col("__has") == 1)
-    means = ordered.last_k(have, ["comp", "side"], _order(), k, {f"form_{n}": F.avg(n) for n in FORM}, current=True)
-    placed = ordered.row_index(means, ["comp", "side"], _order(), "__seen")
+    means = ordered.last_k(have, ["comp", "side"], ORDER, k, {f"form_{n}": F.avg(n) for n in FORM}, current=True)
+    placed = ordered.row_index(means, ["comp", "side"], ORDER, "__seen")
     state = placed.select("comp", "side", "__seen", *[f"form_{n}" for n in FORM])
     joined = join_on(counted.select("comp", "unit", "venue", "side", "__seen"), state, ["comp", "side", "__seen"], "left")
     return joined.groupBy("comp", "unit").agg(
@@ -412,7 +408,7 @@ def bootstrap_rates(matches: DataFrame, pair: tuple, glm: Mapping, worlds: int,
 
     sides = two_side_rows(matches, ["unit", "ts", "knockout"])
     games = sides.where(F.col("side").isin(*pair)).select("side", "unit", "ts", "goals_for", "goals_against")
-    placed = cut_lineage(ordered.row_index(games, ["side"], _order(), "__i", start=0))
+    placed = cut_lineage(ordered.row_index(games, ["side"], ORDER, "__i", start=0))
     sizes = placed.groupBy("side").agg(F.count(F.lit(1)).alias("__n"))
     draws = (
         join_on(placed.select("side", "__i"), sizes, ["side"])

@@ -9,7 +9,7 @@ from ..functions.scalar import clip, reason_precedence
 from ..operators import ordered
 from ..operators.aggregates import count_if, jaccard_stability
 from ..operators.joins import combinations
-from ..operators.ordered import join_on
+from ..operators.ordered import By, join_on
 from ..operators.sets import tagged_union
 from ..operators.windows import best_of_others, kth_threshold, latest_by_key, order_rank, top_n_per_group
 from ..session import cut_lineage
@@ -35,7 +35,7 @@ def selection_frontier(candidates: DataFrame) -> DataFrame:
     role_stability; one row per entity."""
     df = cut_lineage(_bounds(candidates, Z95, "lower_95", "upper_95"))
     scored = df.where(F.col("overall").isNotNull())
-    order = [F.col("conservative_score").desc(), F.col("minutes").desc(), F.col("entity")]
+    order = [By("conservative_score", True), By("minutes", True), "entity"]
     ranks = order_rank(scored.select("role", "entity", "conservative_score", "minutes"), ["role"], order, "role_rank")
     limits = kth_threshold(scored, ["role"], "lower_95", POOL, "entity")
     out = join_on(join_on(df, ranks.select("entity", "role_rank"), ["entity"], "left"), limits, ["role"], "left")
@@ -79,10 +79,10 @@ def selection_sufficiency(candidates: DataFrame, spine: DataFrame | None = None)
         & F.col("overall").isNotNull()
     )
     df = cut_lineage(df.withColumn("covered", covered).withColumn("stable", stable))
-    tail = [F.col("minutes").desc(), F.col("entity")]
-    df = ordered.row_index(df, ["role"], [F.col("conservative_score").desc_nulls_last(), *tail], "rank")
+    tail = [By("minutes", True), "entity"]
+    df = ordered.row_index(df, ["role"], [By("conservative_score", True), *tail], "rank")
     df = cut_lineage(df)
-    df = ordered.row_index(df, ["role"], [F.col("hi90").desc_nulls_last(), *tail], "urank")
+    df = ordered.row_index(df, ["role"], [By("hi90", True), *tail], "urank")
     df = cut_lineage(df)
     sizes = df.groupBy("role").agg(
         F.count(F.lit(1)).alias("eligible"),

@@ -46,6 +46,63 @@ def test_prefix_sums(spark, rows, down):
                 run, place = run + (r.v or 0.0), place + 1
 
 
+@pytest.fixture
+def tiny_chunks(monkeypatch):
+    """Chunks of some eight rows, so that small tables have many."""
+    monkeypatch.setattr(ordered, "SAMPLE_BITS", 1)
+    monkeypatch.setattr(ordered, "PER_CHUNK", 4)
+
+
+ORDERS = [
+    [ordered.By("t"), ordered.By("id")], [ordered.By("t", True), ordered.By("id", True)], [ordered.By("t", True), "id"],
+    [ordered.By("v", nulls_first=False), "t", "id"], [ordered.By("v", True, nulls_first=True), ordered.By("id", True)], [ordered.By("v", True), "id"], ["text", "id"], [ordered.By("text", True), "id"],
+]
+
+
+@pytest.mark.parametrize("order", ORDERS, ids=str)
+def test_any_order_over_many_chunks(spark, rows, tiny_chunks, order):
+    df = rows.withColumn("text", F.concat(F.lit("https://example.org/"), F.hex(F.xxhash64("t"))))
+    for keys in (["k"], []):
+        group = Window.partitionBy(*keys).orderBy(*ordered.columns_of(order))
+        want = df.withColumn("i", F.row_number().over(group).cast("long"))
+        assert sorted(map(str, ordered.row_index(df, keys, order, "i").collect())) == sorted(map(str, want.collect()))
+        assert ordered.chunked(df, keys, order).select("__key", "__chunk").distinct().count() > 20
+    sums = ordered.prefix(df, ["k"], order, sums={"s": "id"}, totals={"whole": "s"})
+    w = Window.partitionBy("k").orderBy(*ordered.columns_of(order)).rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumn("s", F.coalesce(F.sum("id").over(w), F.lit(0))).withColumn("whole", F.sum("id").over(Window.partitionBy("k")))
+    assert sorted(map(str, sums.collect())) == sorted(map(str, want.collect()))
+
+
+def test_many_chunks_of_everything_else(spark, rows, tiny_chunks, monkeypatch):
+    for check in (test_quantiles, test_ranks_keep_null_groups, test_trimmed_mean, test_no_row_is_lost, test_asof_nearest_matches_brute_force, test_planning_runs_no_job):
+        check(spark, rows)
+    test_last_k(spark, rows, True, 7, monkeypatch)
+
+
+def test_a_capped_sample_still_cuts(spark, rows, tiny_chunks, monkeypatch):
+    monkeypatch.setattr(ordered, "MAX_CHUNKS", 8)
+    monkeypatch.setattr(ordered, "STRATA", 4)
+    for order in ORDERS[:3]:
+        want = rows.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*ordered.columns_of(order))).cast("long"))
+        assert sorted(map(str, ordered.row_index(rows, [], order, "i").collect())) == sorted(map(str, want.collect()))
+        assert 2 <= ordered.chunked(rows, [], order).select("__chunk").distinct().count() <= 8
+
+
+def test_chunks_are_even_in_rows(spark):
+    """Ten million rows: 99 % of the values in 1 % of the range; ordered by text; a third
+    of the rows equal in the leading column."""
+    n = 10_000_000
+    x = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000.0
+    df = spark.range(0, n, 1, 8).select(
+        "id", F.when(F.col("id") % 100 == 0, x).otherwise(x / 100).alias("crowded"),
+        F.concat(F.lit("https://www.example.org/"), F.sha1(F.col("id").cast("string"))).alias("text"), F.when(F.col("id") % 3 == 0, 7).otherwise((x * 1000).cast("int")).alias("tied"),
+    )
+    for order in (["crowded", "id"], [ordered.By("text", True)], ["tied", "id"]):
+        sizes = [r["count"] for r in ordered.chunked(df, [], order).groupBy("__chunk").count().collect()]
+        assert sum(sizes) == n and len(sizes) > 100
+        assert max(sizes) <= 2 * n / len(sizes)
+
+
 def test_order_with_nulls_and_infinities(spark):
     values = [None, float("-inf"), -1.5, 0.0, 3.0, float("inf"), float("nan"), None, 7.0]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double")
