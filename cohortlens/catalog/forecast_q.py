@@ -152,12 +152,50 @@ def _(t):
     return M.rho_grid_fit(state).select("comp", "unit", "rho")
 
 
-@query("M7_elo_ratings")
+#: The k-th match of every competition in one round; a competition's ratings are a list.
+ELO_SQL = """
+mx AS (SELECT comp, unit, home, away, home_goals AS gh, away_goals AS ga, row_number() OVER (PARTITION BY comp ORDER BY ts, unit) AS k FROM mt),
+er(comp, k, unit, eh, ea, book) AS (
+  SELECT comp, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), 0e0, 0e0, list_transform(range(0, (SELECT max(greatest(home, away))+1 FROM mx)), lambda x: 1500e0) FROM mx GROUP BY comp
+  UNION ALL
+  SELECT comp, k, unit, h, a, list_transform(book, lambda x, i: x + CASE WHEN i=home+1 THEN d ELSE 0e0 END - CASE WHEN i=away+1 THEN d ELSE 0e0 END) FROM (
+    SELECT *, 24e0*(ln(abs(gh-ga)+1)+1e0)*(CASE WHEN gh>ga THEN 1e0 WHEN gh=ga THEN 0.5e0 ELSE 0e0 END-1e0/(1e0+power(10e0,(a-h)/400e0))) AS d FROM (
+      SELECT mx.*, er.book, er.book[home+1] AS h, er.book[away+1] AS a FROM er JOIN mx ON mx.comp=er.comp AND mx.k=er.k+1)))"""
+
+
+@query("M7_elo_ratings", f"WITH RECURSIVE {ELO_SQL} SELECT comp, unit, round(eh,6) AS elo_home, round(ea,6) AS elo_away FROM er WHERE k>0", ("mt",))
 def _(t):
     return M.elo_ratings(matches(t)).select("comp", "unit", *r6("elo_home", "elo_away"))
 
 
-@query("M8_form_logit")
+@query(
+    "M7_elo_parts",
+    """WITH RECURSIVE e AS (SELECT comp, home AS a, away AS b FROM mt UNION SELECT comp, away, home FROM mt),
+r(comp, side, o) AS (SELECT comp, a, a FROM e UNION SELECT r.comp, r.side, e.b FROM r JOIN e ON e.comp=r.comp AND e.a=r.o)
+SELECT comp, side, min(o) AS part FROM r GROUP BY ALL""",
+    ("mt",),
+)
+def _(t):
+    return M.elo_parts(matches(t))
+
+
+#: Rows of `sf` are the sides of `mt` with the means of their last five feature rows.
+_FORM_SQL = """
+fx AS (SELECT unit, side, coalesce(sum(rating*minutes)/nullif(sum(minutes),0),6.5e0) AS rating, sum(shots) AS shots, coalesce(sum(shots)/nullif(sum(10e0),0),0.75e0) AS pa FROM (
+  SELECT m.unit, CASE WHEN l_linenumber%2=1 THEN m.home ELSE m.away END AS side, round(l_discount*100) AS rating, CAST(l_quantity AS DOUBLE) AS minutes, CAST(l_linenumber AS DOUBLE) AS shots
+  FROM lineitem JOIN mt m ON l_orderkey=m.unit WHERE l_orderkey IN (SELECT unit FROM u WHERE status='FT')) GROUP BY ALL),
+sd AS (SELECT s.comp, s.unit, s.ts, s.venue, s.side, fx.rating, fx.shots, fx.pa, count(fx.rating) OVER (PARTITION BY s.comp, s.side ORDER BY s.ts, s.unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM msd s LEFT JOIN fx ON fx.unit=s.unit AND fx.side=s.side),
+fm AS (SELECT comp, side, row_number() OVER w AS i, avg(rating) OVER w5 AS rating, avg(shots) OVER w5 AS shots, avg(pa) OVER w5 AS pa FROM sd WHERE rating IS NOT NULL
+  WINDOW w AS (PARTITION BY comp, side ORDER BY ts, unit), w5 AS (PARTITION BY comp, side ORDER BY ts, unit ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+sf AS (SELECT sd.comp, sd.unit, sd.venue, coalesce(fm.rating,6.5e0) AS rating, coalesce(fm.shots,10e0) AS shots, coalesce(fm.pa,0.75e0) AS pa FROM sd LEFT JOIN fm ON fm.comp=sd.comp AND fm.side=sd.side AND fm.i=sd.seen),
+fe AS (SELECT p.comp, p.unit, (1e0+prior_d)/(prior_matches+3) AS bd, 0.0042e0*(eh-ea)+0.45e0*(h.rating-a.rating)+0.035e0*(h.shots-a.shots)+1.2e0*(h.pa-a.pa) AS edge
+  FROM pri p JOIN er ON er.unit=p.unit JOIN sf h ON h.unit=p.unit AND h.venue='home' JOIN sf a ON a.unit=p.unit AND a.venue='away'),
+fp AS (SELECT comp, unit, edge, greatest((1-dr)*wn,1e-8)/z AS fh, greatest(dr,1e-8)/z AS fd, greatest((1-dr)*(1-wn),1e-8)/z AS fa FROM (
+  SELECT *, greatest((1-dr)*wn,1e-8)+greatest(dr,1e-8)+greatest((1-dr)*(1-wn),1e-8) AS z FROM (
+    SELECT *, 1e0/(1e0+exp(-edge)) AS wn, least(greatest(bd*(0.72e0+0.55e0*exp(-abs(edge))),0.12e0),0.38e0) AS dr FROM fe)))"""
+
+
+@query("M8_form_logit", f"WITH RECURSIVE {ELO_SQL},{_FORM_SQL} SELECT comp, unit, round(edge,6) AS edge, round(fh,6) AS form_home, round(fd,6) AS form_draw, round(fa,6) AS form_away FROM fp", ("mt", "msd", "pri", "u"))
 def _(t):
     from ..session import cut_lineage
 
@@ -183,10 +221,18 @@ def _(t):
     return M.rolling_backtest(matches(t)).select("comp", "unit", "model", *r6("brier", "log_loss", "rps"), "accuracy")
 
 
-@query("M9_four_models")
+@query(
+    "M9_four_models",
+    f"""WITH RECURSIVE {ELO_SQL},{_FORM_SQL},
+b4 AS (SELECT model, brier, log_loss, rps, accuracy FROM bt UNION ALL SELECT 'transparent_form', {_SCORE} FROM (SELECT dc.actual, fh AS ph, fd AS pd, fa AS pa FROM fp JOIN dc ON dc.unit=fp.unit))
+SELECT model, count(*) AS matches, round(avg(brier),4) AS brier_score, round(avg(log_loss),4) AS log_loss, round(avg(rps),4) AS ranked_probability_score, round(avg(CASE WHEN accuracy THEN 1e0 ELSE 0e0 END),6) AS top1_accuracy,
+  round(1-avg(log_loss)/(SELECT avg(log_loss) FROM b4 WHERE model='naive_base_rate'),4) AS log_loss_skill_vs_naive FROM b4 GROUP BY model""",
+    ("mt", "msd", "pri", "u", "dc", "bt"),
+)
 def _(t):
-    out = M.rolling_backtest(matches(t), form_features(t))
-    return A.model_scores(out, "naive_base_rate").select("model", "matches", *r6("brier_score", "log_loss", "ranked_probability_score", "top1_accuracy", "log_loss_skill_vs_naive"))
+    out = A.model_scores(M.rolling_backtest(matches(t), form_features(t)), "naive_base_rate")
+    four = [F.round(x, 4).alias(x) for x in ("brier_score", "log_loss", "ranked_probability_score", "log_loss_skill_vs_naive")]
+    return out.select("model", "matches", *four, *r6("top1_accuracy"))
 
 
 EDGES = [0.0, 0.35, 0.45, 0.55, 0.65, 0.75, 1.0]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from ..streaming import streams as T
 from .base import query
-from .forecast_q import matches
+from .forecast_q import ELO_SQL, matches
 
 
 def replay(t, max_files=None, flush=False):
@@ -52,16 +52,28 @@ def _(t):
     return T.upsert_view(t.spark, path, keys, order).select("user_id", "event_type", "event_id", "attempts")
 
 
-@query("T3_stream_elo")
-def _(t):
-    path = scratch_path(t.spark, "matches")
+def matches_by_year(t, path):
+    """Matches as files of a stream, a year each and every second year before the one it
+    follows; at the end one match far ahead, of a competition of its own. The years."""
     m = matches(t).select(
         F.col("comp").cast("string").alias("comp"), "unit", F.col("ts").cast("timestamp").alias("ts"), F.col("home").cast("long").alias("home"), F.col("away").cast("long").alias("away"), "home_goals", "away_goals"
     )
-    m.withColumn("y", F.year("ts")).repartition("y").write.partitionBy("y").parquet(path)
-    # One micro-batch: files of different years carry no order of their own.
-    stream = T.stream_batches(t.spark, f"{path}/y=*", m.schema)
-    return to_table(t, T.stream_elo(stream)).select("comp", "unit", F.round("elo_home", 6).alias("elo_home"), F.round("elo_away", 6).alias("elo_away"))
+    by_year = m.withColumn("y", F.year("ts"))
+    years = sorted(r.y for r in by_year.select("y").distinct().collect())
+    for turn, i in enumerate(i ^ 1 if i ^ 1 < len(years) else i for i in range(len(years))):
+        by_year.where(F.col("y") == years[i]).drop("y").repartition(2).write.parquet(f"{path}/turn={turn:03d}")
+    last = m.agg(F.max("ts").alias("ts")).select(F.lit("~").alias("comp"), F.lit(-1).cast("long").alias("unit"), F.expr("ts + interval 10 years").alias("ts"), *[F.lit(i).cast(m.schema[n].dataType).alias(n) for i, n in enumerate(m.columns[3:])])
+    last.coalesce(1).write.parquet(f"{path}/turn=999")
+    return m.schema
+
+
+@query("T3_stream_elo", f"WITH RECURSIVE {ELO_SQL} SELECT CAST(comp AS VARCHAR) AS comp, unit, round(eh,6) AS elo_home, round(ea,6) AS elo_away FROM er WHERE k>0", ("mt",))
+def _(t):
+    path = scratch_path(t.spark, "matches")
+    schema = matches_by_year(t, path)
+    stream = T.stream_batches(T.keyed_state(t.spark), f"{path}/turn=*", schema, max_files=2)
+    out = to_table(t, T.stream_elo(stream, "731 days")).where("comp <> '~'")
+    return out.select("comp", "unit", F.round("elo_home", 6).alias("elo_home"), F.round("elo_away", 6).alias("elo_away"))
 
 
 @query(

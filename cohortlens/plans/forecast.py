@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, outcome_label
 from ..operators import ordered
+from ..operators.components import components
 from ..operators.ordered import join_on
 from ..operators.sets import two_side_rows
 from ..session import cut_lineage
@@ -238,34 +239,48 @@ def elo_folder():
             expected = 1.0 / (1.0 + 10.0 ** ((ra - rh) / scale))
             got = 1.0 if gh > ga else 0.5 if gh == ga else 0.0
             step = size * (math.log(abs(gh - ga) + 1) + 1) * (got - expected)
-            state[home], state[away] = rh + step, ra - step
+            state[home] = rh + step
+            state[away] = state.get(away, start) - step
         return out
 
     return fold
 
 
+def elo_parts(matches: DataFrame) -> DataFrame:
+    """``comp``, ``side``, ``part``: sides of a competition that are tied by matches share
+    a part. Ratings never pass from one part to another."""
+    sides = matches.select("comp", "home", "away").distinct()
+    return components(sides, ["comp"], "home", "away").withColumnsRenamed({"node": "side", "root": "part"})
+
+
 def elo_ratings(matches: DataFrame) -> DataFrame:
-    """Pre-match Elo of both sides. Each rating feeds the next, so a competition is
-    folded in order by one task; the rows stream through in Arrow batches and only the
-    ratings of the current competition are held, never its matches."""
-    cols = ["comp", "unit", "ts", "home", "away", "home_goals", "away_goals"]
+    """Pre-match Elo of both sides. Each rating feeds the next, so the matches of sides
+    that are tied to each other are folded in order by one task, those of other parts of
+    the competition by others; the rows stream through in Arrow batches and only the
+    ratings of one part are held, never its matches. A null side belongs to the part of
+    its opponent."""
     rate = elo_folder()
+    parts = elo_parts(matches)
+    at = lambda side, name: parts.select("comp", F.col("side").alias(side), F.col("part").alias(name))
+    rows = join_on(matches.select("comp", "unit", "ts", "home", "away", "home_goals", "away_goals"), at("home", "__p"), ["comp", "home"], "left", nulls=True)
+    lone = join_on(rows.where(F.col("home").isNull()).drop("__p"), at("away", "__p"), ["comp", "away"], "left", nulls=True)
+    rows = rows.where(F.col("home").isNotNull()).unionByName(lone)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        comp, state = None, {}
+        part, state = None, {}
         for pdf in batches:
             first, second = [], []
-            for c, home, away, gh, ga in zip(pdf["comp"], pdf["home"], pdf["away"], pdf["home_goals"], pdf["away_goals"]):
-                if c != comp:
-                    comp, state = c, {}
+            for c, p, home, away, gh, ga in zip(*(pdf[x] for x in ("comp", "__p", "home", "away", "home_goals", "away_goals"))):
+                if (c, p) != part:
+                    part, state = (c, p), {}
                 ((rh, ra),) = rate(state, [(home, away, gh, ga)])
                 first.append(rh)
                 second.append(ra)
             yield pd.DataFrame({"comp": pdf["comp"], "unit": pdf["unit"], "elo_home": first, "elo_away": second})
 
     kinds = dict(matches.dtypes)
-    ordered_rows = matches.select(*cols).repartition("comp").sortWithinPartitions("comp", *ORDER)
-    slim = ordered_rows.select("comp", "unit", "home", "away", "home_goals", "away_goals")
+    placed = rows.repartition("comp", "__p").sortWithinPartitions("comp", "__p", *ORDER)
+    slim = placed.select("comp", "__p", "unit", "home", "away", "home_goals", "away_goals")
     return slim.mapInPandas(fold, f"comp {kinds['comp']}, unit {kinds['unit']}, elo_home double, elo_away double")
 
 

@@ -6,14 +6,13 @@ rows, and the current state is a batch view over the log."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from ..operators.aggregates import zsum
@@ -81,45 +80,87 @@ def drop_repeats(stream: DataFrame, keys: Sequence[str], ts: str, delay: str) ->
 # --- Elo in event-time order ---------------------------------------------------------
 
 
-def stream_elo(matches: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """Pre-match ratings as a stream. A competition's state is its ratings plus the
-    matches still inside the watermark; a match leaves, in time order, once the watermark
-    has passed it. ``matches``: comp string, unit long, ts timestamp, home long, away
-    long, home_goals int, away_goals int."""
-    out = "comp string, unit long, elo_home double, elo_away double"
-    kept = "ratings string, pending string"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keyed_state(spark: SparkSession) -> SparkSession:
+    """The session with the state store that map state and timers need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return spark
+
+
+def stream_elo(matches: DataFrame, delay: str) -> DataFrame:
+    """Pre-match ratings as a stream. A competition keeps two maps: ratings by side, and
+    the matches still inside the watermark by (time, unit). One timer stands at the first
+    of them; when the watermark passes it, all matches behind the watermark leave in time
+    order and the timer moves on. Files may come out of order by up to ``delay``; a match
+    that comes later still is dropped. The last matches leave when later rows (of any
+    competition) move the watermark past them. ``matches``: comp string, unit long, ts
+    timestamp, home long, away long, home_goals int, away_goals int. See `keyed_state`."""
     rate = elo_folder()
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ratings, pending = ({}, []) if not state.exists else map(json.loads, state.get)
-        ratings = {int(k): v for k, v in ratings.items()}
-        for pdf in batches:
-            at = pdf["ts"].astype("datetime64[us]").astype("int64")
-            pending += [
-                [int(t), int(u), int(h), int(a), int(gh), int(ga)]
-                for t, u, h, a, gh, ga in zip(at, pdf["unit"], pdf["home"], pdf["away"], pdf["home_goals"], pdf["away_goals"])
-            ]
-        mark = state.getCurrentWatermarkMs() * 1000
-        ready = sorted(p for p in pending if p[0] <= mark)
-        pending = [p for p in pending if p[0] > mark]
-        folded = rate(ratings, [(p[2], p[3], p[4], p[5]) for p in ready])
-        state.update((json.dumps(ratings), json.dumps(pending)))
-        if pending:
-            state.setTimeoutTimestamp(max(mark // 1000 + 1, min(p[0] for p in pending) // 1000))
-        if ready:
-            yield pd.DataFrame(
-                {
-                    "comp": [key[0]] * len(ready),
-                    "unit": [p[1] for p in ready],
-                    "elo_home": [x[0] for x in folded],
-                    "elo_away": [x[1] for x in folded],
-                }
-            )
+    class Elo(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.ratings = handle.getMapState("ratings", "side long", "rating double")
+            self.pending = handle.getMapState("pending", "at long, unit long", "home long, away long, home_goals int, away_goals int")
+            self.first = handle.getValueState("first", "at long")
+
+        def _wait(self, at: int) -> None:
+            """One timer, at the first pending match (microseconds)."""
+            now = self.first.get()[0] if self.first.exists() else None
+            if now is None or at < now:
+                if now is not None:
+                    self.handle.deleteTimer(now // 1000)
+                self.handle.registerTimer(at // 1000)
+                self.first.update((at,))
+
+        def handleInputRows(self, key, rows, timerValues):
+            for pdf in rows:
+                at = pdf["ts"].astype("datetime64[us]").astype("int64")
+                for t, u, *match in zip(at, pdf["unit"], pdf["home"], pdf["away"], pdf["home_goals"], pdf["away_goals"]):
+                    self.pending.updateValue((int(t), int(u)), tuple(int(x) for x in match))
+                if len(pdf):
+                    self._wait(int(at.min()))
+            yield pd.DataFrame({"comp": [], "unit": [], "elo_home": [], "elo_away": []}).astype({"comp": str, "unit": "int64"})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            mark = timerValues.getCurrentWatermarkInMs() * 1000
+            waiting = sorted((at, match) for at, match in self.pending.iterator())
+            ready = [x for x in waiting if x[0][0] <= mark]
+            book = _Book(self.ratings)
+            folded = rate(book, [match for _, match in ready])
+            book.store()
+            for at, _ in ready:
+                self.pending.removeKey(at)
+            self.first.clear()
+            if len(ready) < len(waiting):
+                self._wait(waiting[len(ready)][0][0])
+            yield pd.DataFrame({"comp": [key[0]] * len(ready), "unit": [at[1] for at, _ in ready], "elo_home": [x[0] for x in folded], "elo_away": [x[1] for x in folded]})
+
+        def close(self) -> None:
+            pass
+
+    class _Book(dict):
+        """Ratings read from the map state when first asked for."""
+
+        def __init__(self, state):
+            super().__init__()
+            self.state = state
+
+        def get(self, side, start):
+            if side not in self:
+                self[side] = self.state.getValue((side,))[0] if self.state.containsKey((side,)) else start
+            return self[side]
+
+        def store(self) -> None:
+            for side, rating in self.items():
+                self.state.updateValue((side,), (rating,))
 
     return (
         matches.withWatermark("ts", delay)
         .groupBy("comp")
-        .applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(Elo(), "comp string, unit long, elo_home double, elo_away double", "Append", "EventTime")
     )
 
 

@@ -42,13 +42,38 @@ def test_elo_matches_a_plain_loop(spark, matches):
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
+def test_parts_of_a_competition(spark):
+    """Two halves that never meet, a chain of sides, a side that plays itself, and a
+    competition without a name."""
+    rows = [("c", i, i // 3, i % 4, (i + 1) % 4, i % 3, i % 2) for i in range(30)] + [("c", 100 + i, i, 10 + i, 11 + i, 2, i % 4) for i in range(25)]
+    rows += [("c", 200, 1, 50, 50, 1, 0), (None, 300, 1, 1, 2, 3, 0), (None, 301, 2, 2, 1, 1, 1), ("d", 400, 1, 1, 10, 0, 0)]
+    df = spark.createDataFrame(rows, "comp string, unit long, ts long, home long, away long, home_goals int, away_goals int").repartition(5)
+    parts = {(r.comp, r.side): r.part for r in M.elo_parts(df).collect()}
+    assert {parts["c", s] for s in range(4)} == {0} and {parts["c", s] for s in range(10, 36)} == {10} and parts["c", 50] == 50
+    assert parts[None, 2] == 1 and parts["d", 10] == 1 and len(parts) == 35
+    want = {}
+    for comp in ("c", None, "d"):
+        book = {}
+        for _, u, _, h, a, gh, ga in sorted((r for r in rows if r[0] == comp), key=lambda r: (r[2], r[1])):
+            rh, ra = book.get(h, 1500.0), book.get(a, 1500.0)
+            want[u] = (rh, ra)
+            d = 24 * (math.log(abs(gh - ga) + 1) + 1) * ((gh > ga) + 0.5 * (gh == ga) - 1 / (1 + 10 ** ((ra - rh) / 400)))
+            book[h] = book.get(h, 1500.0) + d
+            book[a] = book.get(a, 1500.0) - d
+    got = {r.unit: (r.elo_home, r.elo_away) for r in M.elo_ratings(df).collect()}
+    assert got.keys() == want.keys() and all(got[u] == pytest.approx(want[u], abs=1e-9) for u in want)
+
+
 def test_streamed_elo_equals_the_batch(spark, matches):
     path = scratch_path(spark, "elo")
-    for i, part in enumerate(("unit < 21", "unit >= 21 and unit < 42", "unit >= 42")):
+    ahead = matches.limit(1).select(F.lit("~").alias("comp"), F.lit(-1).cast("long").alias("unit"), F.expr("ts + interval 1 year").alias("ts"), *matches.columns[3:])
+    # Out of order by up to eight days.
+    for i, part in enumerate(("unit >= 12 and unit < 24", "unit < 12", "unit >= 36 and unit < 48", "unit >= 24 and unit < 36", "unit >= 48")):
         matches.where(part).coalesce(1).write.parquet(f"{path}/p{i}")
-    stream = T.stream_batches(spark, f"{path}/p*", matches.schema, max_files=1)
+    ahead.coalesce(1).write.parquet(f"{path}/p9")
+    stream = T.stream_batches(T.keyed_state(spark), f"{path}/p*", matches.schema, max_files=1)
     out = scratch_path(spark, "elo-out")
-    T.drain(T.stream_elo(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "ck")))
+    T.drain(T.stream_elo(stream, "10 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "ck")))
     want = brute_elo(matches.collect())
     got = {r.unit: (r.elo_home, r.elo_away) for r in spark.read.parquet(out).collect()}
     assert got.keys() == want.keys()
