@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import normalise_text
 from ..operators import joins as J
+from ..operators.tables import literal_table
 from ..plans import context
 from .aggregates_q import WINDOWS
 from .base import CTE, CTE_DEPS, query
@@ -81,10 +82,25 @@ def _(t):
 def _(t):
     e = t.events.where(F.col("event_type") == "error").select("user_id", F.col("event_id").alias("error_id"), F.col("ts").cast("timestamp").alias("t0"))
     v = t.events.where(F.col("event_type") != "error").select("user_id", F.col("event_id").alias("other_id"), F.col("ts").cast("timestamp").alias("ts"))
-    out = J.interval_join(e, v, ["user_id"], F.col("t0"), F.col("t0") + F.make_dt_interval(hours=F.lit(4)), "ts", 4 * 3600)
+    out = J.interval_join(e, v, ["user_id"], F.col("t0"), F.col("t0") + F.make_dt_interval(hours=F.lit(4)), "ts")
     return out.select("error_id", "other_id")
 
 
+@query(
+    "J7_interval_mixed",
+    """SELECT e.event_id AS error_id, count(*) AS n, min(v.event_id) AS first_id, CAST(sum(v.event_id) AS BIGINT) AS id_sum FROM events e JOIN events v ON e.user_id=v.user_id AND v.event_type<>'error'
+  AND v.ts BETWEEN e.ts AND e.ts + CASE e.event_id%5 WHEN 0 THEN INTERVAL 1 MINUTE WHEN 1 THEN INTERVAL 4 HOUR WHEN 2 THEN INTERVAL 9 DAY WHEN 3 THEN INTERVAL 200 DAY ELSE INTERVAL 3650 DAY END
+WHERE e.event_type='error' GROUP BY e.event_id""",
+)
+def _(t):
+    # Intervals of a minute to ten years in one join.
+    hours = F.element_at(F.array(*[F.lit(x) for x in (1 / 60, 4.0, 216.0, 4800.0, 87600.0)]), (F.col("error_id") % 5 + 1).cast("int"))
+    e = t.events.where(F.col("event_type") == "error").select("user_id", F.col("event_id").alias("error_id"), F.col("ts").cast("timestamp").alias("t0"))
+    v = t.events.where(F.col("event_type") != "error").select("user_id", F.col("event_id").alias("other_id"), F.col("ts").cast("timestamp").alias("ts"))
+    out = J.interval_join(e, v, ["user_id"], F.col("t0"), F.col("t0") + F.make_dt_interval(secs=F.round(hours * 3600, 6).cast("decimal(18,6)")), "ts")
+    return out.groupBy("error_id").agg(F.count(F.lit(1)).alias("n"), F.min("other_id").alias("first_id"), F.sum("other_id").alias("id_sum"))
+
+
 @query(
     "J8_asof_nearest",
     """SELECT purchase_id, right_id, round(value,6) AS value FROM (
@@ -108,7 +124,23 @@ ALIASES = [("red", "RED"), ("red bolt", "RED_BOLT"), ("bolt", "BOLT"), ("small",
     + ") v(alias,label) ON contains(p_name, alias) GROUP BY ALL",
 )
 def _(t):
-    return J.longest_alias_match(t.part, "p_name", "p_partkey", ALIASES)
+    registry = literal_table(t.spark, [("alias", "string"), ("label", "string")], ALIASES)
+    return J.longest_alias_match(t.part, "p_name", "p_partkey", registry)
+
+
+@query(
+    "J9_alias_registry",
+    """WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part),
+reg AS (SELECT DISTINCT alias, replace(upper(alias), ' ', '_') AS label FROM (SELECT w[1]||' '||w[2] AS alias FROM w WHERE p_partkey%2=0 UNION ALL SELECT w[2] FROM w WHERE p_partkey%3=0) WHERE alias IS NOT NULL)
+SELECT p_partkey, p_name, arg_min(label, (-length(alias), alias)) AS match FROM part LEFT JOIN reg ON contains(p_name, alias) GROUP BY ALL""",
+)
+def _(t):
+    # The registry is a table: pairs of words of even parts, second words of every third.
+    words = F.split("p_name", " ")
+    two = t.part.where(F.col("p_partkey") % 2 == 0).select(F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))).alias("alias"))
+    one = t.part.where(F.col("p_partkey") % 3 == 0).select(F.get(words, F.lit(1)).alias("alias"))
+    registry = two.unionAll(one).distinct().withColumn("label", F.replace(F.upper("alias"), F.lit(" "), F.lit("_")))
+    return J.longest_alias_match(t.part, "p_name", "p_partkey", registry)
 
 
 @query(

@@ -78,20 +78,31 @@ def exclude_done(rows: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataF
     return rows.join(done.select(*keys), list(keys), "left_anti")
 
 
-def interval_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], start: Column, end: Column, ts: str, bucket_seconds: int
-) -> DataFrame:
+#: Least length of a cell, 2^20 microseconds: shorter intervals share a level.
+_LEAST_LEVEL = 20
+
+
+def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], start: Column, end: Column, ts: str) -> DataFrame:
     """Rows of ``right`` whose time lies in [start, end] of the left row, on equal keys.
-    Both sides meet on (keys, time bucket): a left row is copied into the few buckets
-    its interval can touch, a right row sits in exactly one, so a pair is met once and a
-    hot key is spread over its buckets. Buckets come from each row's own bounds, so long
-    intervals stay whole."""
-    b0 = F.floor(F.unix_seconds(start) / bucket_seconds)
-    b1 = F.floor(F.unix_seconds(end) / bucket_seconds)
-    lhs = left.select("*", start.alias("__s"), end.alias("__e")).withColumn("__b", F.explode(F.sequence(b0, b1)))
-    rhs = right.withColumn("__b", F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / bucket_seconds))
-    joined = lhs.join(rhs, [*keys, "__b"])
-    return joined.where((F.col(ts) >= F.col("__s")) & (F.col(ts) <= F.col("__e"))).drop("__b", "__s", "__e")
+
+    Time is cut into aligned cells of every power of two. An interval lies in the one or
+    two cells of the first level whose cells are as long as it is, so a left row is copied
+    twice at most, whatever its length; a right row has a key on each level that intervals
+    use, which are as many as the logarithm of the longest over the shortest. A pair meets
+    once, candidates are at most some four times the pairs, and large cells of a hot key
+    are split by the join. Intervals that end before they start meet nothing."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    timed = left.withColumn("__s", micros(start)).withColumn("__e", micros(end)).where(F.col("__e") >= F.col("__s"))
+    level = F.greatest(F.length(F.bin(F.col("__e") - F.col("__s"))), F.lit(_LEAST_LEVEL))
+    timed = timed.withColumn("__level", level)
+    cell = lambda c: F.expr(f"shiftright({c}, __level)")
+    lhs = timed.withColumn("__cell", F.explode(F.array_distinct(F.array(cell("__s"), cell("__e")))))
+    # A single row of some forty values at most.
+    used = timed.agg(F.collect_set("__level").alias("__levels"))
+    rhs = join_on(right.withColumn("__t", micros(F.col(ts))), used, []).withColumn("__level", F.explode("__levels")).drop("__levels")
+    joined = lhs.join(rhs.withColumn("__cell", cell("__t")), [*keys, "__level", "__cell"])
+    kept = joined.where((F.col("__t") >= F.col("__s")) & (F.col("__t") <= F.col("__e")))
+    return kept.drop("__s", "__e", "__t", "__level", "__cell")
 
 
 def asof_nearest(
@@ -170,13 +181,33 @@ def _asof_pick(carried: DataFrame, keys: Sequence[str], left_id: str, values: Se
     )
 
 
-def longest_alias_match(texts: DataFrame, text: str, key: str, aliases: Sequence[tuple[str, str]]) -> DataFrame:
-    """Label whose longest alias occurs in the text. The registry is a literal list, so
-    the match is one expression per row and needs no join."""
-    by_length = sorted(aliases, key=lambda a: (-len(a[0]), a[0]))
-    hay = F.lower(F.col(text))
-    tests = [F.when(hay.contains(a.lower()), F.lit(label)) for a, label in by_length]
-    return texts.select(key, text, F.coalesce(*tests).alias("match"))
+#: Letters of a text whose windows are made in one row.
+_STRETCH = 2048
+
+
+def longest_alias_match(texts: DataFrame, text: str, key: str, registry: DataFrame, alias: str = "alias", label: str = "label") -> DataFrame:
+    """``key``, ``text``, ``match``: the label of the longest alias of ``registry`` that
+    occurs in the text in any case; among the longest the smaller alias, then the smaller
+    label; null if none does or the text is null.
+
+    The windows of a text, one for each place and each length that an alias has, meet the
+    aliases in an equi-join, so the work does not grow with the number of aliases. Equal
+    texts are looked up once; long ones are cut into stretches that overlap by the longest
+    alias less one letter. Empty and null aliases match nothing."""
+    known = registry.select(F.lower(alias).alias("__w"), F.col(label).alias("__label")).where(F.length("__w") > 0)
+    known = known.groupBy("__w").agg(F.min("__label").alias("__label"))
+    # A single row: the lengths of aliases.
+    lengths = known.agg(F.collect_set(F.length("__w")).alias("__lens"), F.max(F.length("__w")).alias("__most"))
+    hay = join_on(texts.select(F.lower(text).alias("__text")).where(F.length("__text") > 0).distinct(), lengths, []).where(F.col("__most").isNotNull())
+    begins = F.sequence(F.lit(1), F.length("__text"), F.lit(_STRETCH))
+    part = hay.withColumn("__at", F.explode(begins)).withColumn("__part", F.expr(f"substring(__text, __at, {_STRETCH} + __most - 1)"))
+    size = F.length("__part")
+    places = lambda n: F.transform(F.sequence(F.lit(1), F.least(F.lit(_STRETCH), size - n + 1)), lambda p: F.substring(F.col("__part"), p, n))
+    words = F.flatten(F.transform("__lens", lambda n: F.when(n <= size, places(n)).otherwise(F.array().cast("array<string>"))))
+    windows = part.select(F.xxhash64("__text").alias("__h"), "__text", F.explode(F.array_distinct(words)).alias("__w"))
+    best = F.min_by("__label", F.struct((-F.length("__w")).alias("n"), F.col("__w"))).alias("match")
+    found = windows.select("__h", "__w").join(known, "__w").groupBy("__h").agg(best)
+    return texts.withColumn("__h", F.xxhash64(F.lower(text))).join(found, "__h", "left").select(key, text, "match")
 
 
 def best_candidate(rows: DataFrame, keys: Sequence[str], score: Sequence[Column], tie: str) -> DataFrame:

@@ -80,7 +80,7 @@ def pre_window(units: DataFrame, hours: DataFrame, place: str = "place", hours_b
     each = hours.groupBy(place, "time").agg(
         F.sum("temperature").alias("ts"), F.count("temperature").alias("tn"), F.max("temperature").alias("tx"), F.sum("rain").alias("rs")
     )
-    hits = interval_join(units.select("unit", place, "kickoff"), each, [place], start, kick, "time", 3600)
+    hits = interval_join(units.select("unit", place, "kickoff"), each, [place], start, kick, "time")
     return hits.groupBy("unit").agg(
         (F.sum("ts") / F.sum("tn")).alias("pre_temperature_mean"), F.sum("rs").alias("pre_rain_sum"), F.max("tx").alias("pre_temperature_max")
     )
