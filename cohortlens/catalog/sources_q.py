@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.windows import latest_by_key
 from ..session import scratch_path
 from ..sources import io
+from ..sources.ledger import Ledger
 from .base import query
 
 
@@ -185,10 +185,10 @@ def _(t):
     order = [F.col(x).desc() for x in ("l_shipdate", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey", "l_extendedprice")]
     rows = t.lineitem.select(*cols)
     retry = F.col("l_returnflag") == "N"
-    first = rows.where(F.col("l_linestatus") == "F")
-    ledger = latest_by_key(first.where(~retry), ["l_orderkey"], order)
-    io.append_batch(ledger, path)
-    out = io.upsert_ledger(t.spark.read.parquet(path), rows.where(F.col("l_linestatus") == "O"), ["l_orderkey"], order, retry)
-    return out.select(
+    ledger = Ledger(path, ("l_orderkey",), tuple(order), 16)
+    ledger.apply(rows.where(F.col("l_linestatus") == "F"), retry, 0)
+    for _ in range(2):  # the second batch comes twice
+        ledger.apply(rows.where(F.col("l_linestatus") == "O"), retry, 1)
+    return ledger.rows(t.spark).select(
         F.col("l_orderkey").alias("unit"), F.col("l_shipdate").alias("updated"), F.col("l_quantity").alias("minutes"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("line")
     )

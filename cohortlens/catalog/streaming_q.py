@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sources.ledger import Ledger
 from ..streaming import streams as T
 from .base import query
 from .forecast_q import ELO_SQL, matches
@@ -48,8 +49,9 @@ def _(t):
     path = scratch_path(t.spark, "upsert")
     keys, order = ["user_id", "event_type"], [F.col("ts").desc(), F.col("event_id").desc()]
     stream = replay(t, max_files=8).select("user_id", "event_type", "event_id", "ts", "value")
-    T.drain(T.stream_upsert(stream, keys, order, F.col("value") < 10, path, scratch_path(t.spark, "ckpt")))
-    return T.upsert_view(t.spark, path, keys, order).select("user_id", "event_type", "event_id", "attempts")
+    ledger = Ledger(path, tuple(keys), tuple(order), 16)
+    T.drain(T.stream_upsert(stream, ledger, F.col("value") < 10, scratch_path(t.spark, "ckpt")))
+    return ledger.rows(t.spark).select("user_id", "event_type", "event_id", "attempts")
 
 
 def matches_by_year(t, path):

@@ -73,3 +73,10 @@ def discard(*written: DataFrame | None) -> None:
             context = df.sparkSession.sparkContext
             path = context._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    context = spark.sparkContext
+    name = context._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(context._jsc.hadoopConfiguration()).exists(name)

@@ -16,8 +16,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from ..operators.aggregates import zsum
-from ..operators.windows import latest_by_key
 from ..plans.forecast import elo_folder
+from ..sources.ledger import Ledger
 
 
 def stream_batches(
@@ -46,27 +46,16 @@ def drain(writer) -> StreamingQuery:
 # --- latest row per key --------------------------------------------------------------
 
 
-def stream_upsert(stream: DataFrame, keys: Sequence[str], order: Sequence[Column], retryable: Column, path: str, checkpoint: str):
-    """Writer whose log holds the latest durable row of each key per batch. Retryable
-    rows do not enter but are counted in ``attempts``."""
+def stream_upsert(stream: DataFrame, ledger: Ledger, retryable: Column, checkpoint: str):
+    """Writer that puts each micro-batch into the ledger; a batch that Spark repeats after
+    a failure changes nothing. Retryable rows are counted but never replace a row."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        tries = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("attempts"))
-        durable = latest_by_key(batch.where(~retryable), keys, order)
-        _write_part(durable.drop("attempts"), f"{path}/rows", batch_id)
-        _write_part(tries, f"{path}/attempts", batch_id)
+        ledger.apply(batch, retryable, batch_id)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 
-def upsert_view(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Current row per key, with the number of attempts seen."""
-    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows/*")
-    tries = spark.read.option("basePath", f"{path}/attempts").parquet(f"{path}/attempts/*")
-    latest = latest_by_key(rows, keys, [*order, F.col("batch").desc()]).drop("batch")
-    return latest.join(tries.groupBy(*keys).agg(F.sum("attempts").alias("attempts")), list(keys))
-
-
 def within_attempts(view: DataFrame, limit: int) -> DataFrame:
     """Keys that may still be asked for again."""
     return view.where(F.col("attempts") < limit)
