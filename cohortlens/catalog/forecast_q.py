@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import ordered
+from ..operators.resample import scatter_sql
 from ..operators.windows import sequence_flag
 from ..plans import forecast as M
 from ..plans import goals_glm
@@ -304,17 +305,23 @@ CTE["flg"] = "SELECT * EXCLUDE (n), CAST(n>72 AS INTEGER) AS knockout FROM (SELE
 CTE_DEPS["flg"] = ("u",)
 
 
-def _fit_sql(points, hold_out: int) -> str:
+def _fit_sql(points, hold_out: int, refit: bool = False) -> str:
     """CTEs for the fit of ``points`` on all but the last ``hold_out`` matches: `tst`, `c`
     (cells), `tot`, and `fit` (p, alpha, hl, kind, side, v). A round of Newton steps for
-    attack effects, one for defence effects, one for intercept and slope, in turn."""
-    values = ", ".join(f"({p}, {a}e0, {'NULL' if h is None else f'{h}e0'})" for p, (a, h) in enumerate(points))
+    attack effects, one for defence effects, one for intercept and slope, in turn. With
+    ``refit`` point p + the number of points is p on all matches."""
+    rows = [(p + z * len(points), a, h, z) for z in range(1 + refit) for p, (a, h) in enumerate(points)]
+    values = ", ".join(f"({p}, {a}e0, {'NULL' if h is None else f'{h}e0'}, {z})" for p, a, h, z in rows)
+    sides = " UNION ALL ".join(
+        f"SELECT {z} AS z, (SELECT max(ts) FROM {m}) AS mx, ts, home AS att, away AS def, knockout AS x, home_goals AS g FROM {m} UNION ALL SELECT {z}, (SELECT max(ts) FROM {m}), ts, away, home, knockout, away_goals FROM {m}"
+        for z, m in enumerate(["trn", "flg"][: 1 + refit])
+    )
     return f"""tst AS (SELECT * FROM flg ORDER BY ts DESC, unit DESC LIMIT {hold_out}),
 trn AS (SELECT * FROM flg WHERE unit NOT IN (SELECT unit FROM tst)),
-pt(p, alpha, hl) AS (VALUES {values}),
-lr AS (SELECT ts, home AS att, away AS def, knockout AS x, home_goals AS g FROM trn UNION ALL SELECT ts, away, home, knockout, away_goals FROM trn),
+pt(p, alpha, hl, z) AS (VALUES {values}),
+lr AS ({sides}),
 c AS (SELECT p, alpha, att, def, x, sum(w) AS w, sum(w*g) AS y FROM (
-  SELECT *, CASE WHEN hl IS NULL THEN 1e0 ELSE power(0.5e0, (epoch((SELECT max(ts) FROM trn))-epoch(ts))/86400e0/hl) END AS w FROM lr, pt) WHERE w>0 GROUP BY ALL),
+  SELECT *, CASE WHEN hl IS NULL THEN 1e0 ELSE power(0.5e0, (epoch(mx)-epoch(ts))/86400e0/hl) END AS w FROM lr JOIN pt ON pt.z=lr.z) WHERE w>0 GROUP BY ALL),
 tot AS (SELECT p, alpha, sum(w) AS ww, sum(y) AS yy, sum(y*x) AS yx FROM c GROUP BY ALL),
 r(it, p, kind, side, v) AS (
   SELECT 0, p, 'attack', att, 0e0 FROM c GROUP BY ALL UNION ALL SELECT 0, p, 'defence', def, 0e0 FROM c GROUP BY ALL
@@ -355,20 +362,38 @@ def _(t):
     return goals_glm.score_equations(M.poisson_glm(m, 0.1, None), m).select("block", "side", (F.round("residual", 6) + 0.0).alias("residual"))
 
 
-@query(
-    "M13_grid_tune",
-    f"""WITH RECURSIVE {_fit_sql(M.grid_points(), 18)}
-SELECT alpha, hl AS half_life, count(*) AS matches, round(avg(-ln(greatest(1e-12, hit/z))),4) AS log_loss FROM (
+_LOSS_SQL = """ls AS (SELECT p, alpha, hl AS half_life, count(*) AS matches, avg(-ln(greatest(1e-12, hit/z))) AS log_loss FROM (
   SELECT fr.unit, fr.p, fr.alpha, fr.hl, sum(v) AS z, sum(CASE WHEN sign(i-j)=sign(home_goals-away_goals) THEN v ELSE 0e0 END) AS hit FROM (
-    SELECT fr.*, a.k AS i, b.k AS j, exp(a.k*ln(lh)-lh)/a.fk*(exp(b.k*ln(la)-la)/b.fk) AS v FROM fr, fkt a, fkt b) fr GROUP BY ALL) GROUP BY ALL""",
-    ("flg", "fkt"),
-)
+    SELECT fr.*, a.k AS i, b.k AS j, exp(a.k*ln(lh)-lh)/a.fk*(exp(b.k*ln(la)-la)/b.fk) AS v FROM fr, fkt a, fkt b) fr GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query("M13_grid_tune", f"WITH RECURSIVE {_fit_sql(M.grid_points(), 18)}, {_LOSS_SQL} SELECT alpha, half_life, matches, round(log_loss,4) AS log_loss FROM ls", ("flg", "fkt"))
 def _(t):
     return M.grid_tune(flagged(t), 18).select("alpha", "half_life", "matches", F.round("log_loss", 4).alias("log_loss"))
 
 
-@query("M14_bootstrap_rates")
+_GAMES = "SELECT side, g, h, row_number() OVER (PARTITION BY side ORDER BY ts, unit)-1 AS i, count(*) OVER (PARTITION BY side) AS n FROM (SELECT home AS side, home_goals AS g, away_goals AS h, ts, unit FROM flg UNION ALL SELECT away, away_goals, home_goals, ts, unit FROM flg) WHERE side IN (3, 7)"
+_DRAWS = scatter_sql("SELECT side, i, n, unnest(range(1, 201)) AS world FROM gm", 11, "world*65537+side", "i")
+
+
+@query(
+    "M14_bootstrap_rates",
+    f"""WITH RECURSIVE {_fit_sql(M.grid_points(), 18, refit=True)}, {_LOSS_SQL},
+best AS (SELECT p+{len(M.grid_points())} AS p FROM ls WHERE p<{len(M.grid_points())} ORDER BY log_loss, alpha, half_life NULLS LAST LIMIT 1),
+pr AS (SELECT s.side, exp(ic.v+sl.v+a.v+d.v) AS glm FROM (VALUES (3, 7), (7, 3)) s(side, other) JOIN best ON true JOIN fit ic ON ic.p=best.p AND ic.kind='intercept' JOIN fit sl ON sl.p=best.p AND sl.kind='slope'
+  JOIN fit a ON a.p=best.p AND a.kind='attack' AND a.side=s.side JOIN fit d ON d.p=best.p AND d.kind='defence' AND d.side=s.other),
+gl AS (SELECT sum(home_goals+away_goals)*1e0/(2*count(*)) AS gr, (sum(home_goals+away_goals) FILTER (knockout=1)*1e0/(2*count(*) FILTER (knockout=1)))/(sum(home_goals+away_goals) FILTER (knockout=0)*1e0/(2*count(*) FILTER (knockout=0))) AS ko FROM flg),
+gm AS ({_GAMES}),
+dr AS (SELECT x.world, x.side, count(*) AS n, sum(gm.g) AS gf, sum(gm.h) AS ga FROM (SELECT world, side, d % n AS j FROM ({_DRAWS})) x JOIN gm ON gm.side=x.side AND gm.i=x.j GROUP BY ALL),
+rt2 AS (SELECT world, side, gr, ko, (gf+4e0*gr)/(n+4e0) AS att, (ga+4e0*gr)/(n+4e0) AS def FROM dr, gl),
+wr AS (SELECT a.side, exp(0.72e0*ln(glm)+0.28e0*ln(a.att*b.def/a.gr*a.ko)) AS rate FROM rt2 a JOIN rt2 b ON a.world=b.world AND a.side<>b.side JOIN pr ON pr.side=a.side)
+SELECT side, round(quantile_cont(rate,0.025),6) AS rate_low, round(quantile_cont(rate,0.5),6) AS rate_mid, round(quantile_cont(rate,0.975),6) AS rate_high FROM wr GROUP BY side""",
+    ("flg", "fkt"),
+)
 def _(t):
-    out = M.bootstrap_rates(flagged(t), (3, 7), {3: 1.4, 7: 1.2}, 200, 11)
+    from ..session import cut_lineage
+
+    m = cut_lineage(flagged(t))
+    out = M.bootstrap_rates(m, (3, 7), M.final_rates(m, (3, 7)), 200, 11)
     q = ordered.quantiles(out, ["side"], ["rate"], {"low": 0.025, "mid": 0.5, "high": 0.975})
     return q.select("side", *r6("rate_low", "rate_mid", "rate_high"))

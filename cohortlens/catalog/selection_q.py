@@ -206,7 +206,14 @@ def _(t):
     return core.select("role", "entity", "candidates", "invariant")
 
 
-@query("K27_combinations")
+@query(
+    "K27_combinations",
+    """WITH c AS (SELECT role, entity, row_number() OVER (PARTITION BY role ORDER BY entity)-1 AS d, count(*) OVER (PARTITION BY role) AS n FROM (SELECT DISTINCT role, entity FROM mm WHERE r=1)),
+s AS (SELECT role, max(n) AS n, row_number() OVER (ORDER BY role) AS k FROM c GROUP BY role),
+t AS (SELECT a.role, a.n, CAST(coalesce(product(b.n),1) AS BIGINT) AS stride FROM s a LEFT JOIN s b ON b.k>a.k GROUP BY ALL)
+SELECT id+1 AS combination, t.role, c.entity FROM (SELECT unnest(range(0, (SELECT CAST(product(n) AS BIGINT) FROM s))) AS id), t JOIN c ON c.role=t.role AND c.d=(id//stride)%t.n""",
+    ("mm",),
+)
 def _(t):
     scores = S.missingness_scores(mb_players(t))
     return S.identified_set(S.scenario_members(scores, 1))[1]

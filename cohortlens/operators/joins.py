@@ -5,7 +5,6 @@ Sides are never assumed small; the optimizer broadcasts what it can prove small.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -229,25 +228,31 @@ def alias_join(rows: DataFrame, text: str, registry: DataFrame, alias: str, labe
     return rows.withColumn("__k", normalise_text(text)).join(one, "__k", "left").drop("__k")
 
 
+#: Runs into which the numbers of all combinations are cut.
+_RUNS = 1024
+
+
 def combinations(spark, candidates: DataFrame, role: str, entity: str) -> DataFrame:
     """Every choice of one candidate per role, numbered lexicographically by (role,
     entity), long form (combination, role, entity). The combination number is decoded as
     mixed-radix digits, so the choices are generated in parallel and each digit finds its
-    candidate by an equi-join; nothing is multiplied by a cross join. The number of
-    combinations is the operator's own result size."""
+    candidate by an equi-join; nothing is multiplied by a cross join and planning runs no
+    job. The number of combinations is the operator's own result size. No candidates: no
+    combinations."""
     numbered = row_index(candidates.select(role, entity).distinct(), [role], [entity], "__d", start=0)
-    sizes = numbered.groupBy(role).agg(F.count(F.lit(1)).alias("n")).orderBy(role).collect()  # one row per role
-    total = reduce(lambda a, b: a * b, [r["n"] for r in sizes], 1)
-    digits, stride = [], total
-    for r in sizes:
-        stride //= r["n"]
-        digit = F.floor(F.col("id") / F.lit(stride)) % F.lit(r["n"])
-        digits.append(F.struct(F.lit(r[role]).alias(role), digit.cast("long").alias("__d")))
-    ids = spark.range(total if sizes else 0)
-    long = ids.select((F.col("id") + 1).alias("combination"), F.explode(F.array(*digits)).alias("x"))
-    return long.select("combination", f"x.{role}", "x.__d").join(numbered, [role, "__d"]).select(
-        "combination", role, entity
-    )
+    sizes = numbered.groupBy(role).agg(F.count(F.lit(1)).alias("n"))
+    # A single row: (role, n) of every role, in order.
+    one = sizes.agg(F.array_sort(F.collect_list(F.struct(F.col(role).alias("role"), "n"))).alias("__s"))
+    times = lambda xs: F.aggregate(xs, F.lit(1).cast("long"), lambda acc, x: acc * x["n"])
+    runs = join_on(spark.range(0, _RUNS, 1, 64), one, []).where(F.size("__s") > 0).withColumn("__total", times(F.col("__s")))
+    each, more = F.expr(f"__total div {_RUNS}"), F.col("__total") % _RUNS
+    first = each * F.col("id") + F.least(F.col("id"), more)
+    length = each + (F.col("id") < more).cast("long")
+    ids = runs.withColumn("__first", first).withColumn("__n", length).where(F.col("__n") > 0).select("__s", F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col("__n") - 1)).alias("__id"))
+    digit = lambda x, k: F.floor(F.col("__id") / times(F.slice("__s", k + 2, F.size("__s")))) % x["n"]
+    digits = F.transform("__s", lambda x, k: F.struct(x["role"].alias(role), digit(x, k).cast("long").alias("__d")))
+    long = ids.select((F.col("__id") + 1).alias("combination"), F.explode(digits).alias("x"))
+    return long.select("combination", f"x.{role}", "x.__d").join(numbered, [role, "__d"]).select("combination", role, entity)
 
 
 def full_outer_reconcile(a: DataFrame, b: DataFrame, keys: Sequence[str], measure: str, tolerance: float) -> DataFrame:

@@ -5,6 +5,7 @@ the Elo fold is a prefix aggregate in (ts, unit) order."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -416,6 +417,22 @@ def grid_tune(matches: DataFrame, hold_out: int = 18, points: Sequence[tuple[flo
     return losses.join(matches.sparkSession.range(1).select(named), "point").select("alpha", "half_life", "log_loss", "matches")
 
 
+def pair_rates(fit: goals_glm.Fit, pair: tuple, knockout: int = 1) -> dict:
+    """Goal rate of each side of the pair against the other."""
+    rows = fit.effects.where(F.col("point") == 0).where(F.col("side").isin(*map(str, pair))).collect()  # four rows
+    effect = {(r.block, r.side): r.effect for r in rows}
+    m = fit.models[0]
+    rate = lambda a, b: math.exp(m.intercept + m.slope * knockout + effect.get(("attack", str(a)), 0.0) + effect.get(("defence", str(b)), 0.0))
+    return {pair[0]: rate(*pair), pair[1]: rate(*reversed(pair))}
+
+
+def final_rates(matches: DataFrame, pair: tuple, hold_out: int = 18) -> dict:
+    """Rates of the pair under the grid point with the least hold-out loss, fitted anew to
+    all matches."""
+    best = grid_tune(matches, hold_out).orderBy("log_loss", "alpha", F.col("half_life").asc_nulls_last()).first()
+    return pair_rates(poisson_glm(matches, best.alpha, best.half_life), pair)
+
+
 def bootstrap_rates(matches: DataFrame, pair: tuple, glm: Mapping, worlds: int, seed: int, weight: float = 0.72) -> DataFrame:
     """Per world and side of the pair: its games and the opponent's resampled, the shrunk
     rate times the knockout factor, blended geometrically with the fitted rate."""
