@@ -125,11 +125,13 @@ def _mark(order: Order) -> tuple[Column | None, bool]:
     return F.struct(*parts), lead[0].falling
 
 
-def _cuts(named: DataFrame) -> DataFrame:
+def _cuts(named: DataFrame, unique: bool) -> DataFrame:
     """``__key``, ``__cuts``: rising first values of the chunks but the first, for groups
-    of at least two chunks."""
+    of at least two chunks. Rows that repeat (not ``unique``) count once."""
     h = F.xxhash64(_KEY, _MARK)
     drawn = named.select(_KEY, _MARK, h.alias("__h")).where(F.col("__h").bitwiseAND((1 << SAMPLE_BITS) - 1) == 0)
+    if not unique:
+        drawn = drawn.distinct()
     drawn = drawn.withColumn("__h", F.shiftright("__h", SAMPLE_BITS)).withColumn("__stratum", F.pmod("__h", F.lit(STRATA)))
     few = Window.partitionBy(_KEY, "__stratum").orderBy("__h")
     most = -(-MAX_CHUNKS * PER_CHUNK // STRATA)
@@ -141,9 +143,10 @@ def _cuts(named: DataFrame) -> DataFrame:
     return sorted_.withColumn("__c", chunks).where(F.col("__c") >= 2).select(_KEY, at.alias("__cuts"))
 
 
-def chunked(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
+def chunked(df: DataFrame, keys: Sequence[str], order: Order, source: DataFrame | None = None) -> DataFrame:
     """``df`` with its group (``__key``) and the chunk of the group (``__chunk``); chunks
-    follow each other in ``order``."""
+    follow each other in ``order``. ``source`` holds the rows of ``df`` before equal ones
+    were merged: the sample is then drawn there, which spares merging them twice."""
     mark, falling = _mark(order)
     named = df.withColumn(_KEY, _key(keys))
     if mark is None:
@@ -157,7 +160,8 @@ def chunked(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
         F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda n, x: F.when(F.get("__cuts", n + x - 1) <= F.col(_MARK), n + x).otherwise(n)
     )
     place = F.when(F.col("__cuts").isNull(), 0).otherwise(-reached if falling else reached)
-    return named.join(_cuts(named), _KEY, "left").select(*df.columns, _KEY, place.alias(_CHUNK))
+    drawn_from = named if source is None else source.select(_key(keys).alias(_KEY), mark.alias(_MARK))
+    return named.join(_cuts(drawn_from, source is None), _KEY, "left").select(*df.columns, _KEY, place.alias(_CHUNK))
 
 
 def prefix(
@@ -167,15 +171,16 @@ def prefix(
     sums: Mapping[str, Column | str] | None = None,
     index: str | None = None,
     totals: Mapping[str, str] | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Exclusive prefix sums (``sums``: new name -> summed column) and a 0-based row
     ``index`` per group. ``order`` must be total. ``totals`` (new name -> name of a sum)
-    adds whole group sums."""
+    adds whole group sums. ``source``: see :func:`chunked`."""
     terms = {n: (F.col(v) if isinstance(v, str) else v) for n, v in (sums or {}).items()}
     if index:
         terms = {**terms, index: F.lit(1).cast("long")}
     named = df.select("*", *[t.alias(f"__t_{n}") for n, t in terms.items()])
-    rows = chunked(named, keys, order)
+    rows = chunked(named, keys, order, source)
     per = rows.groupBy(_KEY, _CHUNK).agg(*[F.sum(f"__t_{n}").alias(f"__s_{n}") for n in terms])
     # At most MAX_CHUNKS rows for each group.
     group = Window.partitionBy(_KEY)
@@ -222,8 +227,9 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     """One row per distinct non-null value of a group with ``n`` (rows holding it),
     ``n_before`` (rows with a smaller value) and ``n_total``. Ranks, shares, quantiles
     and trimmed means all read off these positions."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    return prefix(counts, keys, [value], sums={"n_before": "n"}, totals={"n_total": "n_before"})
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    return prefix(counts, keys, [value], sums={"n_before": "n"}, totals={"n_total": "n_before"}, source=known)
 
 
 def quantiles_at(pos: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:

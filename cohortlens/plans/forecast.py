@@ -8,8 +8,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, outcome_label
@@ -209,14 +211,28 @@ def rho_grid_fit(df: DataFrame, minimum: int = 10) -> DataFrame:
             mass = mass + F.col(f"__c{n}") * (tau - 1)
         return F.log(F.greatest(F.lit(EPS), F.col("__p") * factor / mass))
 
-    # One row for each match, with the log-likelihood of every grid value side by side.
-    grid = range(RHO_GRID)
+    # One row for each match, with the log-likelihoods of all grid values in an array; each
+    # chunk of a competition adds them up in order, from the sums of the chunks before.
+    grid, inside = range(RHO_GRID), ["__key", "__chunk"]
     ll = parts.select("comp", *ORDER, F.transform(F.sequence(F.lit(0), F.lit(RHO_GRID - 1)), likelihood).alias("__ll"))
-    ll = ll.select("comp", *ORDER, *[F.col("__ll")[k].alias(f"__l{k}") for k in grid])
-    run = ordered.prefix(ll, ["comp"], ORDER, sums={f"__s{k}": f"__l{k}" for k in grid}, index="__seen")
-    most = F.greatest(*[F.struct(F.round(f"__s{k}", 9).alias("ll"), F.lit(-k).alias("k")) for k in grid])
-    best = run.select("comp", "unit", most.alias("__b"), "__seen")
-    rho = F.when(F.col("__seen") >= minimum, -F.col("__b.k") * F.lit(step) - F.lit(RHO_LIMIT)).otherwise(0.0)
+    rows = ordered.chunked(cut_lineage(ll), ["comp"], ORDER)
+    sums = rows.groupBy(*inside).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(F.col("__ll")[k]).alias(f"__s{k}") for k in grid])
+    before = Window.partitionBy("__key").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    starts = sums.select(*inside, so_far("__n").alias("__from"), F.array(*[so_far(f"__s{k}").cast("double") for k in grid]).alias("__start"))
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(x, "ascending") for x in ORDER])
+        each = np.asarray(table.column("__ll").combine_chunks().flatten()).reshape(table.num_rows, -1)
+        start = np.asarray(table.column("__start").slice(0, 1).combine_chunks().flatten())
+        run = np.cumsum(np.vstack((start, each[:-1])), axis=0)
+        best = np.argmax(np.round(run, 9), axis=1)  # the lowest value on ties
+        seen = table.column("__from")[0].as_py() + np.arange(table.num_rows)
+        return pa.table([table.column("comp"), table.column("unit"), pa.array(best), pa.array(seen)], names=["comp", "unit", "__k", "__seen"])
+
+    kinds = dict(df.dtypes)
+    best = rows.join(starts, inside).groupBy(*inside).applyInArrow(fold, f"comp {kinds['comp']}, unit {kinds['unit']}, __k long, __seen long")
+    rho = F.when(F.col("__seen") >= minimum, F.col("__k") * F.lit(step) - F.lit(RHO_LIMIT)).otherwise(0.0)
     return join_on(df, best.select("comp", "unit", F.round(rho, 6).alias("rho")), ["comp", "unit"])
 
 
