@@ -92,7 +92,7 @@ def write_archives(
     records = rows.select(F.explode(F.array(request, F.when(F.col("again"), revisit).otherwise(response), metadata)).alias("value"))
     per_file = max(3, int(3 * FILE_BYTES / (mean + 1000)))
     # A record ends with two line ends.
-    records.write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", per_file).text(path)
+    records.write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 _RECORD = (
@@ -111,8 +111,8 @@ def _headers(lines: bytes) -> dict[str, str]:
 
 
 def records_of(data: bytes):
-    """(offset, headers, block) of every record; headers None where bytes are no record
-    (what follows in the file is then not read)."""
+    """(offset, headers, block) of every record; headers None where bytes are no record:
+    reading goes on at the next line that begins one."""
     at = 0
     while at < len(data):
         if data.startswith(b"\r\n", at):
@@ -123,7 +123,10 @@ def records_of(data: bytes):
         size = head.get("content-length", "")
         if not size.isdigit() or end + 4 + int(size) > len(data):
             yield at, None, b""
-            return
+            at = data.find(b"\r\nWARC/", at + 1)
+            if at < 0:
+                return
+            continue
         yield at, head, memoryview(data)[end + 4 : end + 4 + int(size)]
         at = end + 4 + int(size)
 
@@ -170,8 +173,8 @@ _ARROW = pa.schema(
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """One row for every record of the archives below ``path`` (plain or gzip). Bytes
-    that are no record give one row of type ``unreadable`` with their place; a file is
+    """One row for every record of the archives below ``path`` (plain or gzip). A run of
+    bytes that are no record gives one row of type ``unreadable`` with its place; a file is
     held by one task, so archives are best rotated at some 10 MB."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(_parse(payload), _RECORD)

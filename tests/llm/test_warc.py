@@ -60,6 +60,14 @@ def test_gzip_and_broken_files(spark, tmp_path):
     assert {bytes(r.payload) for r in rows if r.payload is not None} == {b"hi"}
 
 
+def test_records_after_a_broken_one_are_read(spark, tmp_path):
+    record = lambda i, size: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nContent-Type: application/http\r\nContent-Length: {size}\r\n\r\nHTTP/1.1 200 OK\r\nA: b\r\n\r\nhi\r\n\r\n".encode()
+    (tmp_path / "a.warc").write_bytes(record(1, 27) + record(2, 9_999_999) + b"junk without a header\r\n" + record(3, 27) + record(4, "x") + record(5, 27))
+    rows = warc.read_archives(spark, str(tmp_path)).orderBy("at").collect()
+    assert [(r.record_type, r.record_id) for r in rows] == [("response", "urn:uuid:1"), ("unreadable", None), ("response", "urn:uuid:3"), ("unreadable", None), ("response", "urn:uuid:5")]
+    assert rows[1].at == len(record(1, 27))
+
+
 def test_empty(spark, pages):
     path = scratch_path(spark, "warc")
     warc.write_archives(pages.limit(0), path)
