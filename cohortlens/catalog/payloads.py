@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import exists, scratch_path
 from ..sources import schema as S
 from .base import CTE, Tables
 
@@ -17,7 +17,7 @@ def unit_payloads(t: Tables):
     """The payloads as nested Parquet in the shared folder, written by the first query of
     a session that reads them: later ones read only the fields they need."""
     key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _WRITTEN:
+    if key not in _WRITTEN or not exists(t.spark, _WRITTEN[key]):
         path = scratch_path(t.spark, "payloads")
         _build(t).write.parquet(path)
         _WRITTEN[key] = path

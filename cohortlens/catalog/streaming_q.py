@@ -97,8 +97,10 @@ def _(t):
     # Nine tenths of the events come first, the others after all of them.
     src, path = scratch_path(t.spark, "tenths"), scratch_path(t.spark, "requery")
     rows = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.floor("value").cast("double").alias("v"), (F.col("event_id") % 10 == 0).cast("int").alias("turn"))
-    for turn in (0, 1):
-        rows.where(F.col("turn") == turn).drop("turn").coalesce(1).write.parquet(f"{src}/turn={turn}")
-    stream = T.stream_batches(t.spark, f"{src}/turn=*", rows.drop("turn").schema, max_files=1)
+    first, second = (rows.where(F.col("turn") == turn).drop("turn") for turn in (0, 1))
+    first.write.parquet(f"{src}/turn=0")
+    files = len(t.spark.read.parquet(f"{src}/turn=0").inputFiles())
+    second.repartition(files).write.parquet(f"{src}/turn=1")
+    stream = T.stream_batches(t.spark, f"{src}/turn=*", first.schema, max_files=files)
     T.drain(T.late_requery(stream, "ts", ["user_id"], ["v"], 3600, path, scratch_path(t.spark, "ckpt")))
     return T.requery_view(t.spark, path, ["user_id"], ["v"]).select("user_id", "n", "late_n", "v")
