@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import settle, text_rows
 
 #: Bytes of text, and texts, of a chunk; letters of a text that are encoded at once.
-CHUNK, CHUNK_ROWS, AT_ONCE = 4 << 20, 20_000, 1 << 16
+CHUNK, CHUNK_ROWS, AT_ONCE = 2 << 20, 20_000, 1 << 16
 #: Most bytes of a tokenizer file; files are read on the driver and broadcast.
 MAX_FILE = 64 << 20
 #: A blank between two letters: a token boundary of both vocabularies, see `Coder`.
